@@ -1,11 +1,17 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import decontaminate, packing, pii, simhash
+from . import decontaminate, html, language, packing, pii, quality, sharding, simhash, substrings, tokens
 
 QUERIES = {
+    "op1_substrings": substrings.op1_substrings,
+    "op2_language": language.op2_language,
+    "op3_tokens": tokens.op3_tokens,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_quality": quality.op5_quality,
+    "op6_html": html.op6_html,
     "op7_simhash": simhash.op7_simhash,
     "op8_packing": packing.op8_packing,
     "op9_pii": pii.op9_pii,
+    "op10_sharding": sharding.op10_sharding,
 }
 ORACLE_SQL = {"op4_decontaminate": decontaminate.OP4_SQL}
