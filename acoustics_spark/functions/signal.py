@@ -119,5 +119,5 @@ def mask(matrix: np.ndarray, rectangles: list[tuple[float, float, float, float]]
     """The matrix with relative rectangles (x, y, width, height in 0..1) filled with its median."""
     out, (rows, cols) = matrix.copy(), matrix.shape
     for x, y, w, h in rectangles:
-        out[int(y * rows) : int(np.ceil((y + h) * rows)), int(x * cols) : int(np.ceil((x + w) * cols))] = np.median(matrix)
+        out[int(y * rows) : int(np.ceil((y + h) * rows - 1e-9)), int(x * cols) : int(np.ceil((x + w) * cols - 1e-9))] = np.median(matrix)
     return out

@@ -22,7 +22,7 @@ def expand_slices(detections: DataFrame, slice_seconds: float = 0.02, pad: float
 
 def band_filter(freqs: Column, power: Column, low: float = signal.BAND[0], high: float = signal.BAND[1]) -> Column:
     """Array of (freq, power) structs within low..high, both included."""
-    return F.filter(F.transform(F.arrays_zip(freqs.alias("freq"), power.alias("power")), lambda x: F.struct(x["0"].alias("freq"), x["1"].alias("power"))), lambda x: x["freq"].between(low, high))
+    return F.filter(F.arrays_zip(freqs.alias("freq"), power.alias("power")), lambda x: x["freq"].between(low, high))
 
 
 def with_features(slices: DataFrame, samplerate: float, samples: str = "samples", keep_spectrum: bool = False) -> DataFrame:

@@ -24,14 +24,14 @@ def list_recordings(spark: SparkSession, paths, recursive: bool = True, exclude:
 
 def read_metafiles(spark: SparkSession, root: str) -> DataFrame:
     """(metafile, text) of all ``*metafile.txt`` below root."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", "*metafile.txt").option("recursiveFileLookup", "true")
-    return reader.text(root).select(F.col("_metadata.file_path").alias("metafile"), F.col("value").alias("text"))
+    reader = spark.read.option("pathGlobFilter", "*metafile.txt").option("recursiveFileLookup", "true")
+    return reader.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("metafile"), F.col("value").alias("text"))
 
 
 def parse_metafiles(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(metafile, text) -> entries (metafile, log_ref, pos, entry_name) and rejects (metafile, reason). Lines are trimmed
     and blank ones dropped; the first must be ``annotationfile=``."""
-    lines = F.filter(F.transform(F.split("text", r"\r\n|\r|\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = files.withColumn("_lines", lines).withColumn("_first", F.get("_lines", F.lit(0)))
     headed = F.lower("_first").startswith("annotationfile=")
     good = rows.filter(headed).withColumn("log_ref", F.trim(F.substring("_first", 16, 1 << 20)))
