@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 from .store import Tables
 
 LENGTH = 400
+CELL = 16  # starts refined together
+LIKELY = 1 << 22  # places of the text hash by which documents are kept out of a shuffle: what is broadcast is bounded
 SLAB = 1 << 20  # starts worked on at once; longer documents are cut into slabs that overlap by LENGTH
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -72,9 +74,10 @@ def _slabs(texts: list[bytes], length: int) -> Iterator[tuple[bytes, np.ndarray,
 
 
 def sampled_runs(texts: list[bytes], buckets: Buckets, length: int, q: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(document, lo, n, bucket, context) arrays. Each start of a ``length``-byte string samples the q-gram in it with
+    """(document, lo, n, place, bucket, context) arrays. Each start of a ``length``-byte string samples the q-gram in it with
     the least bucket identifier, so equal strings sample the same place in themselves. Neighbouring starts lo..lo+n that
-    sample one q-gram are a run; bucket identifies the q-gram, context the bytes from lo to the end of the last string."""
+    sample one q-gram are a run; place is the q-gram's offset from lo, bucket identifies it, and context the bytes from lo
+    to the end of the last string."""
     for data, docs, places, offsets in _slabs(texts, length):
         raw = np.frombuffer(data, np.uint8)
         ids = buckets.of(raw, q)
@@ -90,7 +93,7 @@ def sampled_runs(texts: list[bytes], buckets: Buckets, length: int, q: int) -> I
         view, digest = memoryview(data), xxhash.xxh3_64_intdigest
         context = np.fromiter((digest(view[a : b + length]) for a, b in zip(lo.tolist(), hi.tolist())), np.uint64, len(lo))
         own = owner[lo]
-        yield docs[own], lo - places[own] + offsets[own], hi - lo, ids[chosen[lo]].view(np.int64), context.view(np.int64)
+        yield docs[own], lo - places[own] + offsets[own], hi - lo, chosen[lo] - lo, ids[chosen[lo]].view(np.int64), context.view(np.int64)
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -102,66 +105,120 @@ def find_runs(docs: DataFrame, length: int, q: int) -> DataFrame:
         buckets = Buckets(SLAB + 2 * length)
         for b in batches:
             ids, hashes, texts = b.column(0), b.column(1), b.column(2).to_pylist()
-            for d, lo, n, bucket, context in sampled_runs(texts, buckets, length, q):
-                take = pa.array(d)
-                cols = [ids.take(take), hashes.take(take), pa.array(bucket), pa.array(context), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))]
-                yield pa.record_batch(cols, names=["doc_id", "text_hash", "bucket", "context", "lo", "n"])
+            for d, lo, n, place, bucket, context in sampled_runs(texts, buckets, length, q):
+                take, short = pa.array(d), [pa.array(x.astype(np.int32)) for x in (lo, n, place)]
+                yield pa.record_batch([ids.take(take), hashes.take(take), pa.array(bucket), pa.array(context), *short], names=["doc_id", "text_hash", "bucket", "context", "lo", "n", "place"])
 
     rows = _named(docs).filter(F.octet_length("text") >= length)
-    return rows.mapInArrow(run, "doc_id long, text_hash long, bucket long, context long, lo int, n int")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, bucket long, context long, lo int, n int, place int")
 
 
-def find_windows(docs: DataFrame, wanted: DataFrame, length: int, q: int) -> DataFrame:
-    """(doc_id, text_hash, start, open, b0, b1) of all starts of the wanted(doc_id, text_hash, runs) runs: the bucket
-    identifiers of the q-grams that a string begins and ends with."""
+def _likely(rows: DataFrame, wanted: DataFrame, how: str) -> DataFrame:
+    """rows whose text hash falls (left_semi) or doesn't fall (left_anti) on a place, of LIKELY, that wanted has."""
+    places = wanted.select(F.pmod("text_hash", F.lit(LIKELY)).alias("_place")).distinct()
+    return rows.join(F.broadcast(places), F.pmod(rows["text_hash"], F.lit(LIKELY)) == places["_place"], how)
 
-    def run(batches):
-        buckets = Buckets(SLAB + 2 * length)
-        for b in batches:
-            for i in range(len(b)):
-                data, runs = np.frombuffer(b.column(2)[i].as_py(), np.uint8), b.column(3)[i].as_py()
-                for r in runs:
-                    for lo in range(r["lo"], r["lo"] + r["n"] + 1, SLAB):
-                        n = min(SLAB, r["lo"] + r["n"] + 1 - lo)
-                        ids = buckets.of(data[lo : lo + n - 1 + length], q).view(np.int64)
-                        cols = [b.column(0).slice(i, 1).take(np.zeros(n, np.int64)), b.column(1).slice(i, 1).take(np.zeros(n, np.int64))]
-                        cols += [pa.array(np.arange(lo, lo + n, dtype=np.int32)), pa.array(np.full(n, r["open"])), pa.array(ids[:n]), pa.array(ids[length - q : length - q + n])]
-                        yield pa.record_batch(cols, names=["doc_id", "text_hash", "start", "open", "b0", "b1"])
 
-    rows = _named(docs).filter(F.octet_length("text") >= length)
+def _with_texts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """(doc_id, text_hash, text, of) of the documents in wanted(doc_id, text_hash, of); few other texts are shuffled."""
+    rows = _likely(_named(docs).filter(F.octet_length("text") >= length), wanted, "left_semi")
     same = rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["text_hash"] == wanted["text_hash"])
-    rows = rows.join(wanted, same).select(rows["doc_id"], rows["text_hash"], "text", "runs")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, start int, open boolean, b0 long, b1 long")
+    return rows.join(wanted, same).select(rows["doc_id"], rows["text_hash"], "text", "of")
+
+
+def find_cells(docs: DataFrame, wanted: DataFrame, length: int, cell: int) -> DataFrame:
+    """(doc_id, text_hash, a, b, open, core, hull) of the wanted runs' cells: starts a..b, whose places relative to the
+    run's q-gram fall into one block of ``cell``. core identifies the bytes that all the block's strings share, hull those
+    that any of them has (null if the text ends before), both with the block's place: equal strings have equal places, and blocks of two runs
+    that lie on the same bytes don't."""
 
+    def run(batches):
+        digest = xxhash.xxh3_64_intdigest
+        for b in batches:
+            take, out = [], []
+            for i in range(len(b)):
+                text = b.column(2)[i].as_py()
+                for r in b.column(3)[i].as_py():
+                    lo, hi, at = r["lo"], r["lo"] + r["n"], r["lo"] + r["place"]
+                    for block in range((at - hi) // cell, (at - lo) // cell + 1):
+                        first, last = at - block * cell - cell + 1, at - block * cell
+                        seed = block & 0xFFFFFFFF
+                        whole = first >= 0 and last + length <= len(text)
+                        whole = whole and not (first < lo and lo % SLAB == 0)  # a run cut at a slab: its other part has the block
+                        take.append(i)
+                        out.append((max(first, lo), min(last, hi), r["open"], digest(text[last : first + length], seed), digest(text[first : last + length], seed) if whole else None))
+            names = ["doc_id", "text_hash", "a", "b", "open", "core", "hull"]
+            ids = [b.column(j).take(pa.array(take, pa.int32())) for j in (0, 1)]
+            own = [pa.array([o[j] for o in out], k) for j, k in enumerate((pa.int32(), pa.int32(), pa.bool_()))]
+            hashes = [pa.array([o[j] for o in out], pa.uint64()).view(pa.int64()) for j in (3, 4)]
+            yield pa.record_batch([*ids, *own, *hashes], names=names)
+
+    return _with_texts(docs, wanted, length).mapInArrow(run, "doc_id long, text_hash long, a int, b int, open boolean, core long, hull long")
+
+
+def find_strings(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """(doc_id, text_hash, start, open, b0, b1) of every start in the wanted cells: the identifiers of the buckets that
+    the string's first and last q-gram of half its length are in."""
+    q = (length + 1) // 2
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    def run(batches):
+        buckets = Buckets(SLAB + 2 * length)
+        for b in batches:
+            take, starts, opens, first, last = [], [], [], [], []
+            for i in range(len(b)):
+                data = np.frombuffer(b.column(2)[i].as_py(), np.uint8)
+                for r in b.column(3)[i].as_py():
+                    n = r["b"] - r["a"] + 1
+                    ids = buckets.of(data[r["a"] : r["b"] + length], q).view(np.int64)
+                    take.append(np.full(n, i, np.int32))
+                    starts.append(np.arange(r["a"], r["b"] + 1, dtype=np.int32))
+                    opens.append(np.full(n, r["open"]))
+                    first.append(ids[:n])
+                    last.append(ids[length - q : length - q + n])
+            if take:
+                at = pa.array(np.concatenate(take))
+                cols = [b.column(0).take(at), b.column(1).take(at), *(pa.array(np.concatenate(x)) for x in (starts, opens, first, last))]
+                yield pa.record_batch(cols, names=["doc_id", "text_hash", "start", "open", "b0", "b1"])
+
+    return _with_texts(docs, wanted, length).mapInArrow(run, "doc_id long, text_hash long, start int, open boolean, b0 long, b1 long")
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, cell: int = CELL) -> DataFrame:
     """(doc_id, text_hash, spans): spans of bytes covered by strings of ``length`` bytes that start elsewhere, too.
 
-    Buckets are refined until they are decided. 0: the q-gram (half the length) that each string samples; a bucket of
-    one run is done, nothing else can equal its strings. 1: the run's whole context; runs alike in it repeat with all
-    their strings, and one of them stands for them from there on. 2: buckets that hold both runs with a twin and
-    without are refined string by string, on the bucket identifiers of its first q-gram and of that at the later offset.
+    Buckets are refined until they are decided; what is decided is used and never refined again.
+    0: the q-gram that each string samples. A bucket of one run is done: nothing else can equal its strings.
+    1: the run's context. Runs alike in it repeat with all their strings, and one of them stands for them from there on.
+    2: in buckets that also hold a run without a twin, cells of strings. Cells alike in their hull repeat with all their
+    strings; cells without a like in their core are done.
+    3: in the cells that are left, string by string, on the identifiers of the first half's bucket and of that at the
+    later offset where the second half begins.
     Counts are combined before shuffles and joined back, so a passage that a third of all documents share is no hot task.
     """
-    tables, q = Tables(docs.sparkSession, "substrings"), (length + 1) // 2
+    tables, q = Tables(docs.sparkSession, "substrings"), max(length * 8 // 25, 1)
+    key = ["doc_id", "text_hash"]
     runs = tables.write(find_runs(docs, length, q))
-    shared = runs.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("context").alias("_a"), F.max("context").alias("_b"))
-    shared = shared.filter("_n > 1").select("bucket", (F.col("_a") != F.col("_b")).alias("mixed"))
+    shared = runs.groupBy("bucket").agg(F.count("*").alias("_n")).filter("_n > 1").select("bucket")
     left = tables.write(runs.join(shared, "bucket"))
     tables.drop(runs)
-    whole = left.filter("not mixed")
-    contexts = left.filter("mixed").groupBy("bucket", "context")
-    contexts = tables.write(contexts.agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "text_hash", "lo", "n")).alias("one")))
-    twins = left.filter("mixed").join(contexts.filter("times > 1").select("bucket", "context"), ["bucket", "context"])
-    open_buckets = contexts.filter("times = 1").select("bucket").distinct()
-    asked = contexts.join(open_buckets, "bucket").select("one.*", (F.col("times") == 1).alias("open"))
-    asked = asked.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("lo", "n", "open")).alias("runs"))
-    windows = tables.write(find_windows(docs, asked, length, q))
-    again = windows.groupBy("b0", "b1").agg(F.count("*").alias("_n"), F.max("open").alias("_open")).filter("_n > 1 and _open")
-    single = windows.filter("open").join(again, ["b0", "b1"]).select("doc_id", "text_hash", F.col("start").alias("a"), (F.col("start") + length).alias("b"))
-    spans = whole.unionByName(twins).select("doc_id", "text_hash", F.col("lo").alias("a"), (F.col("lo") + F.col("n") + length).alias("b"))
-    spans = spans.unionAll(single).groupBy("doc_id", "text_hash")
-    return spans.agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    contexts = left.groupBy("bucket", "context").agg(F.count("*").alias("times"), F.min(F.struct(*key, "lo", "n", "place")).alias("one"))
+    contexts = tables.write(contexts)
+    twins = left.join(contexts.filter("times > 1").select("bucket", "context"), ["bucket", "context"])
+    mixed = contexts.groupBy("bucket").agg(F.count("*").alias("_kinds"), F.min("times").alias("_least")).filter("_kinds > 1 and _least = 1")
+    asked = contexts.join(mixed, "bucket").select("one.*", (F.col("times") == 1).alias("open"))
+    asked = tables.write(asked.groupBy(*key).agg(F.collect_list(F.struct("lo", "n", "place", "open")).alias("of")))
+    cells = tables.write(find_cells(docs, asked, length, cell))
+    hulls = cells.filter("hull is not null").groupBy("core", "hull").agg(F.sum(F.when(F.col("open"), 1).otherwise(2)).alias("_n")).filter("_n > 1")
+    cells = tables.write(cells.join(hulls, ["core", "hull"], "left").withColumn("open", F.col("open") & F.col("_n").isNull()).withColumn("alike", F.col("_n").isNotNull()).drop("_n", "hull"))
+    cores = cells.groupBy("core").agg(F.count("*").alias("_n"), F.max("open").alias("_open")).filter("_n > 1 and _open")
+    wanted = cells.join(cores, "core").groupBy(*key).agg(F.collect_list(F.struct("a", "b", "open")).alias("of"))
+    strings = tables.write(find_strings(docs, tables.write(wanted), length))
+    again = strings.groupBy("b0", "b1").agg(F.count("*").alias("_n"), F.max("open").alias("_open")).filter("_n > 1 and _open").select("b0", "b1")
+    single = strings.filter("open").join(again, ["b0", "b1"])
+    spans = twins.select(*key, F.col("lo").alias("a"), (F.col("lo") + F.col("n") + length).alias("b"))
+    spans = spans.unionAll(cells.filter("alike").select(*key, "a", (F.col("b") + length).alias("b")))
+    spans = spans.unionAll(single.select(*key, F.col("start").alias("a"), (F.col("start") + length).alias("b")))
+    return tables.write(spans.groupBy(*key).agg(F.collect_set(F.struct("a", "b")).alias("spans")))
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -196,8 +253,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True
             yield pa.record_batch([b.column(0), *(pa.array([o[i] for o in out], k) for i, k in enumerate(kinds))], names=["doc_id", *names])
 
     spans, rows = repeated_spans(docs, length), _named(docs)
-    same = rows["doc_id"].eqNullSafe(spans["doc_id"]) & (rows["text_hash"] == spans["text_hash"])
-    rows = rows.join(spans, same, "left").select(rows["doc_id"], "text", "spans")
+    near, far = _likely(rows, spans, "left_semi"), _likely(rows, spans, "left_anti")
+    same = near["doc_id"].eqNullSafe(spans["doc_id"]) & (near["text_hash"] == spans["text_hash"])
+    near = near.join(spans, same, "left").select(near["doc_id"], "text", "spans")
+    rows = near.unionByName(far.select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
     out = rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:int,b:int>>, kept binary")
     return out if with_text else out.drop("kept")
 

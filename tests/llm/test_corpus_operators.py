@@ -56,10 +56,10 @@ def repeating_texts(seed, length, n=60):
     return [*texts, texts[0], texts[1], texts[1], "ab" * length, "z" * 3 * length, "ab" * length + "c", *ODD]
 
 
-@pytest.mark.parametrize(("length", "slab"), [(40, None), (61, None), (40, 100)])
-def test_repeats_match_brute_force(spark, monkeypatch, length, slab):
-    if slab:
-        monkeypatch.setattr(substrings, "SLAB", slab)
+@pytest.mark.parametrize(("length", "slab", "likely"), [(40, None, None), (61, None, 3), (100, 150, None)])
+def test_repeats_match_brute_force(spark, monkeypatch, length, slab, likely):
+    monkeypatch.setattr(substrings, "SLAB", slab or substrings.SLAB)
+    monkeypatch.setattr(substrings, "LIKELY", likely or substrings.LIKELY)
     texts = repeating_texts(length, length)
     ids = [*range(len(texts) - 3), 1, None, None]
     got = substrings.remove_repeats(table(spark, texts, ids).repartition(3), length).collect()
