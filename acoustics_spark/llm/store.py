@@ -2,23 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where it is unset, a temporary one, in local mode only."""
-    conf = spark.sparkContext.getConf()
-    folder = conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="checkpoints-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+from ..store import shared_folder
 
 
 class Tables:
