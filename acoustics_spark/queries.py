@@ -8,6 +8,7 @@ from . import fixtures as fx
 from .functions import boxes, names
 from .operators import intervals, matching, slices, splits, timeline, variants, windows
 from .sources import sinks
+from .streaming import events as streams
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -448,3 +449,71 @@ def db_clip_range(spark, d) -> DataFrame:
     f = slices.with_features(fx.signals(spark, d), fx.SAMPLERATE, keep_spectrum=True)
     long = f.select("detection_index", F.explode("power_band").alias("power"))
     return slices.db_clip_range(long, "detection_index").select("detection_index", F.round("low_db", 3).alias("low_db"), F.round("high_db", 3).alias("high_db"))
+
+
+# Joins to recordings, unions and sequences
+
+
+@query(f"WITH {fx.ANNOTATIONS}, {fx.SEGMENTS}, len AS (SELECT metafile, max(e)::DOUBLE AS audio_duration FROM segments GROUP BY metafile) SELECT id, audio_duration, r - l AS duration FROM annotations JOIN len USING (metafile) WHERE r > l AND audio_duration >= 3 AND r - l <= 3")
+def usable_anchors(spark, d) -> DataFrame:
+    """Annotations joined to the length of their timeline; those that a window can't hold are left out."""
+    lengths = timeline.timeline_summary(timeline.build_timeline(fx.entries(spark, d))).select(F.col("metafile").alias("path"), F.col("length").alias("duration"), F.lit(24000).alias("samplerate"))
+    rows = windows.positive_annotations(fx.annotations(spark, d).withColumnRenamed("metafile", "path")).withColumnRenamed("duration", "length")
+    return windows.usable_anchors(windows.with_recordings(rows, lengths), 3.0).select("id", "audio_duration", F.col("length").alias("duration"))
+
+
+@query("SELECT user_id AS metafile, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS sequence_index FROM events WHERE event_type = 'click'")
+def sequence_index(spark, d) -> DataFrame:
+    rows = fx.read(spark, d, "events").filter("event_type = 'click'").select(F.col("user_id").alias("metafile"), "event_id")
+    return matching.sequence_index(rows, order="event_id").select("metafile", "event_id", F.col("sequence_index").cast("long"))
+
+
+@query("SELECT event_id AS line_no, user_id % 3 AS source FROM events UNION ALL SELECT o_orderkey, 7 FROM orders")
+def union_annotations(spark, d) -> DataFrame:
+    """Annotations of several sources, whose columns come in different orders."""
+    events = fx.read(spark, d, "events").select(F.col("event_id").alias("line_no"), (F.col("user_id") % 3).alias("source"))
+    return events.unionByName(fx.read(spark, d, "orders").select(F.lit(7).cast("long").alias("source"), F.col("o_orderkey").alias("line_no")))
+
+
+@query(f"WITH {fx.DETECTIONS} SELECT detection_index, round(10 * log10(confidence + 1e-12), 6)::DOUBLE AS added_db, round(10 * log10(greatest(confidence, 1e-12)), 6)::DOUBLE AS floored_db FROM detections")
+def decibels(spark, d) -> DataFrame:
+    c = F.col("confidence")
+    return fx.detections(spark, d).select("detection_index", F.round(boxes.to_db(c), 6).alias("added_db"), F.round(boxes.to_db(c, add=False), 6).alias("floored_db"))
+
+
+# Streams, run over what there is and read back
+
+
+def _replayed(spark, d, change, name: str) -> DataFrame:
+    """The table that a streaming query writes when the events are delivered and nothing follows."""
+    import uuid
+
+    from .store import shared_folder
+
+    at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    rows = spark.readStream.schema(fx.read(spark, d, "events").schema).parquet(f"{d}/event[s].parquet")  # a glob, as a stream takes no single file
+    start = F.col("ts").cast("timestamp")
+    rows = rows.select(F.concat(F.lit("rec_"), "user_id").alias("audio_path"), start.alias("start_ts"), (F.col("value") * 600).alias("duration"), (2000.0 + (F.col("event_id") % 50) * 100).alias("low_freq"),
+        (3000.0 + (F.col("event_id") % 50) * 100 + (F.col("event_id") % 7) * 125).alias("high_freq"), ((F.col("event_id") * 37 % 100) / 100.0).alias("confidence"))
+    out = change(rows)
+    out.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{at}/rows")
+
+
+@query(f"""WITH {fx.ISLANDS}, n AS (SELECT audio_path, island, count(*) AS n FROM islands GROUP BY ALL)
+SELECT audio_path, round(start_time, 3)::DOUBLE AS start_time, round(end_time, 3)::DOUBLE AS end_time, low_freq, high_freq, confidence, n
+FROM merged JOIN n USING (audio_path, island) WHERE end_time <= (SELECT max(start_time) FROM detections) - 86400""")
+def stream_merge(spark, d) -> DataFrame:
+    """Merged detections that the watermark of one day has closed."""
+    out = _replayed(spark, d, lambda rows: streams.merge_stream(rows, "1 day"), "merge")
+    seconds = lambda c: F.round(F.unix_micros(c) / 1e6, 3)
+    return out.select("audio_path", seconds("start_ts").alias("start_time"), seconds("end_ts").alias("end_time"), "low_freq", "high_freq", "confidence", "n")
+
+
+@query(f"""WITH {fx.DETECTIONS}, w AS (SELECT *, unnest([0, 1]) AS back FROM detections),
+c AS (SELECT audio_path, (floor(start_time / 3600) - back) * 3600 AS window_start, count(*) AS n, max(confidence) AS confidence FROM w GROUP BY ALL)
+SELECT audio_path, window_start, n, confidence FROM c WHERE window_start + 7200 <= (SELECT max(start_time) FROM detections) - 86400""")
+def stream_window_counts(spark, d) -> DataFrame:
+    """Counts in windows of two hours, each hour, that the watermark of one day has closed."""
+    out = _replayed(spark, d, lambda rows: streams.window_counts(rows, "1 day", "2 hours", "1 hour"), "counts")
+    return out.select("audio_path", (F.unix_micros("window_start") / 1e6).alias("window_start"), "n", "confidence")
