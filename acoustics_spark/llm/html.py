@@ -28,6 +28,7 @@ BOILERPLATE = set(
     "toolbar skip copyright login search tags".split()
 )
 CONTENT = set("article entry post story title headline content".split())  # their header is a heading
+LEAST_SHARE = 0.05
 WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*?)(>|\Z))", re.S)
 NAMES = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -145,11 +146,13 @@ def boilerplate(attributes: str) -> bool:
 
 
 def density(c: int, t: int, lc: int, lt: int, body_links: float) -> float:
-    """Composite text density of a node with c characters and t tags, lc and lt of these in links."""
+    """Composite text density of a node with c characters and t tags, lc and lt of these in links: characters per tag,
+    weighed by the logarithm of how rare links are. Their shares count as LEAST_SHARE at least, so that of two nodes
+    without links the larger isn't denser for its size."""
     if not c:
         return 0.0
     base = math.log(c / max(c - lc, 1) * lc + body_links * c + math.e)
-    ratio = c / max(lc, 1) * max(t, 1) / max(lt, 1)
+    ratio = 1 / max(lc / c, LEAST_SHARE) / max(lt / max(t, 1), LEAST_SHARE)
     return c / max(t, 1) * math.log(ratio + 1) / math.log(base + 1)
 
 
@@ -158,8 +161,8 @@ def extract(source: str | None) -> str:
 
     Menus, footers, forms and what else names itself as boilerplate go first. A page's marked article is the subtree;
     of several, and where none is marked, the node with the largest sum of its children's composite densities is. Then
-    the least density on its path to the body is the threshold: nodes of at least that density give their densest
-    subtree, too.
+    the least density on its path to the body is the threshold: nodes beside the path of at least that density give
+    their densest subtree, too, as does a page's main heading there.
     """
     if not source:
         return ""
@@ -201,10 +204,12 @@ def extract(source: str | None) -> str:
     marked = [i for i in page.main if not gone[i] and chars[i]]
     articles = [i for i in marked if page.tag[i] == "article" and not any(page.tag[j] == "article" for j in _path(i, parent))]
     keep = [False] * n
+    if not articles and marked:  # the outermost marks
+        articles = [i for i in marked if not any(j in marked for j in _path(i, parent))]
     if articles:
         keep[max(articles, key=lambda i: (sums[i], chars[i]))] = True
     else:
-        root = min(marked) if marked else 0
+        root = 0
         inside = [i == root for i in range(n)]
         for i in range(root + 1, n):
             inside[i] = inside[parent[i]] and not gone[i]
@@ -219,14 +224,15 @@ def extract(source: str | None) -> str:
                 best[parent[i]] = best[i]
         above = {top, *_path(top, parent)}
         for i in range(root + 1, n):
-            if inside[i] and i not in above and parent[i] in above and dense[i] >= least:
+            if inside[i] and i not in above and parent[i] in above and (dense[i] >= least or page.tag[i] == "h1"):
                 keep[best[i] if kids[best[i]] else i] = True
     for i in range(1, n):
         keep[i] = keep[i] or keep[parent[i]]
     blocks, last = [[]], None
     for block, text, _ in page.text:
         if gone[block] or not keep[block]:
-            last = None if block != last else last
+            if page.tag[block] in BLOCK:
+                last = None
             continue
         if block != last or text == "\n":
             blocks.append([])

@@ -239,6 +239,30 @@ def test_unmarked_pages_go_by_density():
     assert html.extract("just text") == "just text" and html.extract("<p>one") == "one"
 
 
+S = "Words of a sentence that go on for a while, and then some more."
+PARAGRAPHS = "".join(f"<p>{S} {i}</p>" for i in range(3))
+LINES = "\n".join(f"{S} {i}" for i in range(3))
+NAV = "<nav><ul><li><a href=a>Home</a></li><li><a href=b>Other</a></li></ul></nav>"
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        (f'<body><div id="header"><h1>Site</h1></div>{NAV}<div id="content"><h1>Head</h1>{PARAGRAPHS}</div><div class="sidebar">{PARAGRAPHS}</div><div id="comments">{PARAGRAPHS}</div></body>', f"Head\n{LINES}"),
+        (f"<body>{NAV}<div class=post><h1>Head</h1><p>{S}</p></div><div class=ad>Buy this {S}</div><footer>{S}</footer></body>", f"Head\n{S}"),
+        (f"<body><header>Site</header><main><h1>Head</h1><section><h2>A</h2>{PARAGRAPHS}</section><section><p>B</p></section><aside>{S}</aside></main></body>", f"Head\nA\n{LINES}\nB"),
+        (f"<body><div><p>{S}</p><p>{S}</p></div><div>{PARAGRAPHS}</div></body>", f"{S}\n{S}\n{LINES}"),
+        (f'<body><div><h1>Head</h1><div class="body">{PARAGRAPHS}</div></div></body>', f"Head\n{LINES}"),
+        (f"<table><tr><td><a href=1>L1</a><br><a href=2>L2</a><br><a href=3>L3</a></td><td><h1>Head</h1>{PARAGRAPHS}</td></tr></table>", f"Head\n{LINES}"),
+        (f"<article><p>a<button>Click</button> b<textarea>t</textarea></p><form><p>{S}</p></form></article>", "a b"),
+        ("<article><p>H<sub>2</sub>O <!-- c -->&lt;b&gt; &#8364;&nbsp;end</p><div>text <p>in</p> tail</div></article>", "H2O <b> € end\ntext\nin\ntail"),
+        (f'<article><h1>T</h1>{PARAGRAPHS}<div class="comment-list"><p>{S}</p></div><ul class="share-buttons"><li>Share</ul><div class="cookie-banner">{S}</div></article>', f"T\n{LINES}"),
+    ],
+)
+def test_kinds_of_pages(source, text):
+    assert html.extract(source) == text
+
+
 @pytest.mark.parametrize("source", [None, "", "<", "<<<>>>", "<p", "<!--", "<script>x", "<a href='", "</div></p>", "<div>" * 3000, "<table><tr><td>", "&", "<p>&#x110000;&bogus;", "\x00<p>a"])
 def test_broken_pages(source):
     assert isinstance(html.extract(source), str)
