@@ -23,10 +23,14 @@ MULTIPLIERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E
 SLAB = 1 << 19
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))  # the pattern also has numerals such as a half
+
+
 def grams(text: str, dimensions: int = DIMENSIONS) -> np.ndarray | None:
     """The places, in a hashed feature space, of all 1- to 4-grams of the lower-cased code points; None if there is no
     letter. Runs of anything but letters count as one space."""
-    if not LETTER.search(text):
+    if not has_letter(text):
         return None
     clean = NOT_LETTERS.sub(" ", f" {text.lower()} ")
     points = np.frombuffer(clean.encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -184,7 +188,7 @@ def identify(docs: DataFrame, model: Model | None, dimensions: int = DIMENSIONS)
             for text in b.column(2):
                 t = text.as_py() or ""
                 lang, score = "und", 0.0
-                if own is not None and LETTER.search(t):
+                if own is not None and has_letter(t):
                     counts = np.zeros(dimensions, np.int64)
                     for at in range(0, len(t), SLAB):
                         g = grams(t[at : at + SLAB], dimensions)

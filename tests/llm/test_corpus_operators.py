@@ -98,7 +98,7 @@ def test_language_of_held_out_documents(spark, sf):
 
 
 def test_language_of_odd_texts_and_models(spark):
-    odd = table(spark, [*ODD, "123 456 !?"])
+    odd = table(spark, [*ODD, "123 456 ½ Ⅷ!?"])
     by = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(odd, language.train(odd)).collect()}
     assert by[0] == by[1] == by[2] == by[len(ODD)] == ("und", 0.0) and by[3][0] == "en"
     assert language.train(table(spark, [])) is None
