@@ -176,3 +176,45 @@ def keep_good(docs: DataFrame) -> DataFrame:
     bad = quality(docs).filter("not kept").select(F.col("text_hash").alias(names[0]), F.col("fine").alias(names[1])).distinct()
     same = (F.xxhash64(docs["text"]) == bad[names[0]]) & (_fine(docs["lang"], docs["source"]) == bad[names[1]])
     return docs.join(bad, same, "left_anti")
+
+
+def oracle_sql(min_rows: int = MIN_ROWS, cutoff: float = CUTOFF, steps: int = STEPS) -> str:
+    """The query op5_quality in DuckDB's SQL, in which a select may use its own aliases."""
+    x, cells, floors = [f"x{i}" for i in P], [(i, j) for j in P for i in P if i >= j], [_floor(i) for i in P]
+    whiten = []
+    for i, j in cells:  # column by column, each from those before
+        rest = f"(c{i}{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j)) + ")"
+        whiten.append(f"sqrt({rest}) AS l{i}{j}" if i == j else f"{rest} / l{j}{j} AS l{i}{j}")
+    for i, j in sorted(cells, key=lambda c: (c[0] - c[1], c)):
+        sums = " + ".join(f"l{i}{k} * w{k}{j}" for k in range(j, i))
+        whiten.append(f"1 / l{i}{i} AS w{i}{j}" if i == j else f"-({sums}) / l{i}{i} AS w{i}{j}")
+    distance = " + ".join("pow(" + " + ".join(f"w{i}{j} * (x{j} - m{j})" for j in range(i + 1)) + ", 2)" for i in P)
+    zero = ", ".join(f"pow(1.4826 * d{i}, 2) + {floors[i]} AS c{i}{i}" if i == j else f"0.0 AS c{i}{j}" for i, j in cells)
+    ctes = [
+        r"""d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)""",
+        r"""lines AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS ls FROM d)""",
+        f"""win AS (SELECT rid, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS k FROM (SELECT rid, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d WHERE len(w) >= {WINDOW}))""",
+        f"""rep AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest(range(i, i + {WINDOW})) AS p FROM (SELECT *, count(*) OVER (PARTITION BY rid, k) AS c FROM win) WHERE c > 1) GROUP BY rid)""",
+        f"""counts AS (SELECT rid, doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols,
+  len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d JOIN lines USING (rid) LEFT JOIN rep USING (rid))""",
+        f"""feat AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  round(asin(sqrt(least(n_symbols / (word_chars + 1.0), 1.0))) * {SCALE})::BIGINT AS x0, round(ln((word_chars + {PRIOR_WORDS * PRIOR_LENGTH}) / (n_words + {PRIOR_WORDS}.0)) * {SCALE})::BIGINT AS x1,
+  round(sqrt(n_dup_lines / (n_lines + 10.0)) * {SCALE})::BIGINT AS x2, round(sqrt(n_repeat_words / (n_words + 50.0)) * {SCALE})::BIGINT AS x3 FROM counts)""",
+        """fine AS (SELECT *, count(*) OVER (PARTITION BY lang, source) AS n FROM feat WHERE NOT base_failed)""",
+        f"""judged AS (SELECT *, CASE WHEN n >= {min_rows} THEN concat('f', lang, '/', source) WHEN sum(CASE WHEN n < {min_rows} THEN 1 ELSE 0 END) OVER (PARTITION BY lang) >= {min_rows} THEN concat('c', lang) ELSE 'all' END AS grp FROM fine)""",
+        f"""mid AS (SELECT grp, {", ".join(f"quantile_cont({c}, 0.5) AS m{i}" for i, c in enumerate(x))} FROM judged GROUP BY grp)""",
+        f"""off AS (SELECT grp, {", ".join(f"quantile_cont(abs(round({c} - m{i})), 0.5) AS d{i}" for i, c in enumerate(x))} FROM judged JOIN mid USING (grp) GROUP BY grp)""",
+        f"""e0 AS (SELECT *, {zero}, {", ".join(whiten)} FROM mid JOIN off USING (grp))""",
+    ]
+    for s in range(steps):
+        sums = ", ".join([f"sum({c})::DOUBLE / count(*) AS m{i}" for i, c in enumerate(x)] + [f"sum(x{i} * x{j})::DOUBLE / count(*) AS q{i}{j}" for i, j in cells])
+        cov = ", ".join(f"{CONSISTENCY} * (q{i}{j} - m{i} * m{j}) + {floors[i] if i == j else 0.0} AS c{i}{j}" for i, j in cells)
+        ctes += [
+            f"far{s} AS (SELECT j.grp, {', '.join(x)}, round(log2(1 + {distance}) * 64)::BIGINT AS far FROM judged j JOIN e{s} USING (grp))",
+            f"near{s} AS (SELECT * FROM (SELECT *, quantile_cont(far, {HALF}) OVER (PARTITION BY grp) AS most FROM far{s}) WHERE far <= most)",
+            f"s{s} AS (SELECT grp, {sums} FROM near{s} GROUP BY grp)",
+            f"e{s + 1} AS (SELECT *, {cov}, {', '.join(whiten)} FROM s{s})",
+        ]
+    good = f"good AS (SELECT rid FROM judged JOIN e{steps} USING (grp) WHERE {distance} <= {cutoff})"
+    named = ", ".join(f"{c}::BIGINT AS {c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
+    return f"WITH {', '.join([*ctes, good])} SELECT doc_id, {named}, base_failed, rid IN (SELECT rid FROM good) AS kept FROM feat"

@@ -14,4 +14,4 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_sharding": sharding.op10_sharding,
 }
-ORACLE_SQL = {"op4_decontaminate": decontaminate.OP4_SQL}
+ORACLE_SQL = {"op4_decontaminate": decontaminate.OP4_SQL, "op5_quality": quality.oracle_sql()}
