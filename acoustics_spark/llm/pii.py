@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+$")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # a run that fails at its start fails later, too
+IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # a run that fails at its start fails later, too
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
@@ -62,9 +62,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 # Look-alikes of Latin letters and signs. Full-width ASCII and decimal digits of other scripts follow by rule.
-CYRILLIC_GREEK = "АВЕКМНОРСТУХЅІЈаеорсухѕіјԁһԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοαιν"
-AS_LATIN = "ABEKMHOPCTYXSIJaeopcyxsijdhqwABEZHIKMNOPTYXoaiv"
-SIGNS, AS_ASCII = "。․‐‑‒–—−﹫﹢", "..------@+"
+CYRILLIC_GREEK = "АВЕКМНОРСТУХЅІЈаеорсухѕіјԁһԛԝкмтӏΑΒΕΖΗΙΚΜΝΟΡΤΥΧοαινρκτυεχγωıɑɡ"
+AS_LATIN = "ABEKMHOPCTYXSIJaeopcyxsijdhqwkmtlABEZHIKMNOPTYXoaivpktuexywiag"
+SIGNS, AS_ASCII = "。․·‐‑‒–—−﹫ⓐ﹢", "...------@@+"
+SMALL, AS_SMALL = "⁰¹²³⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉⓪①②③④⑤⑥⑦⑧⑨", "012345678901234567890123456789"
 INVISIBLE = "­​‌‍⁠﻿"
 # Spelled digits of the languages at hand.
 SPELLED = {
@@ -74,20 +75,29 @@ SPELLED = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 
-_SAME = {ord(a): b for a, b in zip(CYRILLIC_GREEK + SIGNS, AS_LATIN + AS_ASCII)}
+_SAME = {ord(a): b for a, b in zip(CYRILLIC_GREEK + SIGNS + SMALL, AS_LATIN + AS_ASCII + AS_SMALL)}
 _SAME |= {0xFF01 + i: chr(0x21 + i) for i in range(94)}  # full-width forms
 _SAME |= {zero + i: str(i) for zero in (0x660, 0x6F0, 0x966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for i in range(10)}
 _WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 _AT, _DOT = "at|arroba|arobase|klammeraffe|ät", "dot|punkt|point|punto"
-_GAP = r"[\s,;./-]{0,3}"
+_GAP = r"[\s,;./()-]{0,3}"
+_NUMBER = rf"(?:(?:double|triple)\s+)?(?:{_WORD})"
 LOOKALIKE = re.compile("[" + re.escape("".join(map(chr, _SAME)) + INVISIBLE) + "]")
-SPOKEN = re.compile(rf"(?<!\w)(?:{_WORD})(?:{_GAP}(?:{_WORD}|[0-9]))+(?!\w)|(?<![0-9])[0-9](?:{_GAP}(?:{_WORD}))(?!\w)", re.I)
+SPOKEN = re.compile(rf"(?<!\w){_NUMBER}(?:{_GAP}(?:{_NUMBER}|[0-9]))+(?!\w)", re.I)
+_PART = rf"(?:{_WORD}|[0-9]{{1,3}})(?:[\s-]{{1,2}}(?:{_WORD})){{0,2}}"
+SPOKEN_IP = re.compile(rf"(?<![\w.]){_PART}(?:\s+(?:{_DOT})\s+{_PART}){{3}}(?!\w)", re.I)
 BRACKETED = re.compile(rf"\s*[\[({{<]\s*(?:({_AT}|@)|({_DOT}|\.))\s*[\])}}>]\s*", re.I)
 ENTITY = re.compile(r"&(?:#0*64|#x0*40|commat);|(&(?:#0*46|#x0*2e|period);)", re.I)
-WORDED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:\s+(?:{_AT})\s+|\s*@\s*)[A-Za-z0-9-]+(?:(?:\s+(?:{_DOT})\s+|\s*\.\s*)[A-Za-z0-9-]+)*(?:\s+(?:{_DOT})\s+)[A-Za-z]{{2,}}(?!\w)", re.I)
+WORDED = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]+\s+(?:{_DOT})\s+){{0,3}}[A-Za-z0-9._%+-]+(?:\s+(?:{_AT})\s+|\s*@\s*)[A-Za-z0-9-]+(?:(?:\s+(?:{_DOT})\s+|\s*\.\s*)[A-Za-z0-9-]+)*(?:\s+(?:{_DOT})\s+)[A-Za-z]{{2,}}(?!\w)", re.I)
 SPACED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?: @ ?| ?@ )[A-Za-z0-9-]+(?: ?\. ?[A-Za-z0-9-]+)*?\.[A-Za-z]{2,}(?!\w)")
-WORDED_IP = re.compile(rf"(?<![\w.])[0-9]{{1,3}}(?:\s+(?:{_DOT})\s+[0-9]{{1,3}}){{3}}(?!\w)", re.I)
-HINT = re.compile(rf"[\[({{<]\s*(?:{_AT}|{_DOT}|[@.])\s*[\])}}>]|&(?:#|commat|period)|\s(?:{_DOT})\s|\s@|@\s", re.I)
+HINT = re.compile(rf"[_-]dot[_-]|[\[({{<]\s*(?:{_AT}|{_DOT}|[@.])\s*[\])}}>]|&(?:#|commat|period)|\s(?:{_DOT})\s|\s@|@\s")  # of lower-cased text
+JOINED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9.%+]+[_-]at[_-][A-Za-z0-9]+(?:(?:[_-]dot[_-]|\.)[A-Za-z0-9]+)*[_-]dot[_-][A-Za-z]{2,}(?!\w)", re.I)
+GROUPED = re.compile(r"(?<![0-9])[0-9]{4}(?:[^0-9A-Za-z]{1,3}[0-9]{4}){3}(?![0-9])")
+LETTERED = re.compile(r"(?<![A-Za-z0-9])[+]?[0-9OolI(][0-9OolISB\x20().-]{7,30}[0-9OolISB](?![A-Za-z0-9])")
+AS_DIGITS = str.maketrans("OolISB", "001158")
+DIGIT = re.compile("[0-9]")
+FOREIGN = re.compile("[\u00ad\u00b2\u00b3\u00b7\u00b9\u0131\u0251\u0261\u0370-\U0010ffff]")  # all of LOOKALIKE is here
+LETTERS = re.compile(r"[^\W\d_]+")
 PLUS = re.compile(r"(?<!\w)plus\s+(?=[0-9])", re.I)
 
 
@@ -120,34 +130,62 @@ class Normalised:
         return int(self.start[a]), int(self.end[b - 1])
 
 
+def _said(text: str) -> str:
+    """The digits of a spelled or written number; double and triple repeat the next."""
+    out, times = "", 1
+    for w in re.findall(rf"double|triple|{_WORD}|[0-9]", text, re.I):
+        w = w.lower()
+        if w in ("double", "triple"):
+            times = 2 if w == "double" else 3
+        else:
+            out, times = out + SPELLED.get(w, w) * times, 1
+    return out
+
+
 def _spoken(m: re.Match) -> str | None:
     """Digits for a run of spelled ones: three words at least and, so that a repeated word isn't a number, not all the
-    same; a single word beside digits is taken as it stands."""
-    found = re.findall(rf"{_WORD}|[0-9]", m[0], re.I)
-    words = [w for w in found if not w.isdigit()]
-    digits = "".join(w if w.isdigit() else SPELLED[w.lower()] for w in found)
-    return digits if len(words) >= 3 and len(set(digits)) >= 3 else None
+    same."""
+    digits = _said(m[0])
+    return digits if len(re.findall(_WORD, m[0], re.I)) >= 3 and len(set(digits)) >= 3 else None
+
+
+def _spoken_ip(m: re.Match) -> str | None:
+    parts = [_said(x) for x in re.split(rf"\s(?:{_DOT})\s", m[0], flags=re.I)]
+    return ".".join(parts) if all(len(x) <= 3 and int(x) <= 255 for x in parts) else None
+
+
+def _lettered(m: re.Match) -> str | None:
+    """Letters that look like digits as such, in a number that is mostly digits and in each of whose groups one is."""
+    groups = re.findall("[0-9OolISB]+", m[0])
+    letters = sum(map(len, groups)) - len(_digits(m[0]))
+    if m[0][0] == "+":
+        groups = groups[1:]
+    return m[0].translate(AS_DIGITS) if 0 < letters <= len(_digits(m[0])) // 2 and all(map(DIGIT.search, groups)) else None
 
 
 def hidden_spans(text: str) -> list[tuple[str, int, int]]:
     """Identifiers that show only once disguises are undone, as spans of the source.
 
-    The transducers run in turn: look-alikes to ASCII and invisible characters away, spelled digits to digits, bracketed,
-    encoded and spoken at/dot signs to @ and a dot. A match of a base pattern in the result counts if a rewriting took
+    The transducers run in turn: look-alikes to ASCII and invisible characters away, spelled digits and letters among
+    digits to digits, bracketed, encoded, joined and spoken at/dot signs to @ and a dot. A match of a base pattern in the result counts if a rewriting took
     part in it; a bare spelled number of 9 to 15 digits counts as a phone.
     """
     out: list[tuple[str, int, int]] = []
-    spoken, hints = SPOKEN.search(text), HINT.search(text)
-    if not (spoken or hints or not text.isascii() and LOOKALIKE.search(text)):
+    low = text.lower()
+    lettered = DIGIT.search(text) and (GROUPED.search(text) or any(map(_lettered, LETTERED.finditer(text))))
+    if not (lettered or HINT.search(low) or FOREIGN.search(text) and LOOKALIKE.search(text)) and (SPELLED.keys().isdisjoint(LETTERS.findall(low)) or not SPOKEN.search(text)):
         return out
     n = Normalised(text)
     n.rewrite(LOOKALIKE, lambda m: "" if m[0] in INVISIBLE else _SAME[ord(m[0])])
     n.rewrite(ENTITY, lambda m: "." if m[1] else "@")
     n.rewrite(BRACKETED, lambda m: "." if m[2] else "@")
     bare: list[tuple[int, int]] = []
+    n.rewrite(SPOKEN_IP, _spoken_ip)
     n.rewrite(SPOKEN, _spoken)
     n.rewrite(PLUS, lambda m: "+")
-    n.rewrite(WORDED_IP, lambda m: ".".join(re.findall("[0-9]+", m[0])))
+    n.rewrite(LETTERED, _lettered)
+    n.rewrite(GROUPED, lambda m: d if _luhn(d := _digits(m[0])) else None)
+    n.rewrite(JOINED, lambda m: re.sub("[_-]at[_-]", "@", re.sub("[_-]dot[_-]", ".", m[0], flags=re.I), flags=re.I))
     n.rewrite(WORDED, lambda m: _tight(m[0]))
     n.rewrite(SPACED, lambda m: _tight(m[0]))
     for kind, a, b in base_spans(n.text):
