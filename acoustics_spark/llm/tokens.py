@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -15,58 +16,88 @@ UNKNOWN_PENALTY = 10.0
 
 
 class Trie:
-    """Forward scores of prefixes: ``best[k]`` is the best segmentation of node k's prefix as (score, -tokens).
+    """Forward scores of prefixes: ``best`` and ``tokens`` have each node's score and its tokens, ``child`` the node that a
+    node and a character lead to (numbers alone, which cost no garbage collection).
 
     A prefix is worked out once, however many pre-tokens begin with it; the terminal count of each pre-token is kept.
-    At ``most_nodes`` nodes everything is forgotten and built anew, so memory is bounded.
+    At ``most_nodes`` nodes the trie, and at as many pre-tokens their counts, are forgotten and built anew, so memory is
+    bounded. ``ends`` has every end of every piece, with the score of those that are pieces, so that looking back from a
+    place stops where no piece can reach.
     """
 
     def __init__(self, scores: dict[str, float], most_nodes: int = MOST_NODES):
-        self.scores, self.longest = scores, max(map(len, scores), default=1)
-        self.unknown, self.most = min(scores.values(), default=0.0) - UNKNOWN_PENALTY, most_nodes
+        self.scores, self.most = scores, most_nodes
+        self.unknown = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
+        self.ends = {p[i:]: scores.get(p[i:]) for p in scores for i in range(len(p))}
+        self.counts: dict[str, int] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
-        self.best: list[tuple[float, int]] = [(0.0, 0)]
-        self.counts: dict[str, int] = {}
-
-    def step(self, path: list[tuple[float, int]], word: str, end: int) -> tuple[float, int]:
-        """The best segmentation of word[:end] from those of its prefixes. A character in no piece is its UTF-8 bytes."""
-        last, out = word[end - 1], None
-        for start in range(max(0, end - self.longest), end):
-            score = self.scores.get(word[start:end])
-            if score is not None:
-                found = (path[start][0] + score, path[start][1] - 1)
-                if out is None or found > out:
-                    out = found
+        self.child: dict[int, int] = {}
+        self.best, self.tokens = array("d", [0.0]), array("l", [0])
+
+    def step(self, scores: list[float], tokens: list[int], word: str, end: int) -> tuple[float, int]:
+        """The best segmentation of word[:end] from those of its prefixes (ties: the fewest tokens). A character in no
+        piece is its UTF-8 bytes."""
+        last, best, n, get = word[end - 1], None, 0, self.ends.get
+        for start in range(end - 1, -1, -1):
+            score = get(word[start:end], 0)  # scores are floats, so this 0 is no score
+            if score is None:
+                continue
+            if score.__class__ is int:
+                break
+            score += scores[start]
+            if best is None or score > best or score == best and tokens[start] < n:
+                best, n = score, tokens[start]
+        n += 1
         if last not in self.scores:
-            found = (path[end - 1][0] + self.unknown, path[end - 1][1] - len(last.encode("utf-8", "replace")))
-            if out is None or found > out:
-                out = found
-        return out
+            score, own = scores[end - 1] + self.unknown, tokens[end - 1] + len(last.encode("utf-8", "replace"))
+            if best is None or score > best or score == best and own < n:
+                best, n = score, own
+        return best, n
 
     def count(self, word: str) -> int:
         got = self.counts.get(word)
         if got is not None:
             return got
-        path = [self.best[0]]
-        if len(word) > LONGEST_SHARED:  # rare and long: not worth nodes; only the last scores matter
+        if len(word) > LONGEST_SHARED:  # rare and long: not worth nodes
+            scores, tokens = [0.0], [0]
             for end in range(1, len(word) + 1):
-                path.append(self.step(path, word, end))
-            return -path[-1][1]
+                score, n = self.step(scores, tokens, word, end)
+                scores.append(score)
+                tokens.append(n)
+            return tokens[-1]
         if len(self.best) > self.most:
             self.reset()
-        node = 0
+        if len(self.counts) > self.most:
+            self.counts.clear()
+        scores, tokens = [0.0], [0]
+        node, child, best_of, tokens_of, get, known = 0, self.child, self.best, self.tokens, self.ends.get, self.scores
         for end, c in enumerate(word, 1):
-            at = self.child.get((node, c))
-            if at is None:
-                at = self.child[node, c] = len(self.best)
-                self.best.append(self.step(path, word, end))
-            node = at
-            path.append(self.best[node])
-        self.counts[word] = -path[-1][1]
-        return -path[-1][1]
+            key = node << 21 | ord(c)
+            node = child.get(key)
+            if node is None:
+                best = None  # as in step(), without the calls
+                for start in range(end - 1, -1, -1):
+                    score = get(word[start:end], 0)
+                    if score is None:
+                        continue
+                    if score.__class__ is int:
+                        break
+                    score += scores[start]
+                    if best is None or score > best or score == best and tokens[start] < n:
+                        best, n = score, tokens[start]
+                if c not in known:
+                    best, n = self.step(scores, tokens, word, end)
+                else:
+                    n += 1
+                node = child[key] = len(best_of)
+                best_of.append(best)
+                tokens_of.append(n)
+            scores.append(best_of[node])
+            tokens.append(tokens_of[node])
+        self.counts[word] = tokens[-1]
+        return tokens[-1]
 
 
 def piece_scores(path: str | None = None) -> dict[str, float]:
@@ -76,7 +107,7 @@ def piece_scores(path: str | None = None) -> dict[str, float]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path("piece_bpe_32k.model"))
     plain = (i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i) or sp.is_unused(i)))
-    return {sp.id_to_piece(i): sp.get_score(i) for i in plain}
+    return {sp.id_to_piece(i): float(sp.get_score(i)) for i in plain}
 
 
 def pretokens(text: str) -> list[str]:
