@@ -92,12 +92,10 @@ def op7_simhash(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "fingerprint", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
-    """docs with one row of each component: that of its least doc_id; of repeated rows with that id, one.
-
-    Rows with a null doc_id stay, as nothing names them.
-    """
-    seen = near_duplicates(docs, width, radius).filter("doc_id = component_id")
+def keep_least(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs with one row of each component of groups(doc_id, text_hash, component_id): that of its least doc_id; of
+    repeated rows with that id, one. Rows with a null doc_id stay, as nothing names them."""
+    seen = groups.filter("doc_id = component_id")
     at, digest, times = (own_name(docs, n) for n in ("_id", "_digest", "_times"))
     keep = seen.groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
     counts = seen.groupBy("doc_id", "text_hash").agg(F.count("*").alias(times))
@@ -107,3 +105,8 @@ def drop_near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> Da
     once = own.filter(F.col(times) == 1).select(docs.columns)
     again = own.filter(F.col(times) > 1).dropDuplicates([at]).select(docs.columns)
     return once.unionByName(again).unionByName(docs.filter("doc_id is null"))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
+    """docs with one row of each component of fingerprints; see :func:`keep_least`."""
+    return keep_least(docs, near_duplicates(docs, width, radius))
