@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +100,8 @@ DIGIT = re.compile("[0-9]")
 FOREIGN = re.compile("[\u00ad\u00b2\u00b3\u00b7\u00b9\u0131\u0251\u0261\u0370-\U0010ffff]")  # all of LOOKALIKE is here
 LETTERS = re.compile(r"[^\W\d_]+")
 PLUS = re.compile(r"(?<!\w)plus\s+(?=[0-9])", re.I)
+NUMERALS = re.compile(rf"(?:{_WORD}|double|triple)+")
+FOLDS = re.compile("[\u0130\u017f\u212a]")  # match ASCII letters where case is ignored, but str.lower doesn't give these
 
 
 class Normalised:
@@ -163,18 +166,37 @@ def _lettered(m: re.Match) -> str | None:
     return m[0].translate(AS_DIGITS) if 0 < letters <= len(_digits(m[0])) // 2 and all(map(DIGIT.search, groups)) else None
 
 
+@lru_cache(1 << 16)
+def _numeral(word: str) -> bool:
+    """Whether a run of letters is nothing but spelled digits."""
+    return NUMERALS.fullmatch(word) is not None
+
+
+def disguised(text: str) -> bool:
+    """Whether some rewriting may change the text: False only if none does, as each one's matches hold one of the signs
+    (a spoken number takes in whole runs of letters, all of them spelled digits)."""
+    low = text.lower()
+    if HINT.search(low) or FOLDS.search(text) or FOREIGN.search(text) and LOOKALIKE.search(text) or "plus" in low and PLUS.search(text):
+        return True
+    if DIGIT.search(text) and (GROUPED.search(text) or any(map(_lettered, LETTERED.finditer(text)))):
+        return True
+    return any(map(_numeral, LETTERS.findall(low))) and SPOKEN.search(text) is not None
+
+
 def hidden_spans(text: str) -> list[tuple[str, int, int]]:
-    """Identifiers that show only once disguises are undone, as spans of the source.
+    """Identifiers that show only once disguises are undone, as spans of the source; only texts with a sign of one are
+    rewritten."""
+    return undone_spans(text) if disguised(text) else []
+
+
+def undone_spans(text: str) -> list[tuple[str, int, int]]:
+    """:func:`hidden_spans` of any text, whatever signs it has.
 
     The transducers run in turn: look-alikes to ASCII and invisible characters away, spelled digits and letters among
     digits to digits, bracketed, encoded, joined and spoken at/dot signs to @ and a dot. A match of a base pattern in the result counts if a rewriting took
     part in it; a bare spelled number of 9 to 15 digits counts as a phone.
     """
     out: list[tuple[str, int, int]] = []
-    low = text.lower()
-    lettered = DIGIT.search(text) and (GROUPED.search(text) or any(map(_lettered, LETTERED.finditer(text))))
-    if not (lettered or HINT.search(low) or FOREIGN.search(text) and LOOKALIKE.search(text)) and (SPELLED.keys().isdisjoint(LETTERS.findall(low)) or not SPOKEN.search(text)):
-        return out
     n = Normalised(text)
     n.rewrite(LOOKALIKE, lambda m: "" if m[0] in INVISIBLE else _SAME[ord(m[0])])
     n.rewrite(ENTITY, lambda m: "." if m[1] else "@")
