@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..store import shared_folder
 
 
+_open: list[list[Tables]] = []
+
+
 class Tables:
     """Tables written to the shared folder by one call of an operator.
 
@@ -18,6 +23,8 @@ class Tables:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+        for made in _open:
+            made.append(self)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -29,11 +36,33 @@ class Tables:
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a table of :meth:`write` that nothing reads any more."""
-        jvm, at = self.spark._jvm, df._stored_at
-        path = jvm.org.apache.hadoop.fs.Path(at)
+        self._delete(df._stored_at)
+
+    def keep_only(self, *dfs: DataFrame) -> None:
+        """Deletes all tables but these, which are read later."""
+        kept = {df._stored_at for df in dfs}
+        for path in (f"{self.folder}/{i + 1}" for i in range(self.n)):
+            if path not in kept:
+                self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def swept() -> Iterator[None]:
+    """Deletes the tables that operators called inside have written; what they return must be written by then."""
+    made: list[Tables] = []
+    _open.append(made)
+    try:
+        yield
+    finally:
+        _open.remove(made)
+    for tables in made:
+        tables._delete(tables.folder)
+
+
 def own_name(df: DataFrame, name: str) -> str:
     """name, lengthened until no column of df is called so."""
     taken = {c.lower() for c in df.columns}

@@ -10,12 +10,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from .likely import likely
 from .store import Tables
 
 LENGTH = 400
 CELL = 16  # starts refined together
-LIKELY = 1 << 22  # places of the text hash by which documents are kept out of a shuffle: what is broadcast is bounded
 SLAB = 1 << 20  # starts worked on at once; longer documents are cut into slabs that overlap by LENGTH
+FOLLOWING = bytes(range(0x80, 0xC0))  # bytes of UTF-8 that don't begin a code point
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -113,15 +114,9 @@ def find_runs(docs: DataFrame, length: int, q: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_hash long, bucket long, context long, lo int, n int, place int")
 
 
-def _likely(rows: DataFrame, wanted: DataFrame, how: str) -> DataFrame:
-    """rows whose text hash falls (left_semi) or doesn't fall (left_anti) on a place, of LIKELY, that wanted has."""
-    places = wanted.select(F.pmod("text_hash", F.lit(LIKELY)).alias("_place")).distinct()
-    return rows.join(F.broadcast(places), F.pmod(rows["text_hash"], F.lit(LIKELY)) == places["_place"], how)
-
-
 def _with_texts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """(doc_id, text_hash, text, of) of the documents in wanted(doc_id, text_hash, of); few other texts are shuffled."""
-    rows = _likely(_named(docs).filter(F.octet_length("text") >= length), wanted, "left_semi")
+    rows = likely(_named(docs).filter(F.octet_length("text") >= length), wanted, "left_semi")
     same = rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["text_hash"] == wanted["text_hash"])
     return rows.join(wanted, same).select(rows["doc_id"], rows["text_hash"], "text", "of")
 
@@ -193,32 +188,35 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, cell: int = CELL) -> D
     strings; cells without a like in their core are done.
     3: in the cells that are left, string by string, on the identifiers of the first half's bucket and of that at the
     later offset where the second half begins.
-    Counts are combined before shuffles and joined back, so a passage that a third of all documents share is no hot task.
+    Counts are combined before shuffles and written before they are joined back. Both sides of such a join are then plain
+    shuffles of tables, so Spark splits the rows of a passage that a third of all documents share over many tasks.
     """
     tables, q = Tables(docs.sparkSession, "substrings"), max(length * 8 // 25, 1)
     key = ["doc_id", "text_hash"]
     runs = tables.write(find_runs(docs, length, q))
-    shared = runs.groupBy("bucket").agg(F.count("*").alias("_n")).filter("_n > 1").select("bucket")
+    shared = tables.write(runs.groupBy("bucket").agg(F.count("*").alias("_n")).filter("_n > 1").select("bucket"))
     left = tables.write(runs.join(shared, "bucket"))
     tables.drop(runs)
     contexts = left.groupBy("bucket", "context").agg(F.count("*").alias("times"), F.min(F.struct(*key, "lo", "n", "place")).alias("one"))
     contexts = tables.write(contexts)
     twins = left.join(contexts.filter("times > 1").select("bucket", "context"), ["bucket", "context"])
     mixed = contexts.groupBy("bucket").agg(F.count("*").alias("_kinds"), F.min("times").alias("_least")).filter("_kinds > 1 and _least = 1")
-    asked = contexts.join(mixed, "bucket").select("one.*", (F.col("times") == 1).alias("open"))
+    asked = contexts.join(tables.write(mixed), "bucket").select("one.*", (F.col("times") == 1).alias("open"))
     asked = tables.write(asked.groupBy(*key).agg(F.collect_list(F.struct("lo", "n", "place", "open")).alias("of")))
     cells = tables.write(find_cells(docs, asked, length, cell))
     hulls = cells.filter("hull is not null").groupBy("core", "hull").agg(F.sum(F.when(F.col("open"), 1).otherwise(2)).alias("_n")).filter("_n > 1")
-    cells = tables.write(cells.join(hulls, ["core", "hull"], "left").withColumn("open", F.col("open") & F.col("_n").isNull()).withColumn("alike", F.col("_n").isNotNull()).drop("_n", "hull"))
+    cells = tables.write(cells.join(tables.write(hulls), ["core", "hull"], "left").withColumn("open", F.col("open") & F.col("_n").isNull()).withColumn("alike", F.col("_n").isNotNull()).drop("_n", "hull"))
     cores = cells.groupBy("core").agg(F.count("*").alias("_n"), F.max("open").alias("_open")).filter("_n > 1 and _open")
-    wanted = cells.join(cores, "core").groupBy(*key).agg(F.collect_list(F.struct("a", "b", "open")).alias("of"))
+    wanted = cells.join(tables.write(cores), "core").groupBy(*key).agg(F.collect_list(F.struct("a", "b", "open")).alias("of"))
     strings = tables.write(find_strings(docs, tables.write(wanted), length))
     again = strings.groupBy("b0", "b1").agg(F.count("*").alias("_n"), F.max("open").alias("_open")).filter("_n > 1 and _open").select("b0", "b1")
-    single = strings.filter("open").join(again, ["b0", "b1"])
+    single = strings.filter("open").join(tables.write(again), ["b0", "b1"])
     spans = twins.select(*key, F.col("lo").alias("a"), (F.col("lo") + F.col("n") + length).alias("b"))
     spans = spans.unionAll(cells.filter("alike").select(*key, "a", (F.col("b") + length).alias("b")))
     spans = spans.unionAll(single.select(*key, F.col("start").alias("a"), (F.col("start") + length).alias("b")))
-    return tables.write(spans.groupBy(*key).agg(F.collect_set(F.struct("a", "b")).alias("spans")))
+    out = tables.write(spans.groupBy(*key).agg(F.collect_set(F.struct("a", "b")).alias("spans")))
+    tables.keep_only(out)
+    return out
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -233,7 +231,8 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (and kept, binary, if with_text) of every row of documents.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_chars, spans (and kept, binary, if with_text) of every row of
+    documents; n_chars counts the code points that begin in what is kept.
 
     Every byte covered by a ``length``-byte string that also starts anywhere else, in the same text or another, goes;
     strings are judged on the input. Null and empty texts have no bytes. Rows alike in doc_id and text are copies of
@@ -247,17 +246,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True
                 gone = merged(spans)
                 edges = [0, *(x for s in gone for x in s), len(text)]
                 kept = b"".join(text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
-                out.append((len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), [{"a": x, "b": y} for x, y in gone], kept if with_text else None))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.binary()]
-            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
+                out.append((len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), len(kept.translate(None, FOLLOWING)), [{"a": x, "b": y} for x, y in gone], kept if with_text else None))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.binary()]
+            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_chars", "spans", "kept"]
             yield pa.record_batch([b.column(0), *(pa.array([o[i] for o in out], k) for i, k in enumerate(kinds))], names=["doc_id", *names])
 
     spans, rows = repeated_spans(docs, length), _named(docs)
-    near, far = _likely(rows, spans, "left_semi"), _likely(rows, spans, "left_anti")
+    near, far = likely(rows, spans, "left_semi"), likely(rows, spans, "left_anti")
     same = near["doc_id"].eqNullSafe(spans["doc_id"]) & (near["text_hash"] == spans["text_hash"])
     near = near.join(spans, same, "left").select(near["doc_id"], "text", "spans")
     rows = near.unionByName(far.select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
-    out = rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:int,b:int>>, kept binary")
+    out = rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_chars long, spans array<struct<a:int,b:int>>, kept binary")
     return out if with_text else out.drop("kept")
 
 

@@ -56,16 +56,17 @@ def repeating_texts(seed, length, n=60):
     return [*texts, texts[0], texts[1], texts[1], "ab" * length, "z" * 3 * length, "ab" * length + "c", *ODD]
 
 
-@pytest.mark.parametrize(("length", "slab", "likely"), [(40, None, None), (61, None, 3), (100, 150, None)])
-def test_repeats_match_brute_force(spark, monkeypatch, length, slab, likely):
+@pytest.mark.parametrize(("length", "slab", "places"), [(40, None, None), (61, None, 3), (100, 150, None)])
+def test_repeats_match_brute_force(spark, monkeypatch, length, slab, places):
     monkeypatch.setattr(substrings, "SLAB", slab or substrings.SLAB)
-    monkeypatch.setattr(substrings, "LIKELY", likely or substrings.LIKELY)
+    monkeypatch.setattr("acoustics_spark.llm.likely.PLACES", places or 1 << 24)
     texts = repeating_texts(length, length)
     ids = [*range(len(texts) - 3), 1, None, None]
     got = substrings.remove_repeats(table(spark, texts, ids).repartition(3), length).collect()
     want = slow_repeats(texts, length)
     assert sorted(map(str, [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got])) == sorted(str((i, *w)) for i, w in zip(ids, want))
     assert 20 < sum(w[1] > 0 for w in want) and all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
+    assert all(r.n_chars == sum(x & 0xC0 != 0x80 for x in r.kept) for r in got)
 
 
 def test_repeats_of_400_bytes_in_given_documents(spark, sf):
