@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not conf.get("spark.master", "").startswith("local"):
+    if not re.fullmatch(r"local(\[.*)?", conf.get("spark.master", "")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="checkpoints-")
     spark.sparkContext.setCheckpointDir(folder)
