@@ -7,6 +7,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .likely import without
 from .store import Tables, own_name
 
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")  # of lower-cased UTF-8: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+
@@ -125,7 +126,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose text is contaminated."""
     digest = own_name(docs, "_digest")
     dirty = contamination(docs, benchmark).filter("contaminated").select(F.col("text_hash").alias(digest)).distinct()
-    return docs.join(dirty, F.xxhash64(docs["text"]) == dirty[digest], "left_anti")
+    dirty = Tables(docs.sparkSession, "contaminated").write(dirty)
+    return without(docs, dirty, F.xxhash64(docs["text"]) == dirty[digest], digest)
 
 
 OP4_SQL = r"""

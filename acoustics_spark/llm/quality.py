@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .likely import without
 from .store import Tables, own_name
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -175,7 +176,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     names = [own_name(docs, n) for n in ("_text", "_fine")]
     bad = quality(docs).filter("not kept").select(F.col("text_hash").alias(names[0]), F.col("fine").alias(names[1])).distinct()
     same = (F.xxhash64(docs["text"]) == bad[names[0]]) & (_fine(docs["lang"], docs["source"]) == bad[names[1]])
-    return docs.join(bad, same, "left_anti")
+    return without(docs, Tables(docs.sparkSession, "rejected").write(bad), same, names[0])
 
 
 def oracle_sql(min_rows: int = MIN_ROWS, cutoff: float = CUTOFF, steps: int = STEPS) -> str:

@@ -10,30 +10,39 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import connected_components
+from .likely import likely
 from .store import Tables, own_name
 
 BITS = 64
 SEED = 42
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """64-bit SimHash of a UTF-8 text: A-Z lower-cased, words between ASCII white space, shingles of ``width`` words
-    with repeats (fewer words: one shingle of all; none: 0). A bit is 1 if it is set in over half the hashes."""
+def shingle_digests(text: bytes | None, width: int) -> bytes:
+    """The 8-byte hashes of a UTF-8 text's shingles in order, repeats included: A-Z lower-cased, words between ASCII white
+    space, ``width`` words each (fewer words: one shingle of all; none: no shingle)."""
     words = (text or b"").lower().split()  # bytes.lower and bytes.split know ASCII alone
     if not words:
-        return 0
+        return b""
     join, digest = b" ".join, xxhash.xxh64_digest
     if len(words) <= width:
-        hashes = digest(join(words), SEED)
-    else:
-        hashes = b"".join([digest(join(words[i : i + width]), SEED) for i in range(len(words) - width + 1)])
-    n = len(hashes) // 8
-    raw, votes = np.frombuffer(hashes, np.uint8).reshape(n, 8), np.zeros(BITS, np.int64)
+        return digest(join(words), SEED)
+    return b"".join([digest(join(words[i : i + width]), SEED) for i in range(len(words) - width + 1)])
+
+
+def majority(digests: bytes) -> int:
+    """The number whose bit is 1 if it is set in over half the digests; 0 for none."""
+    n = len(digests) // 8
+    raw, votes = np.frombuffer(digests, np.uint8).reshape(n, 8), np.zeros(BITS, np.int64)
     for i in range(0, n, 1 << 16):  # a long text's bits are counted in slices
         votes += np.unpackbits(raw[i : i + (1 << 16)], axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big")
 
 
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    """64-bit SimHash of a UTF-8 text over its shingles, see :func:`shingle_digests`."""
+    return majority(shingle_digests(text, width))
+
+
 def with_fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, text_hash, fp) of documents(doc_id, text), fp the fingerprint as a signed long."""
 
@@ -94,17 +103,19 @@ def op7_simhash(spark, sf_dir: str) -> DataFrame:
 
 def keep_least(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """docs with one row of each component of groups(doc_id, text_hash, component_id): that of its least doc_id; of
-    repeated rows with that id, one. Rows with a null doc_id stay, as nothing names them."""
-    seen = groups.filter("doc_id = component_id")
+    repeated rows with that id, one. Rows with a null doc_id stay, as nothing names them. Only rows that may go are
+    shuffled."""
     at, digest, times = (own_name(docs, n) for n in ("_id", "_digest", "_times"))
-    keep = seen.groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
-    counts = seen.groupBy("doc_id", "text_hash").agg(F.count("*").alias(times))
-    keep = keep.join(counts, ["doc_id", "text_hash"]).select(F.col("doc_id").alias(at), F.col("text_hash").alias(digest), times)
-    named = docs.filter("doc_id is not null")
-    own = named.join(keep, (named["doc_id"].cast("long") == keep[at]) & (F.xxhash64(named["text"]) == keep[digest]))
-    once = own.filter(F.col(times) == 1).select(docs.columns)
-    again = own.filter(F.col(times) > 1).dropDuplicates([at]).select(docs.columns)
-    return once.unionByName(again).unionByName(docs.filter("doc_id is null"))
+    rows = groups.filter("doc_id is not null").groupBy("doc_id", "text_hash").agg(F.min("component_id").alias("component_id"), F.count("*").alias("times"))
+    least = rows.filter("doc_id = component_id").groupBy("doc_id").agg(F.min("text_hash").alias("least"))
+    stays = F.col("component_id").eqNullSafe(F.col("doc_id")) & F.col("least").eqNullSafe(F.col("text_hash"))
+    rows = rows.join(least, "doc_id", "left").select(F.col("doc_id").alias(at), F.col("text_hash").alias(digest), F.when(stays, F.col("times")).otherwise(0).alias(times))
+    rows = Tables(docs.sparkSession, "least").write(rows.filter(F.col(times) != 1))
+    near, far = (likely(docs, rows, how, digest, F.xxhash64(docs["text"])) for how in ("left_semi", "left_anti"))
+    near = near.join(rows, (near["doc_id"].cast("long") == rows[at]) & (F.xxhash64(near["text"]) == rows[digest]), "left")
+    alone = near.filter(F.col(times).isNull()).select(docs.columns)
+    once = near.filter(F.col(times) > 1).dropDuplicates([at]).select(docs.columns)
+    return far.unionAll(alone).unionAll(once)
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
