@@ -131,8 +131,17 @@ spec AS (
          pow(sum(v * (0.5 - 0.5 * cos(2 * pi() * n / 63)) * cos(2 * pi() * k * n / 64)), 2) + pow(sum(v * (0.5 - 0.5 * cos(2 * pi() * n / 63)) * sin(2 * pi() * k * n / 64)), 2) AS power
   FROM x, bins GROUP BY ALL),
 feat AS (
-  SELECT audio_path, detection_index, slice_idx, greatest(quantile_cont(power, 0.1), 1e-12) AS power_floor, arg_max(freq, power) AS dom_freq, max(power) AS dom_power
+  SELECT audio_path, detection_index, slice_idx, greatest(quantile_cont(power, 0.1), 1e-12) AS power_floor, arg_max(freq, power) AS dom_freq, arg_max(k, power) AS peak, max(power) AS dom_power
   FROM spec GROUP BY ALL),
+soft AS (SELECT detection_index, slice_idx, k, sum(power) OVER (PARTITION BY detection_index, slice_idx ORDER BY k ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS soft FROM spec),
+walk AS (
+  SELECT f.detection_index, f.slice_idx, dir, d, s.k, soft, soft <= power_floor * 1.12 AND lag(soft) OVER (PARTITION BY f.detection_index, f.slice_idx, dir ORDER BY d) <= power_floor * 1.12 AS met
+  FROM (SELECT *, unnest([1, 2, 3]) AS d FROM (SELECT *, unnest([-1, 1]) AS dir FROM feat)) f JOIN soft s ON s.detection_index = f.detection_index AND s.slice_idx = f.slice_idx AND s.k = f.peak + dir * d),
+ends AS (SELECT detection_index, slice_idx, dir, coalesce(arg_min(k - dir, d) FILTER (met), arg_min(k, struct_pack(soft := soft, d := d))) AS k FROM walk GROUP BY ALL),
+crossings AS (
+  SELECT f.detection_index, f.slice_idx, 375.0::DOUBLE * coalesce(a.k, peak) AS left_freq, 375.0::DOUBLE * coalesce(b.k, peak) AS right_freq FROM feat f
+  LEFT JOIN ends a ON a.detection_index = f.detection_index AND a.slice_idx = f.slice_idx AND a.dir = -1
+  LEFT JOIN ends b ON b.detection_index = f.detection_index AND b.slice_idx = f.slice_idx AND b.dir = 1),
 labelled AS (
   SELECT *, CASE WHEN dom_freq >= 6000 AND (max(dom_power) OVER w <= 0 OR dom_power >= 0.05 * max(dom_power) OVER w) THEN 'Trill' ELSE 'Silence' END AS classification
   FROM feat WINDOW w AS (PARTITION BY audio_path, detection_index))"""

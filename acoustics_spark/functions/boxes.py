@@ -15,6 +15,12 @@ def clamp(x: Column, low, high) -> Column:
     return F.greatest(F.least(x, lit(high)), lit(low))
 
 
+def unit(seed: int, key: Column, part: str) -> Column:
+    """A number in 0..1 that hangs on seed, key and part alone: 48 bits of their MD5."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), F.lit(part)))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
 def window_starts(duration: Column, window: float, hop: float) -> Column:
     """Starts 0, hop, .. that leave a whole window within the duration, and a last one that ends with the recording
     unless one of them is as good as there. Starts are i * hop, so they don't drift. Empty if shorter than a window."""
@@ -69,7 +75,7 @@ def shift_offsets(left: Column, right: Column, bounds: Column, step: float, leas
         return F.when(F.size(far) > 0, far).otherwise(side)
 
     def pick(own: Column, i: int) -> Column:
-        return F.get(own, F.pmod(F.xxhash64(F.lit(seed), key, F.lit(i)), F.size(own)).cast("int"))
+        return F.get(own, F.floor(unit(seed, key, f"shift{i}") * F.size(own)).cast("int"))
 
     negative, positive = pool(-1), pool(1)
     out = []

@@ -116,8 +116,16 @@ def db_clip_range(db: np.ndarray) -> tuple[float, float]:
 
 
 def mask(matrix: np.ndarray, rectangles: list[tuple[float, float, float, float]]) -> np.ndarray:
-    """The matrix with relative rectangles (x, y, width, height in 0..1) filled with its median."""
-    out, (rows, cols) = matrix.copy(), matrix.shape
-    for x, y, w, h in rectangles:
-        out[int(y * rows) : int(np.ceil((y + h) * rows - 1e-9)), int(x * cols) : int(np.ceil((x + w) * cols - 1e-9))] = np.median(matrix)
+    """The matrix with relative rectangles (x, y, width, height in 0..1) filled with its median. A side of 1 is the whole
+    side; another is rounded to one cell at least, and a rectangle with one that fills the matrix's is skipped."""
+    out, median = matrix.copy(), np.median(matrix)
+    for *corner, w, h in rectangles:
+        spans = []
+        for at, side, n in zip(corner, (w, h), matrix.shape[::-1]):
+            size = n if side >= 1 else max(1, round(side * n))
+            first = 0 if side >= 1 else min(int(at * n), n - size)
+            spans.append((first, size, side < 1 and size >= n))
+        (x, width, wide), (y, height, high) = spans
+        if not (wide or high):
+            out[y : y + height, x : x + width] = median
     return out

@@ -18,7 +18,7 @@ def detections(spark: SparkSession, paths, make_detector: Callable, window: floa
     boxes = detect.detect(files.load_windows(spark, grid, paths), make_detector)
     found = detect.physical_detections(boxes, window)
     found = intervals.top_k_per_window(intervals.filter_confidence(found, confidence), most)
-    merged = intervals.merge_overlapping(intervals.filter_duration(found, low, high), tolerance)
+    merged = intervals.premerge(intervals.filter_duration(found, low, high), 3600.0, tolerance)
     return intervals.renumber_detections(merged.drop("island")), rest.unionByName(info.filter("error is not null"))
 
 
@@ -26,7 +26,7 @@ def characterise(spark: SparkSession, found: DataFrame, paths, samplerate: float
     """(labelled slices, statistics) of the detections that last shortest .. longest seconds."""
     chosen = intervals.filter_duration(found, shortest, longest).withColumnRenamed("audio_path", "path")
     cut = slices.expand_slices(chosen.select("path", "detection_index", "window_start", "start_time", "end_time"), slice_seconds, pad)
-    cut = cut.withColumn("slice_length", F.lit(slice_seconds))
-    read = files.load_windows(spark, cut, paths, rule="nearest", start="slice_start", length="slice_length")
+    cut = cut.withColumns({"slice_length": F.lit(slice_seconds), "from": F.col("start_time") - pad, "to": F.col("end_time") + pad})
+    read = files.load_windows(spark, cut, paths, rule="slice", start="slice_start", length="slice_length", segment=("from", "to")).drop("from", "to")
     labelled = slices.label_slices(slices.with_features(read.withColumnRenamed("path", "audio_path"), samplerate))
     return labelled, slices.detection_stats(labelled, slice_seconds)

@@ -40,7 +40,7 @@ def physical_detections(boxes: DataFrame, window: float) -> DataFrame:
     order of emission: window, then confidence."""
     box = F.struct("x_center", "y_center", "width", "height")
     out = boxes.withColumn("p", box_to_physical(box, F.col("window_start"), window, F.col("samplerate") / 2))
-    order = F.col("window_index") * 1000 + F.row_number().over(Window.partitionBy("path", "window_index").orderBy(F.desc("confidence"), "x_center", "y_center"))
+    order = F.shiftleft(F.col("window_index").cast("long"), 32) + F.row_number().over(Window.partitionBy("path", "window_index").orderBy(F.desc("confidence"), "x_center", "y_center"))
     return out.select(
         F.col("path").alias("audio_path"), F.col("window_index").cast("long"), "window_start", (F.col("window_start") + window).alias("window_end"),
         order.cast("long").alias("detection_index"), "p.start_time", "p.end_time", "p.duration", "p.low_freq", "p.high_freq", "confidence",

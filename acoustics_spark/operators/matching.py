@@ -26,16 +26,30 @@ def allowed_folders(metafiles: DataFrame, signatures: DataFrame) -> DataFrame:
     return metafiles.join(signatures.select("folder").distinct(), "folder", "left_semi")
 
 
-def match_names(annotations: DataFrame, tokens: DataFrame, key: str = "id") -> DataFrame:
-    """Annotations(key, folder, meta, comment, ..) with annotation_name: the first name of the longest token found in a
-    form of the comment (ties: the token met first); rows without a match are dropped. Equi-join on folder and meta, then
-    containment, reduced by a combining maximum."""
-    t = tokens.select("folder", "meta", "token", F.element_at("names", 1).alias("_name"), "first")
-    found = F.exists(comment_forms(F.col("comment")), lambda f: F.contains(f, F.col("token")))
-    pairs = annotations.join(t, ["folder", "meta"]).filter((F.trim("comment") != "") & found)
+def match_names(annotations: DataFrame, tokens: DataFrame, gram: int = 6) -> DataFrame:
+    """Annotations(folder, meta, comment, ..) with annotation_name: the first name of the longest token found in a form
+    of the comment (ties: the token met first); rows without a match are dropped, and of repeated rows each stays.
+
+    A token can only be in a comment that holds the token's rarest piece of ``gram`` characters (all of a shorter token),
+    so distinct comments are cut into pieces and joined on folder, meta and piece; what meets is checked and reduced by a
+    combining maximum. A busy metafile is spread over the pieces of its comments.
+    """
+    key = ["folder", "meta"]
+    pieces = lambda text, n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))
+    size = F.least(F.length("token"), F.lit(gram))
+    cut = tokens.select(*key, "token", F.element_at("names", 1).alias("_name"), "first", F.explode(F.array_distinct(pieces(F.col("token"), size))).alias("_piece"))
+    often = cut.groupBy(*key, "_piece").agg(F.count("*").alias("_often"))
+    rarest = F.min(F.struct("_often", "_piece"))["_piece"].alias("_piece")
+    wanted = cut.join(often, [*key, "_piece"]).groupBy(*key, "token").agg(F.first("_name").alias("_name"), F.first("first").alias("first"), rarest)
+    sizes = wanted.groupBy(*key).agg(F.collect_set(F.length("_piece")).alias("_sizes"))
+    comments = annotations.select(*key, "comment").filter(F.trim("comment") != "").distinct()
+    forms = comment_forms(F.col("comment"))
+    own = F.transform(forms, lambda f: F.flatten(F.transform(F.filter("_sizes", lambda n: n <= F.length(f)), lambda n: pieces(f, n))))
+    met = comments.join(sizes, key).select(*key, "comment", F.explode(F.array_distinct(F.flatten(own))).alias("_piece"))
+    met = met.join(wanted, [*key, "_piece"]).filter(F.exists(forms, lambda f: F.contains(f, F.col("token"))))
     rank = F.struct(F.length("token").alias("n"), (-F.col("first.seq")).alias("s"), (-F.col("first.k")).alias("k"))
-    keep = [c for c in annotations.columns if c != key]
-    return pairs.groupBy(key).agg(*[F.first(c).alias(c) for c in keep], F.max_by("_name", rank).alias("annotation_name"))
+    found = met.groupBy(*key, "comment").agg(F.max_by("_name", rank).alias("annotation_name"))
+    return annotations.join(found, [*key, "comment"]).select(*annotations.columns, "annotation_name")
 
 
 def match_signature_key(metafiles: DataFrame, signatures: DataFrame) -> DataFrame:

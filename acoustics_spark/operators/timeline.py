@@ -17,15 +17,16 @@ def is_audio(name: Column) -> Column:
 
 
 def effective_spacer(override: Column, spacer_duration: Column | None = None, default: float = DEFAULT_SPACER) -> Column:
-    """The override, else the spacer recording's own duration where it counts, else the default."""
+    """The spacer recording's own duration where it counts, else the override, else the default."""
     own = [spacer_duration] if spacer_duration is not None else []
-    return F.coalesce(override, *own, F.lit(default))
+    return F.coalesce(*own, override, F.lit(default))
 
 
-def with_durations(entries: DataFrame, recordings: DataFrame | None = None, overrides: DataFrame | None = None, default: float = DEFAULT_SPACER) -> DataFrame:
+def with_durations(entries: DataFrame, recordings: DataFrame | None = None, overrides: DataFrame | None = None, default: float = DEFAULT_SPACER, spacer_recordings: bool = False) -> DataFrame:
     """entries(metafile, pos, entry_name) with is_audio and duration: a recording's own, else the metafile's spacer.
 
     recordings(entry_name, duration) and overrides(metafile, spacer) are joined by key; Spark broadcasts what is small.
+    With ``spacer_recordings`` a spacer that is a ``.wav`` among the recordings lasts as long as it does.
     """
     out = entries.withColumn("is_audio", is_audio(F.col("entry_name")))
     if recordings is not None:
@@ -36,7 +37,8 @@ def with_durations(entries: DataFrame, recordings: DataFrame | None = None, over
         out = out.join(overrides.select("metafile", F.col("spacer").alias("_spacer")), "metafile", "left")
     else:
         out = out.withColumn("_spacer", F.lit(None).cast("double"))
-    duration = F.when(F.col("is_audio"), F.col("_own")).otherwise(effective_spacer(F.col("_spacer"), default=default))
+    counts = F.when(F.endswith(F.lower("entry_name"), F.lit(".wav")), F.col("_own")) if spacer_recordings else None
+    duration = F.when(F.col("is_audio"), F.col("_own")).otherwise(effective_spacer(F.col("_spacer"), counts, default))
     return out.withColumn("duration", duration).drop("_own", "_spacer")
 
 
@@ -54,31 +56,30 @@ def timeline_summary(segments: DataFrame) -> DataFrame:
     )
 
 
-def map_to_segments(annotations: DataFrame, segments: DataFrame, tolerance: float = TOLERANCE, key: str = "id", bucket: float = 64.0) -> DataFrame:
-    """Annotations(key, metafile, left, right, ..) with the audio segment that each starts in and its times there.
+def map_to_segments(annotations: DataFrame, segments: DataFrame, tolerance: float = TOLERANCE, bucket: float = 64.0) -> DataFrame:
+    """Annotations(metafile, left, right, ..) with the audio segment that each starts in and its times there.
 
     The earliest audio segment with start - tolerance <= left <= end + tolerance takes it; times are clamped to it.
     ``status`` is ``ok``, ``past_end`` (ends beyond the segment) or ``unmatched``; ``reason`` tells where an unmatched
-    one starts. An equi-join on metafile and time bucket with the bounds as residual: a segment is in each bucket it
-    touches, an annotation in one, so a metafile of any length spreads over tasks.
+    one starts. Segments are gathered by metafile and time bucket, in each bucket that they touch, and an annotation meets
+    the one of its left end: a join that gives every row back once, whatever its other columns, and that spreads a
+    metafile of any length over tasks. An annotation without a metafile or a left end is unmatched.
     """
     span = F.sequence(F.floor((F.col("start") - tolerance) / bucket), F.floor((F.col("end") + tolerance) / bucket))
-    seg = segments.select(F.col("metafile").alias("_m"), F.col("pos").alias("_pos"), F.col("entry_name").alias("_name"), F.col("is_audio").alias("_audio"), F.col("start").alias("_start"), F.col("end").alias("_end"), F.col("duration").alias("_duration"), F.explode(span).alias("_bucket"))
-    ann = annotations.withColumn("_b", F.floor(F.col("left") / bucket))
-    touch = (F.col("left") >= F.col("_start") - tolerance) & (F.col("left") <= F.col("_end") + tolerance)
-    pairs = ann.join(seg, (ann["metafile"] == seg["_m"]) & (ann["_b"] == seg["_bucket"]) & touch, "left")
-    row = F.struct("_pos", "_name", "_start", "_end", "_duration")
-    inside = (F.col("left") >= F.col("_start")) & (F.col("left") <= F.col("_end"))
-    best = pairs.groupBy(key).agg(
-        *[F.first(c).alias(c) for c in annotations.columns if c != key],
-        F.min(F.when(F.col("_audio"), row)).alias("_seg"),
-        F.min_by("_name", F.when(inside, F.col("_pos"))).alias("_in"),
-    )
-    rel = lambda c: F.when(F.col("_seg").isNotNull(), F.least(F.greatest(F.col(c) - F.col("_seg._start"), F.lit(0.0)), F.col("_seg._duration")))
-    status = F.when(F.col("_seg").isNull(), "unmatched").when(F.col("right") > F.col("_seg._end") + tolerance, "past_end").otherwise("ok")
-    reason = F.when(F.col("_seg").isNull(), F.coalesce(F.concat(F.lit("starts in "), F.col("_in")), F.lit("starts outside the timeline")))
-    return best.select(
-        *annotations.columns, F.col("_seg._pos").alias("pos"), F.col("_seg._name").alias("entry_name"), rel("left").alias("left_rel"), rel("right").alias("right_rel"), status.alias("status"), reason.alias("reason")
+    row = F.struct("pos", "entry_name", "is_audio", "start", "end", "duration")
+    held = segments.select(F.col("metafile").alias("_m"), F.explode(span).alias("_bucket"), row.alias("_row"))
+    held = held.groupBy("_m", "_bucket").agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
+    left = F.col("left")
+    near = F.filter("_rows", lambda s: s["is_audio"] & (left >= s["start"] - tolerance) & (left <= s["end"] + tolerance))
+    at = F.filter("_rows", lambda s: (left >= s["start"]) & (left <= s["end"]))
+    out = annotations.join(held, (annotations["metafile"] == F.col("_m")) & (F.floor(left / bucket) == F.col("_bucket")), "left")
+    out = out.withColumns({"_seg": F.get(near, F.lit(0)), "_in": F.get(at, F.lit(0))["entry_name"]})
+    found = F.col("_seg").isNotNull()
+    rel = lambda c: F.when(found, F.least(F.greatest(F.col(c) - F.col("_seg.start"), F.lit(0.0)), F.col("_seg.duration")))
+    status = F.when(~found, "unmatched").when(F.col("right") > F.col("_seg.end") + tolerance, "past_end").otherwise("ok")
+    reason = F.when(~found, F.coalesce(F.concat(F.lit("starts in "), F.col("_in")), F.lit("starts outside the timeline")))
+    return out.select(
+        *annotations.columns, F.col("_seg.pos").alias("pos"), F.col("_seg.entry_name").alias("entry_name"), rel("left").alias("left_rel"), rel("right").alias("right_rel"), status.alias("status"), reason.alias("reason")
     )
 
 

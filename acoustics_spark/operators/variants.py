@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.boxes import center_bounds, flip_box, shift_offsets, window_start_for
+from ..functions.boxes import center_bounds, flip_box, shift_offsets, unit, window_start_for
 
 
 def shift_plans(samples: DataFrame, window: float, step: float, least: float, most: float | None, n: int, seed: int = 0, key: str = "id") -> DataFrame:
@@ -38,11 +38,16 @@ def variants(samples: DataFrame, drops: int = 1, masks: int = 1, flip: bool = Tr
 
 def plan_masks(samples: DataFrame, n: int = 3, seed: int = 0, key: str = "id") -> DataFrame:
     """samples with ``rectangles``: n relative (x, y, width, height) structs with sides of 5 to 20 %, from a keyed hash."""
-    def unit(i: int, part: str):
-        return F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.lit(i), F.lit(part)), F.lit(1_000_003)) / 1_000_003.0
-
     def one(i: int):
-        w, h = 0.05 + 0.15 * unit(i, "w"), 0.05 + 0.15 * unit(i, "h")
-        return F.struct((unit(i, "x") * (1 - w)).alias("x"), (unit(i, "y") * (1 - h)).alias("y"), w.alias("width"), h.alias("height"))
+        w, h = (0.05 + 0.15 * unit(seed, F.col(key), f"{i}{side}") for side in "wh")
+        return F.struct((unit(seed, F.col(key), f"{i}x") * (1 - w)).alias("x"), (unit(seed, F.col(key), f"{i}y") * (1 - h)).alias("y"), w.alias("width"), h.alias("height"))
 
     return samples.withColumn("rectangles", F.array(*[one(i) for i in range(n)]))
+
+
+def plan_strips(samples: DataFrame, most: float = 0.1, seed: int = 0, key: str = "id") -> DataFrame:
+    """samples with ``rectangles``: an upright and a level strip, each up to ``most`` of the side thick, from a keyed hash."""
+    w, h = (most * unit(seed, F.col(key), f"strip{side}") for side in "wh")
+    x, y = (unit(seed, F.col(key), f"strip{at}") * (1 - side) for at, side in (("x", w), ("y", h)))
+    strip = lambda x, y, w, h: F.struct(*[c.alias(n) for c, n in zip((x, y, w, h), ("x", "y", "width", "height"))])
+    return samples.withColumn("rectangles", F.array(strip(x, F.lit(0.0), w, F.lit(1.0)), strip(F.lit(0.0), y, F.lit(1.0), h)))

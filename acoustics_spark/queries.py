@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import fixtures as fx
 from .functions import boxes, names
 from .operators import intervals, matching, slices, splits, timeline, variants, windows
-from .sources import sinks
+from .schemas import DETECTION_COLUMNS
+from .sources import files, sinks
 from .streaming import events as streams
 
 QUERIES: dict = {}
@@ -111,6 +112,97 @@ def map_to_segments(spark, d) -> DataFrame:
     return timeline.map_to_segments(fx.annotations(spark, d), segments).select("id", "pos", "left_rel", "right_rel", "status")
 
 
+@query(f"""WITH {fx.ENTRIES}, named AS (SELECT *, CASE WHEN is_audio THEN entry_name ELSE concat(entry_name, CASE WHEN metafile % 2 = 0 THEN '.WAV' ELSE '' END) END AS name FROM entries),
+own AS (SELECT name, max(pos) / 4.0::DOUBLE AS own FROM named WHERE name NOT LIKE '%_7.wav' GROUP BY name)
+SELECT metafile, pos, CASE WHEN is_audio OR name LIKE '%.WAV' THEN CASE WHEN is_audio THEN own ELSE coalesce(own, CASE WHEN metafile % 3 = 0 THEN 7.5 ELSE 55.125 END) END
+  ELSE CASE WHEN metafile % 3 = 0 THEN 7.5 ELSE 55.125 END END::DOUBLE AS duration FROM named LEFT JOIN own USING (name)""")
+def spacer_durations(spark, d) -> DataFrame:
+    """Spacers that are recordings last as long as these do, before any override."""
+    end = F.when(~F.col("is_audio") & (F.col("metafile") % 2 == 0), ".WAV").otherwise("")
+    rows = fx.entries(spark, d).withColumn("entry_name", F.concat("entry_name", end))
+    own = rows.filter("entry_name NOT LIKE '%_7.wav'").groupBy("entry_name").agg((F.max("pos") / 4.0).alias("duration"))
+    overrides = rows.select("metafile").distinct().filter("metafile % 3 = 0").withColumn("spacer", F.lit(7.5))
+    return timeline.with_durations(rows.select("metafile", "pos", "entry_name"), own, overrides, spacer_recordings=True).select("metafile", "pos", "duration")
+
+
+# Texts of the file formats
+
+
+def _metafiles(spark, d) -> DataFrame:
+    """Every fifth one is empty, every fifth lacks its first line."""
+    key, head = F.col("p_partkey"), F.concat(F.lit("\r\n AnnotationFile= "), "p_brand", F.lit("\r\n"))
+    body = F.concat(F.lit(" "), "p_name", F.lit(".wav \n\n spacer\r"), "p_type", F.lit(".wav"))
+    text = F.when(key % 5 == 0, " \n").when(key % 5 == 1, body).otherwise(F.concat(head, body))
+    return fx.read(spark, d, "part").select(key.alias("metafile"), text.alias("text"))
+
+
+@query("""SELECT p_partkey AS metafile, p_brand AS log_ref, unnest([0, 1, 2]) AS pos, unnest([concat(p_name, '.wav'), 'spacer', concat(p_type, '.wav')]) AS entry_name FROM part WHERE p_partkey % 5 > 1""")
+def parse_metafiles(spark, d) -> DataFrame:
+    return files.parse_metafiles(_metafiles(spark, d))[0]
+
+
+@query("SELECT p_partkey AS metafile, CASE WHEN p_partkey % 5 = 0 THEN 'empty' ELSE 'no annotationfile line' END AS reason FROM part WHERE p_partkey % 5 < 2")
+def rejected_metafiles(spark, d) -> DataFrame:
+    return files.parse_metafiles(_metafiles(spark, d))[1]
+
+
+TYPED = "t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'x' WHEN 1 THEN NULL ELSE concat(' ', p_size, '.5 ') END AS seconds, CASE p_partkey % 6 WHEN 0 THEN '1.5.0' ELSE concat(p_size, ' ') END AS channel FROM part)"
+
+
+def _typed(spark, d) -> tuple[DataFrame, DataFrame]:
+    key = F.col("p_partkey")
+    seconds = F.when(key % 4 == 0, "x").when(key % 4 > 1, F.concat(F.lit(" "), "p_size", F.lit(".5 ")))
+    channel = F.when(key % 6 == 0, "1.5.0").otherwise(F.concat("p_size", F.lit(" ")))
+    return files.typed(fx.read(spark, d, "part").select("p_partkey", seconds.alias("seconds"), channel.alias("channel")), ["seconds"], ["channel"])
+
+
+@query(f"WITH {TYPED} SELECT p_partkey, TRY_CAST(trim(seconds) AS DOUBLE) AS seconds, TRY_CAST(trim(channel) AS INTEGER) AS channel FROM t WHERE TRY_CAST(trim(seconds) AS DOUBLE) IS NOT NULL AND TRY_CAST(trim(channel) AS INTEGER) IS NOT NULL")
+def typed_rows(spark, d) -> DataFrame:
+    return _typed(spark, d)[0]
+
+
+@query(f"WITH {TYPED} SELECT * FROM t WHERE TRY_CAST(trim(seconds) AS DOUBLE) IS NULL OR TRY_CAST(trim(channel) AS INTEGER) IS NULL")
+def rejected_rows(spark, d) -> DataFrame:
+    return _typed(spark, d)[1]
+
+
+@query("""WITH t AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN concat(p_brand, '=-', p_size) WHEN 2 THEN concat(' = ', p_size) WHEN 3 THEN concat(p_brand, '=', p_name) ELSE concat(' ', p_brand, ' = ', p_size) END AS text FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 5 = 4 THEN lower(trim(split_part(text, '=', 1))) END AS name, CASE WHEN p_partkey % 5 = 4 THEN TRY_CAST(trim(split_part(text, '=', 2)) AS DOUBLE) END AS seconds FROM t""")
+def parse_override(spark, d) -> DataFrame:
+    key, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    text = F.when(key % 5 == 0, F.col("p_name")).when(key % 5 == 1, F.concat("p_brand", F.lit("=-"), size)).when(key % 5 == 2, F.concat(F.lit(" = "), size))
+    text = text.when(key % 5 == 3, F.concat("p_brand", F.lit("="), "p_name")).otherwise(F.concat(F.lit(" "), "p_brand", F.lit(" = "), size))
+    return fx.read(spark, d, "part").select("p_partkey", names.parse_override(text).alias("o")).select("p_partkey", "o.name", "o.seconds")
+
+
+@query(f"""WITH {fx.ANNOTATIONS} SELECT concat('F', metafile) AS "FolderName", 'm' AS "MetafileName", 'l' AS "AnnotationFileName", concat('n', id) AS "AnnotationName", concat('/a/', id, '.wav') AS "AudioPath", concat(id, '.wav') AS soundfile,
+  channel, printf('%.6f', l) AS lefttimesec, printf('%.6f', r) AS righttimesec, printf('%.6f', top) AS topfreqhz, printf('%.6f', bottom) AS bottomfreqhz, 'c' AS comment, CAST(NULL AS VARCHAR) AS notes FROM annotations""")
+def annotation_lines(spark, d) -> DataFrame:
+    text = lambda head, c, tail="": F.concat(F.lit(head), F.col(c).cast("string"), F.lit(tail))
+    rows = fx.annotations(spark, d).select(
+        text("F", "metafile").alias("FolderName"), F.lit("m").alias("MetafileName"), F.lit("l").alias("AnnotationFileName"), text("n", "id").alias("AnnotationName"), text("/a/", "id", ".wav").alias("AudioPath"), text("", "id", ".wav").alias("soundfile"),
+        "channel", F.col("left").alias("lefttimesec"), F.col("right").alias("righttimesec"), F.col("top").alias("topfreqhz"), F.col("bottom").alias("bottomfreqhz"), F.lit("c").alias("comment"), F.lit(None).cast("string").alias("notes"),
+    )
+    return sinks.annotation_lines(rows)
+
+
+@query(f"""WITH {fx.ANNOTATIONS} SELECT id, concat('rec_', metafile, '_det', printf('%04d', id), '_start', printf('%07.2f', floor(l)), 's_end', printf('%07.2f', floor(r * 4) / 4), 's_conf', printf('%.2f', (id * 37 % 100) / 100.0::DOUBLE)) AS name FROM annotations""")
+def detection_name(spark, d) -> DataFrame:
+    rows = fx.annotations(spark, d)
+    name = names.detection_name(F.concat(F.lit("rec #"), F.col("metafile")), F.col("id"), F.floor("left").cast("double"), F.floor(F.col("right") * 4) / 4, F.col("id") * 37 % 100 / 100.0)
+    return rows.select("id", name.alias("name"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '-' WHEN 1 THEN replace(p_brand, '#', '_') ELSE concat(replace(p_brand, '#', '_'), '__', replace(p_type, ' ', '_')) END AS folder, replace(p_name, ' ', '_') AS recording FROM part""")
+def by_recording(spark, d) -> DataFrame:
+    """Where a recording's detections are written: folders are mirrored, so recordings of one name don't meet."""
+    key = F.col("p_partkey")
+    below = F.when(key % 3 == 0, "").when(key % 3 == 1, F.concat("p_brand", F.lit("/"))).otherwise(F.concat("p_brand", F.lit("/"), "p_type", F.lit("/")))
+    rows = fx.read(spark, d, "part").select("p_partkey", F.concat(F.lit("/in/"), below, "p_name", F.lit(".wav")).alias("audio_path"))
+    columns = [F.lit(0).alias(c) for c in DETECTION_COLUMNS if c not in ("audio_path", "detection_index")]
+    return sinks.by_recording(rows.select("audio_path", key.alias("detection_index"), *columns), "/in").select(F.col("detection_index").alias("p_partkey"), "folder", "recording")
+
+
 # Names
 
 
@@ -367,16 +459,42 @@ def variant_counts(spark, d) -> DataFrame:
     return variants.variants(windows.drop_empty_samples(rows)).groupBy("split", "kind").agg(F.count("*").alias("n"))
 
 
-@query()
+def _unit(part: str, key: str = "id") -> str:
+    return f"CAST(concat('0x', substr(md5(concat('0:', {key}, ':', {part})), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE"
+
+
+@query(f"""WITH {BASE}, c AS (SELECT id, ws, (l + r) / 2 AS c, greatest(0, r - 3) + 1.5 AS lo, least(l, 57) + 1.5 AS hi FROM base),
+g AS (SELECT *, list_append(list_filter(list_transform(range(CAST(floor((hi - lo) / 0.25 + 1e-6) AS BIGINT) + 1), lambda i: lo + i * 0.25), lambda x: x < hi - 1e-6), hi) AS grid FROM c WHERE hi - lo > 1e-6),
+s AS (SELECT *, list_filter(list_transform(grid, lambda x: x - c), lambda x: x < -1e-6) AS n0, list_filter(list_transform(grid, lambda x: x - c), lambda x: x > 1e-6) AS p0 FROM g),
+f AS (SELECT *, list_filter(n0, lambda x: x <= -0.25 + 1e-6) AS n1, list_filter(p0, lambda x: x >= 0.25 - 1e-6) AS p1 FROM s),
+pools AS (SELECT *, CASE WHEN len(n1) > 0 THEN n1 ELSE n0 END AS n, CASE WHEN len(p1) > 0 THEN p1 ELSE p0 END AS p FROM f),
+turns AS (SELECT *, unnest([0, 1]) AS i FROM pools),
+own AS (SELECT *, CASE WHEN i = 0 AND len(n) > 0 OR len(p) = 0 THEN n ELSE p END AS pool FROM turns),
+picks AS (SELECT *, pool[1 + CAST(floor({_unit("concat('shift', i)")} * len(pool)) AS BIGINT)] AS o FROM own WHERE len(pool) > 0),
+moved AS (SELECT *, greatest(least(greatest(least(c + o - 1.5, hi - 1.5), lo - 1.5), 57), 0)::DOUBLE AS s FROM picks)
+SELECT id, 'base' AS kind, CAST(NULL AS INTEGER) AS variant, ws AS window_start FROM base
+UNION ALL SELECT id, CASE WHEN o < 0 THEN 'shiftneg' ELSE 'shift' END, i + 1, s FROM moved WHERE abs(s - ws) >= 0.25 - 1e-6""")
 def shift_plans(spark, d) -> DataFrame:
-    """Base and shifted windows of every anchor; the shifts are keyed hashes, held by a brute-force test."""
+    """Base and shifted windows of every anchor."""
     return variants.shift_plans(_windows(spark, d), 3.0, 0.25, 0.25, None, 2).select("id", "kind", "variant", "window_start")
 
 
-@query()
+def _rectangles(df) -> DataFrame:
+    out = df.select("id", F.posexplode("rectangles").alias("i", "r"))
+    return out.select("id", "i", *[F.round(f"r.{c}", 9).alias(c) for c in ("x", "y", "width", "height")])
+
+
+@query(f"""WITH n AS (SELECT event_id AS id, unnest([0, 1, 2]) AS i FROM events), s AS (SELECT id, i, 0.05 + 0.15 * {_unit("concat(i, 'w')")} AS w, 0.05 + 0.15 * {_unit("concat(i, 'h')")} AS h FROM n)
+SELECT id, i, round({_unit("concat(i, 'x')")} * (1 - w), 9)::DOUBLE AS x, round({_unit("concat(i, 'y')")} * (1 - h), 9)::DOUBLE AS y, round(w, 9)::DOUBLE AS width, round(h, 9)::DOUBLE AS height FROM s""")
 def mask_plans(spark, d) -> DataFrame:
-    out = variants.plan_masks(fx.annotations(spark, d).select("id"), 3).select("id", F.posexplode("rectangles").alias("i", "r"))
-    return out.select("id", "i", "r.*")
+    return _rectangles(variants.plan_masks(fx.annotations(spark, d).select("id"), 3))
+
+
+@query(f"""WITH s AS (SELECT event_id AS id, 0.1 * {_unit("'stripw'", "event_id")} AS w, 0.1 * {_unit("'striph'", "event_id")} AS h FROM events)
+SELECT id, 0 AS i, round({_unit("'stripx'")} * (1 - w), 9)::DOUBLE AS x, 0.0::DOUBLE AS y, round(w, 9)::DOUBLE AS width, 1.0::DOUBLE AS height FROM s
+UNION ALL SELECT id, 1, 0.0, round({_unit("'stripy'")} * (1 - h), 9), 1.0, round(h, 9) FROM s""")
+def strip_plans(spark, d) -> DataFrame:
+    return _rectangles(variants.plan_strips(fx.annotations(spark, d).select("id")))
 
 
 # Slices
@@ -399,18 +517,22 @@ def label_slices(spark, d) -> DataFrame:
 
 
 @query(f"""WITH {fx.SIGNALS} SELECT detection_index, count(*) AS n_slices, count(*) FILTER (classification = 'Trill') AS n_calls, round(count(*) FILTER (classification = 'Trill') / (count(*) * 0.015625), 6)::DOUBLE AS rate_hz,
-  round(sum(dom_freq) FILTER (classification = 'Trill'), 3)::DOUBLE AS dom_sum FROM labelled GROUP BY ALL""")
+  round(sum(dom_freq) FILTER (classification = 'Trill'), 3)::DOUBLE AS dom_sum, sum(left_freq) AS low_sum, sum(right_freq * (slice_idx + 1)) AS high_sum FROM labelled JOIN crossings USING (detection_index, slice_idx) GROUP BY ALL""")
 def detection_stats(spark, d) -> DataFrame:
+    """The arrays by their sums, that of the high frequencies weighed by their places."""
     out = slices.detection_stats(slices.label_slices(_features(spark, d)), 0.015625)
-    total = F.round(F.aggregate("dom_freqs", F.lit(0.0), lambda a, x: a + x), 3)
-    return out.select("detection_index", "n_slices", "n_calls", micro("rate_hz"), F.when(F.size("dom_freqs") > 0, total).alias("dom_sum"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    placed = F.transform("high_freqs", lambda x, i: x * (i + 1))
+    return out.select("detection_index", "n_slices", "n_calls", micro("rate_hz"), F.when(F.size("dom_freqs") > 0, F.round(total("dom_freqs"), 3)).alias("dom_sum"), total("low_freqs").alias("low_sum"), total(placed).alias("high_sum"))
 
 
-@query(f"""WITH {fx.SIGNALS} SELECT detection_index, count(*) AS n, round(quantile_cont(dom_freq, 0.25) / 1000, 6)::DOUBLE AS q25_khz, round(quantile_cont(dom_freq, 0.5) / 1000, 6)::DOUBLE AS q50_khz,
-  round(quantile_cont(dom_freq, 0.75) / 1000, 6)::DOUBLE AS q75_khz, round(avg(dom_freq) / 1000, 6)::DOUBLE AS mean_khz FROM labelled WHERE classification = 'Trill' GROUP BY ALL""")
+@query(f"""WITH {fx.SIGNALS}, m AS (SELECT detection_index, 'dom' AS measure, dom_freq AS hz FROM labelled WHERE classification = 'Trill'
+  UNION ALL SELECT detection_index, 'low', left_freq FROM crossings UNION ALL SELECT detection_index, 'high', right_freq FROM crossings)
+SELECT detection_index, measure, count(*) AS n, round(quantile_cont(hz, 0.25) / 1000, 6)::DOUBLE AS q25_khz, round(quantile_cont(hz, 0.5) / 1000, 6)::DOUBLE AS q50_khz,
+  round(quantile_cont(hz, 0.75) / 1000, 6)::DOUBLE AS q75_khz, round(avg(hz) / 1000, 6)::DOUBLE AS mean_khz FROM m GROUP BY ALL""")
 def frequency_summary(spark, d) -> DataFrame:
-    out = slices.frequency_summary(slices.label_slices(_features(spark, d))).filter("measure = 'dom'")
-    return out.select("detection_index", "n", micro("q25_khz"), micro("q50_khz"), micro("q75_khz"), micro("mean_khz"))
+    out = slices.frequency_summary(slices.label_slices(_features(spark, d)))
+    return out.select("detection_index", "measure", "n", micro("q25_khz"), micro("q50_khz"), micro("q75_khz"), micro("mean_khz"))
 
 
 @query(f"""WITH {fx.SIGNALS}, c AS (SELECT *, count(*) OVER (PARTITION BY detection_index) AS n FROM feat)
@@ -431,16 +553,23 @@ def trajectories(spark, d) -> DataFrame:
     return out.select("detection_index", F.explode("points").alias("p")).select("detection_index", "p.t", "p.dom")
 
 
-@query()
+@query(f"""WITH RECURSIVE {fx.SIGNALS}, p AS (SELECT detection_index, slice_idx * 0.015625::DOUBLE AS t, dom_freq AS dom FROM labelled WHERE classification = 'Trill'),
+a AS (SELECT detection_index, min(t) AS t FROM p GROUP BY ALL UNION ALL SELECT a.detection_index, min(p.t) FROM a JOIN p ON p.detection_index = a.detection_index AND p.t - a.t >= 0.05 GROUP BY a.detection_index),
+g AS (SELECT p.detection_index, max(a.t) AS anchor, p.t, any_value(dom) AS dom FROM p JOIN a ON a.detection_index = p.detection_index AND a.t <= p.t GROUP BY p.detection_index, p.t),
+k AS (SELECT detection_index, anchor, max(dom) AS dom, arg_min(t, struct_pack(d := -dom, t := t)) AS t FROM g GROUP BY ALL),
+n AS (SELECT detection_index, count(*) AS n FROM p GROUP BY ALL)
+SELECT detection_index, CAST(any_value(n) AS INTEGER) AS n_points, CAST(count(*) AS INTEGER) AS n_kept, sum(dom) AS dom_sum, round(sum(t), 6)::DOUBLE AS t_sum, round(count(*) / (any_value(n) * 0.015625), 6)::DOUBLE AS rate_hz
+FROM k JOIN n USING (detection_index) GROUP BY detection_index""")
 def deduped_rate(spark, d) -> DataFrame:
-    """Anchored greedy groups; sequential, held by a brute-force test."""
-    out = slices.deduped_rate(slices.trajectories(slices.label_slices(_features(spark, d))), 0.05, 0.015625)
-    return out.select("detection_index", F.size("points").alias("n_points"), F.size("kept").alias("n_kept"), micro("rate_hz"))
+    """Anchored greedy groups: how many, and the sums of what stays of each."""
+    out = slices.deduped_rate(slices.trajectories(slices.label_slices(_features(spark, d))), 0.05, 0.015625).filter("size(points) > 0")
+    total = lambda c: F.aggregate("kept", F.lit(0.0), lambda a, p: a + p[c])
+    return out.select("detection_index", F.size("points").alias("n_points"), F.size("kept").alias("n_kept"), total("dom").alias("dom_sum"), F.round(total("t"), 6).alias("t_sum"), micro("rate_hz"))
 
 
-@query()
+@query(f"WITH {fx.SIGNALS} SELECT detection_index, slice_idx, left_freq, right_freq FROM crossings")
 def floor_crossings(spark, d) -> DataFrame:
-    """Bins at which the spectrum falls to its floor; a walk, held by a literal loop in the tests."""
+    """Bins at which the spectrum falls to its floor."""
     return _features(spark, d).select("detection_index", F.col("slice_idx").cast("long"), "left_freq", "right_freq")
 
 

@@ -1,4 +1,6 @@
-"""Fixed schemas of the library's tables. Times are DOUBLE seconds, frequencies DOUBLE hertz."""
+"""Schemas of the library's tables. Times are DOUBLE seconds, frequencies DOUBLE hertz."""
+
+# Column names and headers of the file formats.
 
 ENTRIES = "metafile long, pos long, entry_name string"
 RECORDINGS = "path string, samplerate int, channels int, frames long, duration double"

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import io
+import re
 import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.names import basename
+from ..functions.signal import extract_slice
 from ..schemas import ANNOTATIONS, DETECTIONS, LOG, REQUIRED_ANNOTATIONS, SIGNATURES, require_columns
 
 HEADER_BYTES = 1 << 16
+AT_ONCE, GAP = 1 << 24, 1 << 16  # bytes read at once, and bytes between windows that are read rather than skipped
 
 
 def list_recordings(spark: SparkSession, paths, recursive: bool = True, exclude: str | None = None) -> DataFrame:
@@ -40,7 +44,7 @@ def parse_metafiles(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return entries, rows.filter(~F.coalesce(headed, F.lit(False))).select("metafile", reason.alias("reason"))
 
 
-def _typed(rows: DataFrame, doubles, ints) -> tuple[DataFrame, DataFrame]:
+def typed(rows: DataFrame, doubles, ints) -> tuple[DataFrame, DataFrame]:
     """Rows with these columns cast, and those in which one can't be."""
     casts = {c: F.trim(c).try_cast("double") for c in doubles} | {c: F.trim(c).try_cast("int") for c in ints}
     bad = F.lit(False)
@@ -53,7 +57,7 @@ def read_annotation_log(spark: SparkSession, paths) -> tuple[DataFrame, DataFram
     """Tab-separated logs -> (good, rejects): rows tagged ``an:`` or ``ft:`` with typed channel, times and frequencies."""
     rows = spark.read.csv(paths, sep="\t", header=True, schema=LOG, mode="PERMISSIVE", enforceSchema=True)
     rows = rows.withColumn("log_path", F.col("_metadata.file_path")).filter(F.lower(F.trim("tag")).isin("an:", "ft:"))
-    good, bad = _typed(rows, ("left", "right", "top", "bottom"), ("channel",))
+    good, bad = typed(rows, ("left", "right", "top", "bottom"), ("channel",))
     short = F.col("comment").isNull()
     return good.filter(~short), bad.unionByName(good.filter(short).select([F.col(f.name).cast(f.dataType).alias(f.name) for f in bad.schema]))
 
@@ -66,64 +70,88 @@ def read_signatures(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_annotations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Processed annotations (13 columns, 8 of them needed) -> (good, rejects)."""
+    """Processed annotations (13 columns, 8 of them needed) -> (good, rejects), both with ``row_index``, a row's number in
+    its file from 1. Rows are numbered within the file's blocks, and blocks by the counts of those before, so no task has
+    a whole file."""
     head = spark.read.csv(path, header=True)
     require_columns(head, REQUIRED_ANNOTATIONS)
     known = [x.split()[0] for x in ANNOTATIONS.split(", ")]
-    rows = head.select([F.trim(c).alias(c) if c in head.columns else F.lit(None).cast("string").alias(c) for c in known])
-    return _typed(rows, ("lefttimesec", "righttimesec", "topfreqhz", "bottomfreqhz"), ("channel",))
+    rows = head.select([F.trim(c).alias(c) if c in head.columns else F.lit(None).cast("string").alias(c) for c in known] + [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")])
+    counts = rows.groupBy("_file", "_block").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("_file", "_block", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_row"))
+    rows = rows.withColumn("_row", F.monotonically_increasing_id()).join(counts, ["_file", "_block"])
+    rows = rows.withColumn("row_index", F.col("_before") + own).select(*known, "row_index")
+    return typed(rows, ("lefttimesec", "righttimesec", "topfreqhz", "bottomfreqhz"), ("channel",))
 
 
 def read_detections(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.csv(path, header=True, schema=DETECTIONS)
 
 
-def parse_header(head: bytes, length: int) -> dict:
-    """samplerate, channels, sample bytes, frames and the data's offset from the first bytes of a RIFF file."""
+def open_file(path: str):
+    """A file that Spark has listed, for reading at any place: local ones and those of the object stores that Arrow knows."""
+    from urllib.parse import quote
+
+    from pyarrow import fs
+
+    own = re.sub(r"^file:/+", "/", path)
+    where, at = fs.FileSystem.from_uri(own if own.startswith("/") else quote(own, safe=":/@"))
+    return where.open_input_file(at)
+
+
+def read_header(f) -> dict:
+    """samplerate, channels, sample bytes, frames and the data's offset of a RIFF file open for reading at any place. The
+    chunks' names and sizes are read, wherever they lie, but not the chunks."""
+    length = f.size()
+
+    def at(place: int, n: int) -> bytes:
+        return head[place : place + n] if place + n <= len(head) else f.read_at(n, place)
+
+    head = f.read_at(min(HEADER_BYTES, length), 0)
     if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
         raise ValueError("no RIFF/WAVE header")
-    at, out = 12, {}
-    while at + 8 <= len(head):
-        name, size = head[at : at + 4], struct.unpack_from("<I", head, at + 4)[0]
+    place, out = 12, {}
+    while place + 8 <= length:
+        name, size = struct.unpack("<4sI", at(place, 8))
         if name == b"fmt ":
-            kind, channels, rate, _, block, bits = struct.unpack_from("<HHIIHH", head, at + 8)
+            chunk = at(place + 8, min(size, length - place - 8))
+            kind, channels, rate, _, block, bits = struct.unpack_from("<HHIIHH", chunk)
             if kind == 0xFFFE:
-                kind = struct.unpack_from("<H", head, at + 32)[0]
+                kind = struct.unpack_from("<H", chunk, 24)[0]
             if kind not in (1, 3) or not channels or not rate or not block:
                 raise ValueError(f"unsupported format {kind}")
             out = {"samplerate": rate, "channels": channels, "width": bits // 8, "block": block, "float": kind == 3}
         elif name == b"data" and out:
-            size = min(size, length - at - 8)
-            return out | {"offset": at + 8, "frames": size // out["block"]}
-        at += 8 + size + size % 2
+            size = min(size, length - place - 8)
+            return out | {"offset": place + 8, "frames": size // out["block"]}
+        place += 8 + size + size % 2
     raise ValueError("no data chunk")
 
 
-def recording_info(spark: SparkSession, paths) -> DataFrame:
+def recording_info(spark: SparkSession, paths, opener: Callable = open_file) -> DataFrame:
     """(path, samplerate, channels, frames, duration, error) of recordings, one row a file; unreadable ones have an error
-    and nulls. Spark's file reader gives the bytes; a batch of files at a time is held."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[wW][aA][vV]").option("recursiveFileLookup", "true").load(paths)
+    and nulls. Spark lists the files; a task opens each with ``opener`` and reads its chunks' heads alone."""
 
     def run(batches):
         for b in batches:
             rows = []
-            for path, length, head in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for path in b.column(0).to_pylist():
                 try:
-                    h = parse_header(head or b"", length)
+                    with opener(path) as f:
+                        h = read_header(f)
                     rows.append((path, h["samplerate"], h["channels"], h["frames"], h["frames"] / h["samplerate"], None))
-                except (ValueError, struct.error) as e:
+                except (OSError, ValueError, struct.error) as e:
                     rows.append((path, None, None, None, None, str(e)))
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.string())
             yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["path", "samplerate", "channels", "frames", "duration", "error"])
 
-    head = F.substring("content", 1, HEADER_BYTES).alias("head")
-    return files.select("path", "length", head).mapInArrow(run, "path string, samplerate int, channels int, frames long, duration double, error string")
+    return list_recordings(spark, paths).select("path").mapInArrow(run, "path string, samplerate int, channels int, frames long, duration double, error string")
 
 
-def decode(data: bytes, header: dict, first: int, n: int) -> np.ndarray:
-    """Frames first .. first + n (those there are) as float32 in -1..1, frames x channels."""
-    first, last = max(first, 0), min(first + n, header["frames"])
-    raw = data[header["offset"] + first * header["block"] : header["offset"] + max(last, first) * header["block"]]
+def decode(raw: bytes, header: dict) -> np.ndarray:
+    """Whole frames as float32 in -1..1, frames x channels."""
     width = header["width"]
     if header["float"]:
         x = np.frombuffer(raw, f"<f{width}").astype(np.float32)
@@ -138,46 +166,81 @@ def decode(data: bytes, header: dict, first: int, n: int) -> np.ndarray:
 
 
 def frame_range(start: float, length: float, rate: int, rule: str) -> tuple[int, int]:
-    """(first frame, frames) by one of three rules: ``cover`` floor(start) and ceil(length), ``span`` floor(start) to
-    ceil(end), ``nearest`` round(start) and round(length)."""
+    """(first frame, frames) by one of four rules: ``cover`` floor(start) and ceil(length), ``span`` floor(start) to
+    ceil(end), ``nearest`` round(start) to round(end), ``slice`` round(start) and round(length)."""
     if rule == "cover":
         return int(np.floor(start * rate)), int(np.ceil(length * rate))
     if rule == "span":
         first = int(np.floor(start * rate))
         return first, max(int(np.ceil((start + length) * rate)) - first, 1)
+    if rule == "slice":
+        return round(start * rate), round(length * rate)
     return int(round(start * rate)), int(round((start + length) * rate)) - int(round(start * rate))
 
 
-def load_windows(spark: SparkSession, windows: DataFrame, paths, pad: bool = True, rule: str = "cover", start: str = "window_start", length: str = "window_length") -> DataFrame:
-    """windows(path, start, length, ..) with samplerate and samples: the mono mean, zeros to the full length if pad, one
-    zero where the window lies past the end.
-
-    Windows are gathered by recording in parts of at most 512 and joined to Spark's binary files, so a recording's bytes
-    are decoded where they are read and samples are never shuffled before they are cut.
+def window_frames(start: float, length: float, header: dict, rule: str, segment: tuple[float, float] | None = None) -> tuple[int, int, int, int]:
+    """(first frame, frames, low, high): a window's frames, of which those in low..high sound and all others are zero. A
+    segment (from, to), cut to the recording, is rounded as such, and the window's place is counted from its start."""
+    rate, total = header["samplerate"], header["frames"]
+    if segment is None:
+        return *frame_range(start, length, rate, rule), 0, total
+    begin, end = max(segment[0], 0.0), min(segment[1], total / rate)
+    low = round(begin * rate)
+    first, n = frame_range(start - begin, length, rate, rule)
+    return low + first, n, low, max(min(low + round((end - begin) * rate), total), low)
+
+
+def _blocks(frames: list[tuple[int, int, int, int]], width: int) -> Iterator[tuple[int, int, list[int]]]:
+    """(lo, hi, windows): ranges of frames to read at once and the windows in them, by the windows' own frames."""
+    own = [(max(first, low), max(min(first + n, high), max(first, low)), first, n) for first, n, low, high in frames]
+    lo = hi = samples = 0
+    held: list[int] = []
+    for i in sorted(range(len(own)), key=lambda i: own[i][:2]):
+        a, b, _, n = own[i]
+        if held and (a > hi + GAP // width or (max(hi, b) - lo) * width > AT_ONCE or samples + n > AT_ONCE // 4):
+            yield lo, hi, held
+            held, samples = [], 0
+        lo, hi = (lo, max(hi, b)) if held else (a, b)
+        held.append(i)
+        samples += n
+    if held:
+        yield lo, hi, held
+
+
+def load_windows(spark: SparkSession, windows: DataFrame, paths, pad: bool = True, rule: str = "cover", start: str = "window_start", length: str = "window_length", segment: tuple[str, str] | None = None, opener: Callable = open_file) -> DataFrame:
+    """windows(path, start, length, ..) with samplerate and samples: the mono mean, zeros before and after what there is
+    if pad, one zero where the window lies outside. ``segment`` names two columns, times beyond which nothing sounds.
+
+    Only windows are shuffled, gathered by recording and stretch of time, so a long recording is several tasks' work. A
+    task opens the file with ``opener``, reads the bytes of neighbouring windows at once, AT_ONCE of them at most (or one
+    window), and gives their samples before it reads on. Windows of paths that the listing of ``paths`` lacks are dropped.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[wW][aA][vV]").option("recursiveFileLookup", "true").load(paths)
+    known = list_recordings(spark, paths).select(F.col("path").alias("_known"))
     others = [c for c in windows.columns if c != "path"]
-    asked = windows.withColumn("_part", F.floor(F.col(start) / (512.0 * F.col(length)))).groupBy("path", "_part").agg(F.collect_list(F.struct(*others)).alias("_windows"))
-    rows = asked.join(files.select("path", "content"), "path")
+    asked = windows.join(known, F.col("path") == F.col("_known")).drop("_known")
+    asked = asked.withColumn("_part", F.floor(F.col(start) / (512.0 * F.col(length)))).groupBy("path", "_part").agg(F.collect_list(F.struct(*others)).alias("_windows"))
 
     def run(batches):
         for b in batches:
-            for path, asked, data in zip(*(b.column(i).to_pylist() for i in range(3))):
-                h = parse_header(data, len(data))
-                out = []
-                for w in asked:
-                    first, n = frame_range(w[start], w[length], h["samplerate"], rule)
-                    x = decode(data, h, first, n).mean(1) if n > 0 else np.zeros(0, np.float32)
-                    if not len(x):
-                        x = np.zeros(1, np.float32)
-                    out.append(np.pad(x, (0, max(n - len(x), 0))) if pad else x)
-                table = pa.Table.from_pylist([{**w} for w in asked], schema=pa.schema([(f.name, _arrow(f.dataType)) for f in kept]))
-                table = table.append_column("path", pa.array([path] * len(asked))).append_column("samplerate", pa.array([h["samplerate"]] * len(asked), pa.int32()))
-                yield from table.append_column("samples", pa.array(out, pa.list_(pa.float32()))).to_batches()
+            for path, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                with opener(path) as f:
+                    h = read_header(f)
+                    frames = [window_frames(w[start], w[length], h, rule, segment and (w[segment[0]], w[segment[1]])) for w in asked]
+                    for lo, hi, held in _blocks(frames, h["block"]):
+                        x = decode(f.read_at((hi - lo) * h["block"], h["offset"] + lo * h["block"]), h).mean(1) if hi > lo else np.zeros(0, np.float32)
+                        out = []
+                        for i in held:
+                            first, n, low, high = frames[i]
+                            a, z = max(first, low), min(first + n, high)
+                            own = x[a - lo : z - lo] if z > a else x[:0]
+                            out.append(extract_slice(own, first - a if z > a else 0, n) if pad and n > 0 else own if len(own) else np.zeros(1, np.float32))
+                        table = pa.Table.from_pylist([asked[i] for i in held], schema=pa.schema([(k.name, _arrow(k.dataType)) for k in kept]))
+                        table = table.append_column("path", pa.array([path] * len(held))).append_column("samplerate", pa.array([h["samplerate"]] * len(held), pa.int32()))
+                        yield from table.append_column("samples", pa.array(out, pa.list_(pa.float32()))).to_batches()
 
     kept = [windows.schema[c] for c in others]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["path string", "samplerate int", "samples array<float>"])
-    return rows.select("path", "_windows", "content").mapInArrow(run, schema)
+    return asked.select("path", "_windows").mapInArrow(run, schema)
 
 
 def _arrow(kind) -> pa.DataType:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import signal
-from ..functions.names import sanitize_audio, stem
+from ..functions.names import relative_to, sanitize_audio, stem
 from ..schemas import ANNOTATIONS, DETECTION_COLUMNS
 
 ANNOTATION_COLUMNS = tuple(x.split()[0] for x in ANNOTATIONS.split(", "))
@@ -27,10 +27,19 @@ def write_detections(rows: DataFrame, path: str, form: str = "csv") -> None:
     rows.select(*DETECTION_COLUMNS).write.mode("overwrite").format(form).option("header", True).save(path)
 
 
-def write_detections_by_recording(rows: DataFrame, path: str) -> None:
-    """One folder a recording. Rows are dealt by the folder's key, so each folder is one task's file."""
-    keyed = rows.select(*DETECTION_COLUMNS, sanitize_audio(stem(F.col("audio_path"))).alias("recording"))
-    keyed.repartition("recording").sortWithinPartitions("recording", "detection_index").write.mode("overwrite").partitionBy("recording").csv(path, header=True)
+def by_recording(rows: DataFrame, root: str = "") -> DataFrame:
+    """Detections with ``folder``, the recording's folder below root with parts joined by ``__`` (``-`` for root itself),
+    and ``recording``, its stem: together they tell any two recordings apart by their place."""
+    above = F.regexp_replace(relative_to(F.col("audio_path"), root) if root else F.col("audio_path"), r"[/\\]?[^/\\]*$", "")
+    folder = F.array_join(F.transform(F.filter(F.split(above, r"[/\\]"), lambda p: p != ""), sanitize_audio), "__")
+    return rows.select(*DETECTION_COLUMNS, F.coalesce(F.nullif(folder, F.lit("")), F.lit("-")).alias("folder"), sanitize_audio(stem(F.col("audio_path"))).alias("recording"))
+
+
+def write_detections_by_recording(rows: DataFrame, path: str, root: str = "") -> None:
+    """A folder for each folder of recordings below root and in it one a recording. Rows are dealt by these, so each is one
+    task's file."""
+    keyed = by_recording(rows, root).repartition("folder", "recording").sortWithinPartitions("folder", "recording", "detection_index")
+    keyed.write.mode("overwrite").partitionBy("folder", "recording").csv(path, header=True)
 
 
 def label_lines(samples: DataFrame) -> DataFrame:

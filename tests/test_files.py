@@ -58,6 +58,64 @@ def test_windows_are_read_padded_and_mixed(spark, wavs):
     assert files.frame_range(0.1, 0.25, 10, "cover") == (1, 3) and files.frame_range(0.1, 0.25, 10, "span") == (1, 3) and files.frame_range(0.16, 0.25, 10, "nearest") == (2, 2)
 
 
+def reference_slice(audio, rate, start, length, begin, end):
+    """A slice of a segment, zeros outside it: frames counted from the segment's start."""
+    begin, end = max(begin, 0.0), min(end, len(audio) / rate)
+    first = round(begin * rate)
+    segment, n, at = audio[first : first + round((end - begin) * rate)], round(length * rate), round((start - begin) * rate)
+    return np.array([segment[at + i] if 0 <= at + i < len(segment) else 0.0 for i in range(n)])
+
+
+def test_windows_are_padded_on_both_sides(spark, tmp_path):
+    x = np.arange(1, 41) / 64
+    (tmp_path / "x.wav").write_bytes(files.wav_bytes(x, 8))
+    (path,) = [r.path for r in files.list_recordings(spark, str(tmp_path)).collect()]
+    rows = [(path, start, length, a, b) for start in (-0.5, -0.25, 0.0, 0.3, 2.2, 4.5, 4.9, 5.5) for length in (0.25, 1.0) for a, b in ((-0.5, 9.0), (0.2, 3.1), (2.0, 2.5))]
+    asked = spark.createDataFrame(rows, "path string, window_start double, window_length double, a double, b double")
+    (r,) = [r for r in files.load_windows(spark, asked.filter("window_start = -0.25 and window_length = 1 and a = 2"), str(tmp_path)).collect()]
+    assert np.allclose(np.array(r.samples) * 64, [0, 0, 1, 2, 3, 4, 5, 6], atol=0.01)
+    got = {tuple(r)[:4]: r.samples for r in files.load_windows(spark, asked, str(tmp_path), rule="slice", segment=("a", "b")).select("window_start", "window_length", "a", "b", "samples").collect()}
+    assert len(got) == len(rows)
+    for _, start, length, a, b in rows:
+        assert np.allclose(got[start, length, a, b], reference_slice(x, 8, start, length, a, b), atol=1e-3), (start, length, a, b)
+
+
+def test_samples_are_read_by_ranges(spark, tmp_path, monkeypatch):
+    x = tone(2, [(0, 2)])
+    data = files.wav_bytes(x, RATE)
+    junk = b"LIST" + (1 << 18).to_bytes(4, "little") + bytes(1 << 18)
+    (tmp_path / "x y.wav").write_bytes(data[:36] + junk + data[36:])
+    (r,) = files.recording_info(spark, str(tmp_path)).collect()
+    assert (r.frames, r.error) == (2 * RATE, None)
+    asked = spark.createDataFrame([(r.path, s, 0.5) for s in (0.0, 0.1, 1.25)], "path string, window_start double, window_length double")
+    got = files.load_windows(spark, asked, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan and "CartesianProduct" not in plan
+    for w in got.collect():
+        a = int(w.window_start * RATE)
+        assert np.allclose(w.samples, x[a : a + RATE // 2], atol=1e-4)
+    monkeypatch.setattr(files, "AT_ONCE", 4000)
+    frames = [(i * 100, 150, 0, 1000) for i in range(-3, 14)]
+    blocks = list(files._blocks(frames, 2))
+    assert sorted(i for _, _, held in blocks for i in held) == list(range(17)) and len(blocks) > 1
+    for lo, hi, held in blocks:
+        assert all(lo <= max(frames[i][0], 0) and min(frames[i][0] + 150, 1000) <= hi or not max(min(frames[i][0] + 150, 1000), 0) > max(frames[i][0], 0) for i in held)
+
+
+def test_annotations_are_numbered_in_their_file(spark, tmp_path):
+    head = ",".join(files.REQUIRED_ANNOTATIONS)
+    lines = [f"s.wav,{'x' if i % 7 == 3 else 1},{i}.5,{i + 1}.5,9000,5000,c{i}," for i in range(1, 401)]
+    (tmp_path / "a.csv").write_text("\n".join([head, *lines]) + "\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        good, bad = files.read_annotations(spark, str(tmp_path / "a.csv"))
+        assert {r.row_index: r.lefttimesec for r in good.collect()} == {i: i + 0.5 for i in range(1, 401) if i % 7 != 3}
+        assert sorted(r.row_index for r in bad.collect()) == [i for i in range(1, 401) if i % 7 == 3]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_metafiles_logs_and_tables(spark, tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x" / "one metafile.txt").write_text("\n AnnotationFile= l.log \r\na.wav\n\n spacer.wav\nb.wav\n")
@@ -85,7 +143,7 @@ def test_detection_and_label_writers(spark, tmp_path):
     sinks.write_detections(rows, f"{tmp_path}/d")
     assert sorted(map(tuple, files.read_detections(spark, f"{tmp_path}/d").collect())) == sorted(map(tuple, rows.collect()))
     sinks.write_detections_by_recording(rows, f"{tmp_path}/r")
-    assert {p.name for p in (tmp_path / "r").glob("recording=*")} == {"recording=x", "recording=y"}
+    assert {f"{p.parent.name}/{p.name}" for p in (tmp_path / "r").glob("*/recording=*")} == {"folder=a/recording=x", "folder=b/recording=y"}
     box = "array<struct<class_id:int,x_center:double,y_center:double,width:double,height:double>>"
     samples = spark.createDataFrame([("train", "s", [(0, 0.5, 0.25, 0.125, 1.0)]), ("val", "t", [])], f"split string, sample string, boxes {box}")
     sinks.write_labels(samples, f"{tmp_path}/l")

@@ -110,6 +110,9 @@ def test_variants_multiply_training_samples_only(spark):
     got = variants.variants(df, drops=1, masks=2, flip=True).collect()
     assert len(got) == 5 + 5 + 1
     assert sorted(r.boxes[0].x_center for r in got if r.kind == "flip") == pytest.approx([0.7, 0.8])
+    for r in variants.plan_strips(spark.range(50)).collect():
+        up, level = r.rectangles
+        assert (up.y, up.height, level.x, level.width) == (0, 1, 0, 1) and max(up.width, level.height) <= 0.1 and up.x + up.width <= 1 and level.y + level.height <= 1
     r = variants.plan_masks(spark.range(50), 3).collect()
     assert all(0.05 <= q.width <= 0.2 and 0 <= q.x and q.x + q.width <= 1 and q.y + q.height <= 1 for x in r for q in x.rectangles)
 
@@ -164,6 +167,40 @@ def test_annotations_map_to_the_earliest_segment(spark):
         timeline.good_and_rejects(timeline.map_to_segments(df, segs), strict=True)
 
 
+def test_repeated_and_unnamed_rows_stay(spark):
+    segs = timeline.build_timeline(timeline.with_durations(spark.createDataFrame([("m", 0, "a.wav")], "metafile string, pos long, entry_name string"), spark.createDataFrame([("a.wav", 10.0)], "entry_name string, duration double")))
+    rows = spark.createDataFrame([(1, "m", 1.0, 2.0), (1, "m", 3.0, 4.0), (None, "m", 5.0, 6.0), (None, "m", 5.0, 6.0), (None, None, 5.0, 6.0), (2, "m", None, 1.0)], "id long, metafile string, left double, right double")
+    assert sorted((str(r.id), str(r.left_rel), r.status) for r in timeline.map_to_segments(rows, segs).collect()) == [("1", "1.0", "ok"), ("1", "3.0", "ok"), ("2", "None", "unmatched"), ("None", "5.0", "ok"), ("None", "5.0", "ok"), ("None", "None", "unmatched")]
+    sigs = spark.createDataFrame([("f", "m", "l", "bird", 0)], "folder string, meta string, log string, name string, seq long")
+    rows = spark.createDataFrame([(1, "f", "m", "bird"), (1, "f", "m", "a bird"), (None, "f", "m", "bird"), (None, "f", "m", "bird"), (3, None, "m", "bird")], "id long, folder string, meta string, comment string")
+    assert matching.match_names(rows, matching.build_token_table(sigs)).count() == 4
+
+
+def test_names_equal_a_plain_search(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abc -_"), rng.integers(1, 9)))
+    sigs = [("f", "m", "l", word(), i) for i in range(60)]
+    rows = [(i, "f", "m", word() + word() + word()) for i in range(300)]
+    table = matching.build_token_table(spark.createDataFrame(sigs, "folder string, meta string, log string, name string, seq long"))
+    tokens = sorted(((-len(t.token), t.first.seq, t.first.k, t.token, t.names[0]) for t in table.collect()))
+    want = {}
+    for i, _, _, comment in rows:
+        low = comment.lower().strip(" ")
+        forms = [low, low.replace("-", "_"), low.replace("_", " "), low.replace(" ", "_")]
+        hit = next((t[4] for t in tokens if any(t[3] in f for f in forms)), None)
+        if low and hit is not None:
+            want[i] = hit
+    got = matching.match_names(spark.createDataFrame(rows, "id long, folder string, meta string, comment string"), table, gram=3)
+    assert {r.id: r.annotation_name for r in got.collect()} == want and len(want) > 50
+
+
+def test_spacer_durations(spark):
+    rows = spark.createDataFrame([("m", 0, "Spacer.WAV"), ("m", 1, "spacer"), ("m", 2, "other_spacer.wav"), ("n", 0, "Spacer.WAV"), ("n", 1, "x_spacer.wav")], "metafile string, pos long, entry_name string")
+    recs, over = spark.createDataFrame([("Spacer.WAV", 4.0), ("spacer", 9.0)], "entry_name string, duration double"), spark.createDataFrame([("m", 7.0)], "metafile string, spacer double")
+    got = lambda **k: [r.duration for r in timeline.with_durations(rows, recs, over, 2.5, **k).orderBy("metafile", "pos").collect()]
+    assert got() == [7, 7, 7, 2.5, 2.5] and got(spacer_recordings=True) == [4, 7, 7, 4, 2.5]
+
+
 def test_tokens_and_names(spark):
     r = one(spark, t=names.match_tokens(F.lit(" Sig-Red_Bird ")), c=names.comment_forms(F.lit("A-b_c d")), o=names.metafile_candidates(F.lit("Site A metafile.txt"), F.lit("Dir")))
     assert r.t == ["sig-red_bird", "sig_red_bird", "sig red bird", "red_bird", "red bird"]
@@ -268,6 +305,8 @@ def test_signal_helpers():
     assert signal.extract_slice(np.arange(5), -2, 4).tolist() == [0, 0, 0, 1] and signal.extract_slice(np.arange(5), 4, 3).tolist() == [4, 0, 0]
     m = signal.mask(np.arange(100.0).reshape(10, 10), [(0.1, 0.2, 0.2, 0.1)])
     assert (m[2, 1:3] == 49.5).all() and (m != np.arange(100.0).reshape(10, 10)).sum() == 2
+    m = signal.mask(np.arange(100.0).reshape(10, 10), [(0.34, 0.0, 0.09, 1.0), (0.0, 0.0, 0.99, 0.1), (0.0, 0.95, 1.0, 0.04)])
+    assert (m[:, 3] == 49.5).all() and (m[9] == 49.5).all() and (m == 49.5).sum() == 19
     for k in (1, 2, 3, 4, 5):
         a = np.random.default_rng(k).random((3, 9))
         assert np.allclose(signal.smoothed(a, k), [np.convolve(r, np.ones(k) / k, mode="same") for r in a])
