@@ -15,7 +15,8 @@ from .store import Tables
 
 LENGTH = 400
 CELL = 16  # starts refined together
-SLAB = 1 << 20  # starts worked on at once; longer documents are cut into slabs that overlap by LENGTH
+SLAB = 1 << 18  # starts worked on at once; longer documents are cut into slabs that overlap by LENGTH
+FLUSH = 1 << 16  # rows that a task gathers before it gives them
 FOLLOWING = bytes(range(0x80, 0xC0))  # bytes of UTF-8 that don't begin a code point
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -129,6 +130,14 @@ def find_cells(docs: DataFrame, wanted: DataFrame, length: int, cell: int) -> Da
 
     def run(batches):
         digest = xxhash.xxh3_64_intdigest
+
+        def rows(b, take, out):
+            names = ["doc_id", "text_hash", "a", "b", "open", "core", "hull"]
+            ids = [b.column(j).take(pa.array(take, pa.int32())) for j in (0, 1)]
+            own = [pa.array([o[j] for o in out], k) for j, k in enumerate((pa.int32(), pa.int32(), pa.bool_()))]
+            hashes = [pa.array([o[j] for o in out], pa.uint64()).view(pa.int64()) for j in (3, 4)]
+            return pa.record_batch([*ids, *own, *hashes], names=names)
+
         for b in batches:
             take, out = [], []
             for i in range(len(b)):
@@ -142,11 +151,10 @@ def find_cells(docs: DataFrame, wanted: DataFrame, length: int, cell: int) -> Da
                         whole = whole and not (first < lo and lo % SLAB == 0)  # a run cut at a slab: its other part has the block
                         take.append(i)
                         out.append((max(first, lo), min(last, hi), r["open"], digest(text[last : first + length], seed), digest(text[first : last + length], seed) if whole else None))
-            names = ["doc_id", "text_hash", "a", "b", "open", "core", "hull"]
-            ids = [b.column(j).take(pa.array(take, pa.int32())) for j in (0, 1)]
-            own = [pa.array([o[j] for o in out], k) for j, k in enumerate((pa.int32(), pa.int32(), pa.bool_()))]
-            hashes = [pa.array([o[j] for o in out], pa.uint64()).view(pa.int64()) for j in (3, 4)]
-            yield pa.record_batch([*ids, *own, *hashes], names=names)
+                    if len(out) >= FLUSH:
+                        yield rows(b, take, out)
+                        take, out = [], []
+            yield rows(b, take, out)
 
     return _with_texts(docs, wanted, length).mapInArrow(run, "doc_id long, text_hash long, a int, b int, open boolean, core long, hull long")
 
@@ -158,22 +166,26 @@ def find_strings(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         buckets = Buckets(SLAB + 2 * length)
+
+        def rows(b, parts):
+            at = pa.array(np.concatenate([p[0] for p in parts]))
+            cols = [b.column(0).take(at), b.column(1).take(at), *(pa.array(np.concatenate([p[j] for p in parts])) for j in range(1, 5))]
+            return pa.record_batch(cols, names=["doc_id", "text_hash", "start", "open", "b0", "b1"])
+
         for b in batches:
-            take, starts, opens, first, last = [], [], [], [], []
+            parts, size = [], 0
             for i in range(len(b)):
                 data = np.frombuffer(b.column(2)[i].as_py(), np.uint8)
                 for r in b.column(3)[i].as_py():
                     n = r["b"] - r["a"] + 1
                     ids = buckets.of(data[r["a"] : r["b"] + length], q).view(np.int64)
-                    take.append(np.full(n, i, np.int32))
-                    starts.append(np.arange(r["a"], r["b"] + 1, dtype=np.int32))
-                    opens.append(np.full(n, r["open"]))
-                    first.append(ids[:n])
-                    last.append(ids[length - q : length - q + n])
-            if take:
-                at = pa.array(np.concatenate(take))
-                cols = [b.column(0).take(at), b.column(1).take(at), *(pa.array(np.concatenate(x)) for x in (starts, opens, first, last))]
-                yield pa.record_batch(cols, names=["doc_id", "text_hash", "start", "open", "b0", "b1"])
+                    parts.append((np.full(n, i, np.int32), np.arange(r["a"], r["b"] + 1, dtype=np.int32), np.full(n, r["open"]), ids[:n], ids[length - q : length - q + n]))
+                    size += n
+                    if size >= FLUSH:
+                        yield rows(b, parts)
+                        parts, size = [], 0
+            if parts:
+                yield rows(b, parts)
 
     return _with_texts(docs, wanted, length).mapInArrow(run, "doc_id long, text_hash long, start int, open boolean, b0 long, b1 long")
 
