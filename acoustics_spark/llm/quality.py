@@ -19,6 +19,7 @@ HALF = 0.5  # the share of rows in the determinant's subset: the highest breakdo
 CONSISTENCY = 2.11  # of that subset's covariance for 4 normal variables
 CUTOFF = 23.51  # 0.9999 quantile of chi-square with 4 degrees of freedom
 PRIOR_WORDS, PRIOR_LENGTH = 40, 5.0
+BROADCAST_ROWS, SALTS = 50_000, 16  # a row of estimates has 15 numbers, so 6 MB at most are sent to all
 #: Least standard deviation of each feature: most texts have no symbols or repeats at all, whose own spread is 0.
 FLOORS = {"symbols": 0.04, "length": 0.06, "lines": 0.15, "repeats": 0.18}
 
@@ -110,6 +111,15 @@ def _floor(i: int) -> float:
     return (list(FLOORS.values())[i] * SCALE) ** 2
 
 
+def with_small(rows: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with a written table of one row a key, without moving a key's rows into one task: sent to all where it
+    has BROADCAST_ROWS at most, else repeated for each of SALTS parts of every key."""
+    if small.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(small), key, how)
+    parts = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.spark_partition_id() % SALTS).join(parts, [key, "_salt"], how).drop("_salt")
+
+
 def minimum_covariance(rows: DataFrame, tables: Tables, steps: int = STEPS) -> DataFrame:
     """(grp, m_i, w_ij) from rows(grp, x0..): regularised minimum-covariance-determinant estimates of each group.
 
@@ -117,16 +127,16 @@ def minimum_covariance(rows: DataFrame, tables: Tables, steps: int = STEPS) -> D
     nearest and estimates from them, which never enlarges the determinant. All steps are combining aggregations with
     bounded state: percentiles are of rounded values, so a group of any size holds few distinct ones.
     """
-    mid = rows.groupBy("grp").agg(*[F.percentile(f"x{i}", F.lit(0.5)).alias(f"m{i}") for i in P])
-    off = rows.join(mid, "grp").groupBy("grp").agg(*[F.percentile(F.abs(F.round(F.col(f"x{i}") - F.col(f"m{i}"))), F.lit(0.5)).alias(f"d{i}") for i in P])
+    mid = tables.write(rows.groupBy("grp").agg(*[F.percentile(f"x{i}", F.lit(0.5)).alias(f"m{i}") for i in P]))
+    off = with_small(rows, mid, "grp").groupBy("grp").agg(*[F.percentile(F.abs(F.round(F.col(f"x{i}") - F.col(f"m{i}"))), F.lit(0.5)).alias(f"d{i}") for i in P])
     start = mid.join(off, "grp")
     cov = {(i, j): F.pow(1.4826 * F.col(f"d{i}"), 2) + _floor(i) if i == j else F.lit(0.0) for i, j in CELLS}
     est = tables.write(start.select("grp", *_whiten([F.col(f"m{i}") for i in P], cov)))
     for _ in range(steps):
         far = F.round(F.log2(1 + _distance()) * 64).cast("long")
-        near = rows.join(est, "grp").select("grp", *[f"x{i}" for i in P], far.alias("far"))
+        near = with_small(rows, est, "grp").select("grp", *[f"x{i}" for i in P], far.alias("far"))
         half = tables.write(near.groupBy("grp").agg(F.percentile("far", F.lit(HALF)).alias("most")))
-        near = near.join(half, "grp").filter("far <= most")
+        near = with_small(near, half, "grp").filter("far <= most")
         x = lambda i: F.col(f"x{i}").cast("double")  # noqa: E731  whole numbers: exact sums up to 2**53
         sums = near.groupBy("grp").agg(F.count("*").alias("n"), *[F.sum(x(i)).alias(f"s{i}") for i in P], *[F.sum(x(i) * x(j)).alias(f"s{i}{j}") for i, j in CELLS])
         mean = [F.col(f"s{i}") / F.col("n") for i in P]
@@ -158,9 +168,9 @@ def quality(docs: DataFrame, min_rows: int = MIN_ROWS, cutoff: float = CUTOFF) -
     groups = sizes.join(pools, "coarse", "left")
     grp = F.when(F.col("n") >= min_rows, F.col("fine")).when(F.col("pool") >= min_rows, F.col("coarse")).otherwise(F.lit(0))
     groups = tables.write(groups.select("fine", grp.cast("long").alias("grp")))
-    judged = rows.filter("not base_failed").join(groups, "fine")
+    judged = with_small(rows.filter("not base_failed"), groups, "fine")
     est = minimum_covariance(judged.select("grp", *[f"x{i}" for i in P]), tables)
-    out = rows.join(groups.join(est, "grp"), "fine", "left").withColumn("distance", _distance())
+    out = with_small(rows, tables.write(groups.join(est, "grp")), "fine", "left").withColumn("distance", _distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return out.select("doc_id", "text_hash", "fine", *counts, kept.alias("kept"), "distance")
@@ -175,7 +185,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     is joined back by these, each distinct rejection once."""
     names = [own_name(docs, n) for n in ("_text", "_fine")]
     bad = quality(docs).filter("not kept").select(F.col("text_hash").alias(names[0]), F.col("fine").alias(names[1])).distinct()
-    same = (F.xxhash64(docs["text"]) == bad[names[0]]) & (_fine(docs["lang"], docs["source"]) == bad[names[1]])
+    same = (F.xxhash64("text") == F.col(names[0])) & (_fine(F.col("lang"), F.col("source")) == F.col(names[1]))
     return without(docs, Tables(docs.sparkSession, "rejected").write(bad), same, names[0])
 
 
