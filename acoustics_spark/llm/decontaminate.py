@@ -127,7 +127,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     digest = own_name(docs, "_digest")
     dirty = contamination(docs, benchmark).filter("contaminated").select(F.col("text_hash").alias(digest)).distinct()
     dirty = Tables(docs.sparkSession, "contaminated").write(dirty)
-    return without(docs, dirty, F.xxhash64(docs["text"]) == dirty[digest], digest)
+    return without(docs, dirty, F.xxhash64("text") == F.col(digest), digest)
 
 
 OP4_SQL = r"""

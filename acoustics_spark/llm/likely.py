@@ -25,7 +25,7 @@ def likely(rows: DataFrame, wanted: DataFrame, how: str, key: str = "text_hash",
 
 
 def without(docs: DataFrame, gone: DataFrame, same: Column, key: str) -> DataFrame:
-    """docs without the rows that have a partner in gone by ``same``, which implies that their text's hash is gone's
-    ``key``. Only rows that may have one are shuffled."""
+    """docs without the rows that have a partner in gone by ``same``, a condition on column names, of which those of gone
+    are its own, and which implies that the text's hash is gone's ``key``. Only rows that may have one are shuffled."""
     near, far = (likely(docs, gone, how, key, F.xxhash64(docs["text"])) for how in ("left_semi", "left_anti"))
     return near.join(gone, same, "left_anti").unionAll(far)

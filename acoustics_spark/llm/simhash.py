@@ -112,7 +112,7 @@ def keep_least(docs: DataFrame, groups: DataFrame) -> DataFrame:
     rows = rows.join(least, "doc_id", "left").select(F.col("doc_id").alias(at), F.col("text_hash").alias(digest), F.when(stays, F.col("times")).otherwise(0).alias(times))
     rows = Tables(docs.sparkSession, "least").write(rows.filter(F.col(times) != 1))
     near, far = (likely(docs, rows, how, digest, F.xxhash64(docs["text"])) for how in ("left_semi", "left_anti"))
-    near = near.join(rows, (near["doc_id"].cast("long") == rows[at]) & (F.xxhash64(near["text"]) == rows[digest]), "left")
+    near = near.join(rows, (F.col("doc_id").cast("long") == F.col(at)) & (F.xxhash64("text") == F.col(digest)), "left")
     alone = near.filter(F.col(times).isNull()).select(docs.columns)
     once = near.filter(F.col(times) > 1).dropDuplicates([at]).select(docs.columns)
     return far.unionAll(alone).unionAll(once)
