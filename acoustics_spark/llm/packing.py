@@ -21,23 +21,25 @@ class Tokens:
     """Byte-level BPE ids as little-endian 32-bit numbers.
 
     The vocabulary splits before every single space, so a text without runs of white space is the words between its
-    spaces, each a look-up in a bounded cache. Other texts are encoded whole. Strings of special tokens are plain text.
+    spaces, each a look-up in a bounded cache. Other texts are encoded whole, as are those with the string of a special
+    token, which is that token wherever it stands.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, special: dict[str, int]):
         import regex
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.encode = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special).encode
+        self.special = tuple(special)
         self.run, self.cache = regex.compile(r"[\s\x1c-\x1f\x85]{2}").search, {}
 
     def raw(self, text: str) -> bytes:
-        return np.array(self.encode(text), "<u4").tobytes()
+        return np.array(self.encode(text, allowed_special="all"), "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        if self.run(text) or text[-1:].isspace():
+        if self.run(text) or text[-1:].isspace() or any(s in text for s in self.special):
             return self.raw(text)
         first, *words = text.split(" ")
         cache, raw, out = self.cache, self.raw, [self.raw(first)]
@@ -122,14 +124,14 @@ class Packer:
         self.open, self.count = {}, np.zeros(self.size + 1, np.int64)
 
 
-def default_tokens() -> tuple[str, str]:
-    """The installed vocabulary's file and its pattern. Its ids equal those of the JSON form of the same vocabulary."""
+def default_tokens() -> tuple[str, str, dict[str, int]]:
+    """The installed vocabulary's file, its pattern and its special token. Ids equal those of the vocabulary's JSON form."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256}
 
 
-def pack(docs: DataFrame, size: int = WINDOW, end_id: int = END_ID, vocabulary: tuple[str, str] | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, size: int = WINDOW, end_id: int = END_ID, vocabulary: tuple[str, str, dict[str, int]] | None = None, with_ids: bool = False) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if with_ids).
 
     Every partition is packed on its own, in order and without a shuffle: texts are never moved, a hot source or group

@@ -114,11 +114,10 @@ def slow_ids():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
-WHITE = [" a  b\n\nc ", "a \n b", "tab\tand nbsp 　 wide", "it's we'll  don't", "x ", " ", "\n", "12 345\n6 ½ ²", "<|endoftext|> a", "é́ ß 中文 字 ..,,!! a.b"]
+WHITE = [" a  b\n\nc ", "a \n b", "tab\tand nbsp 　 wide", "it's we'll  don't", "x ", " ", "\n", "12 345\n6 ½ ²", "<|endoftext|> a", "<|endoftext|>", "a <|endoftext|><|endoftext|>b  <|endoftext| >", "é́ ß 中文 字 ..,,!! a.b"]
 
 
 def test_packing_is_whole_and_tight(spark, sf, slow_ids):
