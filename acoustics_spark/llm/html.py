@@ -16,7 +16,8 @@ BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre search section summary table caption tbody td tfoot th thead tr ul head".split()
 )
-DROPPED = set("nav footer aside form head menu dialog fieldset search button label".split())
+DROPPED = set("nav footer aside head menu dialog search button label".split())
+FORMS = set("form fieldset".split())
 ENDS_P = BLOCK - {"html", "head", "body"}
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"})}
 CLOSES |= {t: ({"thead", "tbody", "tfoot"}, {"table"}) for t in ("thead", "tbody", "tfoot")}
@@ -24,12 +25,18 @@ SCOPE = set("article aside section div main nav footer header form td th table u
 BOILERPLATE = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
     "newsletter subscribe subscription signup paywall nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar aside widget widgets "
-    "related recommended recommendations share sharing social footer header masthead comment comments commentlist disqus respond reply replies discussion "
-    "toolbar skip copyright login search tags".split()
+    "related recommended recommendations share sharing social footer header masthead toolbar skip copyright login search tags complementary contentinfo".split()
+)
+COMMENTS = set("comment comments commentlist disqus respond reply replies".split())
+CONTENT = set("article entry post posts story stories title headline content page".split())  # their header is a heading
+NEUTRAL = set(
+    "area bar block body bottom box btn button buttons center col column container div fixed floating form global group head holder icons inner inline item items left link links list "
+    "main mobile module nav panel primary right row secondary section site slot small sticky text top ul unit wrap wrapper zone".split()
 )
-CONTENT = set("article entry post story title headline content".split())  # their header is a heading
 LEAST_SHARE = 0.05
-WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
+HALF, MOST = 0.5, 0.8  # shares of the page's text that a name can't drop: with a mark or heading in it, and without any elsewhere
+LINKED = 0.7  # the share of link text from which a list beside the main text only leads elsewhere
+WORDS = re.compile(r"[a-z]{2,}|[A-Z][a-z]+|[A-Z]{2,}(?![a-z])")
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*?)(>|\Z))", re.S)
 NAMES = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -40,6 +47,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.gone, self.main = ["#root"], [-1], [False], []
+        self.named: dict[int, bool] = {}  # blocks that name themselves as boilerplate, and whether as readers' comments
         self.text: list[tuple[int, str, bool]] = []  # (block, decoded text or a line break, in a link)
         self.links: list[int] = []
         stack: list[tuple[str, int]] = [("#root", 0)]  # (element, its block)
@@ -92,7 +100,7 @@ class Page:
         """Whether an inline element is hidden or named as boilerplate."""
         if name in DROPPED:
             return True
-        return name != "a" and bool(attributes) and (boilerplate(attributes) or HIDDEN.search(attributes) is not None)
+        return name != "a" and bool(attributes) and (bool(boilerplate(attributes)) or HIDDEN.search(attributes) is not None)
 
     def block(self, parent: int, name: str, gone: bool) -> int:
         self.tag.append(name)
@@ -101,21 +109,19 @@ class Page:
         return len(self.tag) - 1
 
     def open(self, stack: list, name: str, attributes: str) -> None:
-        gone = name in DROPPED
+        own = self.block(stack[-1][1], name, name in DROPPED or bool(attributes) and HIDDEN.search(attributes) is not None)
+        inside = any(self.tag[b] in ("article", "main") for _, b in stack)
+        if name in FORMS or name == "header" and not inside:
+            self.named[own] = False
         if attributes and name not in ("html", "body"):
-            gone = gone or HIDDEN.search(attributes) is not None or (boilerplate(attributes) and name not in ("main",))
-        inside = any(self.tag[b] == "article" for _, b in stack)
-        if name == "header" and not inside:
-            gone = True
-        own = self.block(stack[-1][1], name, gone)
-        stack.append((name, own))
-        if not gone and (name in ("article", "main") or attributes and re.search(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody", attributes)):
+            kind = boilerplate(attributes)
+            if kind:
+                self.named[own] = kind == "comments"
+            if re.search(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody", attributes):
+                self.main.append(own)
+        if name in ("article", "main") and self.main[-1:] != [own]:
             self.main.append(own)
-            up = self.parent[own]
-            while up > 0:  # a wrapper of the article isn't boilerplate, whatever it is called
-                if self.tag[up] not in DROPPED:
-                    self.gone[up] = False
-                up = self.parent[up]
+        stack.append((name, own))
 
     @staticmethod
     def pop_to(stack: list, names: set, scope: set) -> None:
@@ -136,13 +142,21 @@ class Page:
         return int(any(t == "a" for t, _ in stack)) if link else 0
 
 
-def boilerplate(attributes: str) -> bool:
+def boilerplate(attributes: str) -> str:
+    """``comments`` or ``other`` if a whole class, id or role says that the element is no part of the text, else nothing.
+    A name of which some word is neither boilerplate nor about layout (login-guide, has-sidebar, social-history) says so
+    of nothing."""
+    out = ""
     for m in NAMES.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").split():
             words = {w.lower() for w in WORDS.findall(name)}
-            if not BOILERPLATE.isdisjoint(words - {"header"} if CONTENT & words else words):
-                return True
-    return False
+            own = words & (BOILERPLATE | COMMENTS)
+            if own and words <= BOILERPLATE | COMMENTS | CONTENT | NEUTRAL:
+                if own & COMMENTS:
+                    return "comments"
+                if own - {"header"} or not words & CONTENT:
+                    out = "other"
+    return out
 
 
 def density(c: int, t: int, lc: int, lt: int, body_links: float) -> float:
@@ -156,78 +170,130 @@ def density(c: int, t: int, lc: int, lt: int, body_links: float) -> float:
     return c / max(t, 1) * math.log(ratio + 1) / math.log(base + 1)
 
 
+class Sizes:
+    """Text, link and tag counts of each block that isn't gone, with all below it, and the densities from these."""
+
+    def __init__(self, page: Page, gone: list[bool]):
+        n, parent = len(page.tag), page.parent
+        self.chars, tags, self.link_chars, self.link_tags = [0] * n, [0] * n, [0] * n, [0] * n
+        for block, text, link in page.text:
+            if not gone[block]:
+                size = len(text) - text.count(" ") - text.count("\n")
+                self.chars[block] += size
+                if link:
+                    self.link_chars[block] += size
+        for block in page.links:
+            tags[block] += 1
+            self.link_tags[block] += 1
+        for i in range(n - 1, 0, -1):
+            if not gone[i]:
+                p = parent[i]
+                self.chars[p] += self.chars[i]
+                self.link_chars[p] += self.link_chars[i]
+                self.link_tags[p] += self.link_tags[i]
+                tags[p] += tags[i] + 1
+        body = self.link_chars[0] / max(self.chars[0], 1)
+        self.dense = [density(*x, body) for x in zip(self.chars, tags, self.link_chars, self.link_tags)]
+        self.sums, self.kids = [0.0] * n, [0] * n
+        for i in range(1, n):
+            if not gone[i]:
+                self.sums[parent[i]] += self.dense[i]
+                self.kids[parent[i]] += 1
+
+    def leads_elsewhere(self, i: int) -> bool:
+        return self.link_chars[i] >= LINKED * self.chars[i] > 0
+
+
+def _below(page: Page, flags: list[bool]) -> list[bool]:
+    """flags, set below every block where they are set."""
+    out = list(flags)
+    for i in range(1, len(out)):
+        out[i] = out[i] or out[page.parent[i]]
+    return out
+
+
+def _gone(page: Page) -> list[bool]:
+    """Blocks that are no part of the text by what they are, or by their names. A name drops no block that has half of the
+    page's text with a mark or first heading in it, or most of it where there is none elsewhere; readers' comments stay
+    only where there is nothing else."""
+    n, hard = len(page.tag), _below(page, page.gone)
+    own = Sizes(page, hard)
+    heads = [0] * n  # marks and first headings in each block
+    for i in {*page.main, *(i for i in range(n) if page.tag[i] == "h1")}:
+        heads[i] = int(not hard[i])
+    for i in range(n - 1, 0, -1):
+        heads[page.parent[i]] += heads[i]
+    out = list(page.gone)
+    for i, comments in page.named.items():
+        if comments:
+            out[i] = own.chars[i] < own.chars[0]
+            continue
+        share = own.chars[i] / max(own.chars[0], 1)
+        out[i] = out[i] or not (share >= HALF and heads[i] or share >= MOST and not heads[0])
+    return _below(page, out)
+
+
+def choose(page: Page, gone: list[bool]) -> list[bool]:
+    """Which blocks are the main text: the node with the largest sum of its children's densities decides.
+
+    Where marks hold it (article, main), the outermost is taken whole, with sibling articles; lists of links in it, but
+    beside the chosen node and its article, go. Where it holds marks with half its text, these are taken. Else it is taken
+    itself, and with the least density on its path to the body as threshold the densest subtree of each node beside the
+    path that has it. A first heading beside the path is taken where there is none in what is.
+    """
+    own, parent, n = Sizes(page, gone), page.parent, len(page.tag)
+    keep, dense, sums = [False] * n, own.dense, own.sums
+    if not own.chars[0]:
+        return keep
+    top = max((i for i in range(n) if not gone[i]), key=lambda i: (sums[i], -i))
+    if not own.kids[top]:
+        top = 0
+    path = set(_path(top, parent))
+    marks = {i for i in page.main if not gone[i] and own.chars[i]}
+    above = [i for i in marks if i == top or i in path]
+    held = [i for i in marks if top in (ahead := _path(i, parent)) and marks.isdisjoint(ahead)]
+    beside = [i for i in range(1, n) if not gone[i] and parent[i] in path and i != top and i not in path]
+    drop: list[int] = []
+    if above:
+        root = min(above)
+        roots = [root, *(i for i in marks if parent[i] == parent[root] and not own.leads_elsewhere(i))]
+        article = max((i for i in above if page.tag[i] == "article"), default=top)
+        drop = [i for i in beside if root in _path(i, parent) and article not in _path(i, parent) and own.link_tags[i] >= 3 and own.leads_elsewhere(i)]
+    elif sum(own.chars[i] for i in held) >= HALF * own.chars[top]:
+        roots = held
+    else:
+        least = min([dense[top], *(dense[j] for j in path if j)])
+        best = list(range(n))  # of each subtree the node with the largest sum
+        for i in range(n - 1, 0, -1):
+            if not gone[i] and sums[best[i]] > sums[best[parent[i]]]:
+                best[parent[i]] = best[i]
+        roots = [top, *(best[i] if own.kids[best[i]] else i for i in beside if dense[i] >= least and not own.leads_elsewhere(i))]
+    for i in roots:
+        keep[i] = True
+    keep = _below(page, keep)
+    if not any(keep[i] and page.tag[i] == "h1" and own.chars[i] for i in range(n)):
+        around = {j for i in roots for j in _path(i, parent)}
+        for i in range(1, n):
+            if page.tag[i] == "h1" and not gone[i] and parent[i] in around:
+                keep[i] = True
+        keep = _below(page, keep)
+    dropped = [False] * n
+    for i in drop:
+        dropped[i] = True
+    return [k and not d for k, d in zip(keep, _below(page, dropped))]
+
+
 def extract(source: str | None) -> str:
     """The main text of a page: its blocks in page order, white space as one space, joined by line ends.
 
-    Menus, footers, forms and what else names itself as boilerplate go first. A page's marked article is the subtree;
-    of several, and where none is marked, the node with the largest sum of its children's composite densities is. Then
-    the least density on its path to the body is the threshold: nodes beside the path of at least that density give
-    their densest subtree, too, as does a page's main heading there.
+    Scripts, menus, footers and their like, and what names itself as boilerplate, go first (see :func:`_gone`); densities
+    of what is left choose the subtree (see :func:`choose`), of which nothing else is dropped.
     """
     if not source:
         return ""
     page = Page(source)
-    n, parent, gone = len(page.tag), page.parent, page.gone
-    for i in range(1, n):
-        gone[i] = gone[i] or gone[parent[i]]
-    chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-    for block, text, link in page.text:
-        if not gone[block]:
-            size = len(text) - text.count(" ") - text.count("\n")
-            chars[block] += size
-            if link:
-                link_chars[block] += size
-    for block in page.links:
-        tags[block] += 1
-        link_tags[block] += 1
-    for i in range(n - 1, 0, -1):
-        if not gone[i]:
-            p = parent[i]
-            chars[p] += chars[i]
-            link_chars[p] += link_chars[i]
-            link_tags[p] += link_tags[i]
-            tags[p] += tags[i] + 1
-    if not chars[0]:
-        return ""
-    body = link_chars[0] / chars[0]
-    dense = [density(*x, body) for x in zip(chars, tags, link_chars, link_tags)]
-    sums, kids = [0.0] * n, [0] * n
-    for i in range(1, n):
-        if not gone[i]:
-            sums[parent[i]] += dense[i]
-            kids[parent[i]] += 1
-    # Lists that are nothing but links lead elsewhere.
-    for i in range(1, n):
-        if page.tag[i] in ("ul", "ol", "table", "div", "section") and link_tags[i] >= 3 and link_chars[i] >= 0.9 * chars[i]:
-            gone[i] = True
-        gone[i] = gone[i] or gone[parent[i]]
-    marked = [i for i in page.main if not gone[i] and chars[i]]
-    articles = [i for i in marked if page.tag[i] == "article" and not any(page.tag[j] == "article" for j in _path(i, parent))]
-    keep = [False] * n
-    if not articles and marked:  # the outermost marks
-        articles = [i for i in marked if not any(j in marked for j in _path(i, parent))]
-    if articles:
-        keep[max(articles, key=lambda i: (sums[i], chars[i]))] = True
-    else:
-        root = 0
-        inside = [i == root for i in range(n)]
-        for i in range(root + 1, n):
-            inside[i] = inside[parent[i]] and not gone[i]
-        top = max((i for i in range(n) if inside[i]), key=lambda i: (sums[i], -i))
-        if not kids[top]:
-            top = root
-        least = min([dense[top], *(dense[j] for j in _path(top, parent) if inside[j] and j)])
-        keep[top] = True
-        best = list(range(n))  # of each subtree the node with the largest sum
-        for i in range(n - 1, root, -1):
-            if inside[i] and sums[best[i]] > sums[best[parent[i]]]:
-                best[parent[i]] = best[i]
-        above = {top, *_path(top, parent)}
-        for i in range(root + 1, n):
-            if inside[i] and i not in above and parent[i] in above and (dense[i] >= least or page.tag[i] == "h1"):
-                keep[best[i] if kids[best[i]] else i] = True
-    for i in range(1, n):
-        keep[i] = keep[i] or keep[parent[i]]
+    gone = _gone(page)
+    keep = choose(page, gone)
     blocks, last = [[]], None
     for block, text, _ in page.text:
         if gone[block] or not keep[block]:

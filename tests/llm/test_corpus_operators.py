@@ -264,6 +264,128 @@ def test_kinds_of_pages(source, text):
     assert html.extract(source) == text
 
 
+LINKS = "<ul><li><a href=1>Source one</a></li><li><a href=2>Source two</a></li><li><a href=3>Source three</a></li></ul>"
+LONG = "".join(f"<p>{S} {S} {i}</p>" for i in range(5))
+LONG_LINES = "\n".join(f"{S} {S} {i}" for i in range(5))
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        (f'<body>{NAV}<article class="login-guide"><h1>T</h1>{PARAGRAPHS}</article></body>', f"T\n{LINES}"),
+        (f'<body>{NAV}<article class="login"><h1>T</h1>{PARAGRAPHS}</article></body>', f"T\n{LINES}"),
+        (f'<body>{NAV}<article class="post type-post tag-social-media">{PARAGRAPHS}</article></body>', LINES),
+        (f"<body><article><h1>T</h1>{PARAGRAPHS}{LINKS}</article></body>", f"T\n{LINES}\nSource one\nSource two\nSource three"),
+        (f"<body><main><article><h1>T</h1>{LONG}</article><article>{PARAGRAPHS}</article></main></body>", f"T\n{LONG_LINES}\n{LINES}"),
+        (f"<body>{NAV}<article><h1>T</h1>{LONG}</article><article>{PARAGRAPHS}</article><footer>{S}</footer></body>", f"T\n{LONG_LINES}\n{LINES}"),
+        (f'<body><div id="content"><h1>T</h1><p>{S}</p><div class="social-history">{PARAGRAPHS}</div></div></body>', f"T\n{S}\n{LINES}"),
+        (f'<body><article><h1>T</h1><p class="notice-board">{S}</p><p>{S}</p></article></body>', f"T\n{S}\n{S}"),
+        (f'<body><div class="content has-sidebar"><h1>T</h1>{PARAGRAPHS}<section id="discussion"><h2>D</h2>{PARAGRAPHS}</section><section id="related-work"><p>{S}</p></section></div></body>', f"T\n{LINES}\nD\n{LINES}\n{S}"),
+        (f"<body><main><h1>T</h1>{LONG}<article class=teaser><p>Next</p></article></main></body>", f"T\n{LONG_LINES}\nNext"),
+        (f"<body><div class=content><h1>T</h1>{LONG}</div><div><article><p>Next thing</p></article></div></body>", f"T\n{LONG_LINES}"),
+        (f"<body><h1>T</h1><article>{PARAGRAPHS}</article></body>", f"T\n{LINES}"),
+        (f"<body><main><h1>T</h1><article>{LONG}</article>{LINKS}</main></body>", f"T\n{LONG_LINES}"),
+        (f"<body><form id=aspnet><header>Site</header><div id=main><h1>T</h1>{PARAGRAPHS}</div></form></body>", f"T\n{LINES}"),
+        (f'<body>{NAV}<div class="ad">{S} {S}</div><article><h1>One</h1></article><div class="comments">{LONG}</div><footer>x</footer></body>', "One"),
+        (f'<body>{NAV}<div class="ad">{S}</div><article><h1></h1></article></body>', ""),
+        (f'<body><div id="comments">{PARAGRAPHS}</div></body>', LINES),
+        (f'<body><div class="post">{LONG}<div class="post-footer">By me</div><div class="post-header"><p>Kicker</p></div><div id="ad-300x250">Buy</div><div class="siteNotice">N</div></div></body>', f"{LONG_LINES}\nKicker"),
+    ],
+)
+def test_names_and_marks_do_not_outweigh_text(source, text):
+    assert html.extract(source) == text
+
+
+def test_a_long_page():
+    paragraphs = [f"{S} {i}" for i in range(20_000)]
+    source = f"<body>{NAV}<div>{''.join(f'<div class=sharing><div>{x}</div></div><div><p>{p}</p></div>' for x, p in zip('ab' * 10_000, paragraphs))}</div></body>"
+    assert html.extract(source) == "\n".join(paragraphs)
+
+
+def slow_text(tree):
+    """The text that composite text density chooses of a tree of (tag, children), a child being a tree or a string; ``a``
+    is the only inline element."""
+    import math
+
+    def count(node, link=False):  # characters, tags, link characters, link tags
+        tag, kids = node
+        c, t, lc, lt = 0, 0, 0, 0
+        for k in kids:
+            if isinstance(k, str):
+                size = len(k.replace(" ", ""))
+                c, lc = c + size, lc + size * (link or tag == "a")
+            else:
+                own = count(k, link or tag == "a")
+                c, lc, lt, t = c + own[0], lc + own[2], lt + own[3] + (k[0] == "a"), t + own[1] + 1
+        return c, t, lc, lt
+
+    whole = count(tree)
+
+    def dense(node):
+        c, t, lc, lt = count(node)
+        if not c:
+            return 0.0
+        inner = 1 / max(lc / c, 0.05) / max(lt / max(t, 1), 0.05) + 1
+        return c / max(t, 1) * math.log(inner) / math.log(math.log(c / max(c - lc, 1) * lc + whole[2] / whole[0] * c + math.e) + 1)
+
+    blocks = lambda node: [b for k in node[1] if not isinstance(k, str) for b in ([k] if k[0] != "a" else blocks(k))]
+    total = lambda node: sum(map(dense, blocks(node)))
+
+    def every(node, path=()):
+        yield node, path
+        for b in blocks(node):
+            yield from every(b, (*path, node))
+
+    best = lambda node: max(every(node), key=lambda x: total(x[0]))[0]  # noqa: E731  the first of equals
+    top, path = max(every(tree), key=lambda x: total(x[0]))
+    least = min(map(dense, [top, *path]))
+    chosen = [top]
+    for up in path:
+        for b in blocks(up):
+            c, _, lc, _ = count(b)
+            if b is not top and not any(b is p for p in path) and dense(b) >= least and not lc >= 0.7 * c > 0:
+                chosen.append(best(b) if blocks(best(b)) else b)
+    out: list[str] = []
+
+    def lines(node, kept):
+        kept = kept or any(node is x for x in chosen)
+        run = ""
+        for k in node[1]:
+            if isinstance(k, str) or k[0] == "a":
+                run += k if isinstance(k, str) else "".join(k[1])
+            else:
+                out.extend([" ".join(run.split())] * (kept and bool(run.strip())))
+                run = ""
+                lines(k, kept)
+        out.extend([" ".join(run.split())] * (kept and bool(run.strip())))
+
+    lines(tree, False)
+    return "\n".join(out)
+
+
+def test_density_equals_a_slow_version():
+    import random
+
+    r = random.Random(6)
+    words = lambda: " ".join("w" * r.randint(1, 9) for _ in range(r.choice([1, 2, 8, 40])))
+
+    def grow(depth):
+        kids = []
+        for _ in range(r.randint(1, 4)):
+            kind = r.random()
+            kids.append(("a", [words()]) if kind < 0.2 else words() if kind < 0.4 or depth > 4 else (r.choice(["div", "section", "blockquote"]), grow(depth + 1)))
+        return kids
+
+    show = lambda node: node if isinstance(node, str) else f"<{node[0]}>{''.join(map(show, node[1]))}</{node[0]}>"
+    seen = 0
+    for _ in range(400):
+        tree = ("body", [(r.choice(["div", "section"]), grow(0)) for _ in range(r.randint(2, 5))])
+        want = slow_text(tree)
+        assert html.extract(show(tree)) == want, show(tree)
+        seen += len(re.sub(r"\s", "", want)) < len(re.sub(r"\s|<[^>]*>", "", show(tree)))
+    assert seen > 50
+
+
 @pytest.mark.parametrize("source", [None, "", "<", "<<<>>>", "<p", "<!--", "<script>x", "<a href='", "</div></p>", "<div>" * 3000, "<table><tr><td>", "&", "<p>&#x110000;&bogus;", "\x00<p>a"])
 def test_broken_pages(source):
     assert isinstance(html.extract(source), str)
