@@ -76,12 +76,30 @@ SPELLED = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 
+# Ends of domains that are said with a spoken dot; those that are common words (it, is, me, us) are left out.
+TOP_LEVEL = (
+    "com org net edu gov mil int info biz name dev app ai io co uk de fr es pt nl eu ch jp cn ru br ca au nz se dk fi pl cz ie kr mx ar cl ro gr hu tr za il tv cc xyz online site shop tech cloud"
+).replace(" ", "|")
+# Words before "at" in ordinary prose, which are nobody's mailbox.
+NO_MAILBOX = set(
+    "look looked looking looks met meet meets meeting arrive arrived arrives stay stayed staying live lives lived living work works worked working be is was are were been being am not good bad best better "
+    "here there back again up down out home now later early late start started starts begin began begins end ended ends stop stopped located based found find available open opened closed hosted held "
+    "see seen saw watch read visit buy sold sell order ordered online page website store only one all them us me him her it you they we he she that this these those and or but then just right even still "
+    "once twice laugh laughed smile smiled stare stared shout glance point pointed aim aimed throw sat sit sitting stood stand standing eat ate dinner lunch breakfast school class party people someone "
+    "anyone everyone everything something nothing day night noon morning evening time year years hour hours more register registered log sign signed join joined listed posted published shown".split()
+)
+# Words in whose sentence a bare spelled number is a phone's.
+PHONES = (
+    "call|calls|called|calling|phone|phones|telephone|tel|mobile|cell|fax|dial|ring|text|texted|sms|whatsapp|number|reach|contact|hotline|voicemail|"
+    "ruf|rufe|rufen|anruf|anrufen|telefon|handy|nummer|appel|appelez|appeler|téléphone|numéro|portable|llama|llame|llamar|teléfono|número|móvil|celular"
+)
+
 _SAME = {ord(a): b for a, b in zip(CYRILLIC_GREEK + SIGNS + SMALL, AS_LATIN + AS_ASCII + AS_SMALL)}
 _SAME |= {0xFF01 + i: chr(0x21 + i) for i in range(94)}  # full-width forms
 _SAME |= {zero + i: str(i) for zero in (0x660, 0x6F0, 0x966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for i in range(10)}
 _WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 _AT, _DOT = "at|arroba|arobase|klammeraffe|ät", "dot|punkt|point|punto"
-_GAP = r"[\s,;./()-]{0,3}"
+_GAP = r"(?:[\s,;/()-]{0,3}|\.)"  # a full stop and a space end a number
 _NUMBER = rf"(?:(?:double|triple)\s+)?(?:{_WORD})"
 LOOKALIKE = re.compile("[" + re.escape("".join(map(chr, _SAME)) + INVISIBLE) + "]")
 SPOKEN = re.compile(rf"(?<!\w){_NUMBER}(?:{_GAP}(?:{_NUMBER}|[0-9]))+(?!\w)", re.I)
@@ -89,7 +107,8 @@ _PART = rf"(?:{_WORD}|[0-9]{{1,3}})(?:[\s-]{{1,2}}(?:{_WORD})){{0,2}}"
 SPOKEN_IP = re.compile(rf"(?<![\w.]){_PART}(?:\s+(?:{_DOT})\s+{_PART}){{3}}(?!\w)", re.I)
 BRACKETED = re.compile(rf"\s*[\[({{<]\s*(?:({_AT}|@)|({_DOT}|\.))\s*[\])}}>]\s*", re.I)
 ENTITY = re.compile(r"&(?:#0*64|#x0*40|commat);|(&(?:#0*46|#x0*2e|period);)", re.I)
-WORDED = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]+\s+(?:{_DOT})\s+){{0,3}}[A-Za-z0-9._%+-]+(?:\s+(?:{_AT})\s+|\s*@\s*)[A-Za-z0-9-]+(?:(?:\s+(?:{_DOT})\s+|\s*\.\s*)[A-Za-z0-9-]+)*(?:\s+(?:{_DOT})\s+)[A-Za-z]{{2,}}(?!\w)", re.I)
+WORDED = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]+\s+(?:{_DOT})\s+){{0,3}}[A-Za-z0-9._%+-]+(?:\s+(?:{_AT})\s+|\s*@\s*)[A-Za-z0-9-]+(?:(?:\s+(?:{_DOT})\s+|\s*\.\s*)[A-Za-z0-9-]+)*(?:\s+(?:{_DOT})\s+)(?:{TOP_LEVEL})(?!\w)", re.I)
+SAID_AT = re.compile(rf"\s+(?:{_AT})\s+", re.I)
 SPACED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?: @ ?| ?@ )[A-Za-z0-9-]+(?: ?\. ?[A-Za-z0-9-]+)*?\.[A-Za-z]{2,}(?!\w)")
 HINT = re.compile(rf"[_-]dot[_-]|[\[({{<]\s*(?:{_AT}|{_DOT}|[@.])\s*[\])}}>]|&(?:#|commat|period)|\s(?:{_DOT})\s|\s@|@\s")  # of lower-cased text
 JOINED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9.%+]+[_-]at[_-][A-Za-z0-9]+(?:(?:[_-]dot[_-]|\.)[A-Za-z0-9]+)*[_-]dot[_-][A-Za-z]{2,}(?!\w)", re.I)
@@ -100,6 +119,8 @@ DIGIT = re.compile("[0-9]")
 FOREIGN = re.compile("[\u00ad\u00b2\u00b3\u00b7\u00b9\u0131\u0251\u0261\u0370-\U0010ffff]")  # all of LOOKALIKE is here
 LETTERS = re.compile(r"[^\W\d_]+")
 PLUS = re.compile(r"(?<!\w)plus\s+(?=[0-9])", re.I)
+CUE = re.compile(rf"(?<!\w)(?:{PHONES})(?!\w)[^.!?\n]*$|(?<!\w)at\W*$", re.I)
+CUE_REACH = 80  # characters before a number in which a cue counts
 NUMERALS = re.compile(rf"(?:{_WORD}|double|triple)+")
 FOLDS = re.compile("[\u0130\u017f\u212a]")  # match ASCII letters where case is ignored, but str.lower doesn't give these
 
@@ -194,7 +215,8 @@ def undone_spans(text: str) -> list[tuple[str, int, int]]:
 
     The transducers run in turn: look-alikes to ASCII and invisible characters away, spelled digits and letters among
     digits to digits, bracketed, encoded, joined and spoken at/dot signs to @ and a dot. A match of a base pattern in the result counts if a rewriting took
-    part in it; a bare spelled number of 9 to 15 digits counts as a phone.
+    part in it; a bare spelled number of 9 to 15 digits counts as a phone after a word that tells of one (PHONES), unless
+    it only counts up.
     """
     out: list[tuple[str, int, int]] = []
     n = Normalised(text)
@@ -208,7 +230,7 @@ def undone_spans(text: str) -> list[tuple[str, int, int]]:
     n.rewrite(LETTERED, _lettered)
     n.rewrite(GROUPED, lambda m: d if _luhn(d := _digits(m[0])) else None)
     n.rewrite(JOINED, lambda m: re.sub("[_-]at[_-]", "@", re.sub("[_-]dot[_-]", ".", m[0], flags=re.I), flags=re.I))
-    n.rewrite(WORDED, lambda m: _tight(m[0]))
+    n.rewrite(WORDED, _worded)
     n.rewrite(SPACED, lambda m: _tight(m[0]))
     for kind, a, b in base_spans(n.text):
         s, e = n.source(a, b)
@@ -216,11 +238,20 @@ def undone_spans(text: str) -> list[tuple[str, int, int]]:
             out.append((kind, s, e))
     for m in re.finditer(r"(?<![0-9+])[0-9]{9,15}(?![0-9])", n.text):
         s, e = n.source(*m.span())
-        if not re.search("[0-9]", text[s:e]) and LOOKALIKE.search(text[s:e]) is None:
+        if not _counting(m[0]) and not DIGIT.search(text[s:e]) and LOOKALIKE.search(text[s:e]) is None and CUE.search(text[max(s - CUE_REACH, 0) : s]):
             bare.append((s, e))
     return out + [("phone", *x) for x in bare if not any(s < x[1] and x[0] < e for _, s, e in out)]
 
 
+def _counting(digits: str) -> bool:
+    return all((int(b) - int(a)) % 10 == 1 for a, b in zip(digits, digits[1:]))
+
+
+def _worded(m: re.Match) -> str | None:
+    """A spoken address as a written one, unless what stands for a mailbox ends in a word that prose has before "at"."""
+    return None if SAID_AT.search(m[0]) and SAID_AT.split(m[0], maxsplit=1)[0].split()[-1].lower() in NO_MAILBOX else _tight(m[0])
+
+
 def _tight(s: str) -> str:
     s = re.sub(rf"\s+(?:{_AT})\s+|\s*@\s*", "@", s, flags=re.I)
     return re.sub(rf"\s+(?:{_DOT})\s+|\s*\.\s*", ".", s, flags=re.I)
@@ -270,7 +301,7 @@ def op9_pii(spark, sf_dir: str) -> DataFrame:
     found = personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     line = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    return found.select("doc_id", *map(count, KINDS), F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
+    return found.select("doc_id", *map(count, KINDS), F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
