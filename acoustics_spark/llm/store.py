@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..store import shared_folder
 
 
+#: While a table is written its shuffle files go with it, and Python gets this many rows at a time: whole texts may be long.
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 _open: list[list[Tables]] = []
 
 
@@ -18,7 +20,8 @@ class Tables:
     """Tables written to the shared folder by one call of an operator.
 
     Writing cuts the lineage: a lost executor costs only the tasks of the running job, as what was written before
-    is read again from shared storage.
+    is read again from shared storage. So a written table's shuffle files are deleted at once, and local disks hold those
+    of one table at a time.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -29,7 +32,15 @@ class Tables:
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.folder}/{self.n}"
-        df.write.parquet(path)
+        conf = self.spark.conf
+        before = {k: conf.get(k, None) for k in SETTINGS}
+        for k, v in SETTINGS.items():
+            conf.set(k, v)
+        try:
+            df.write.parquet(path)
+        finally:
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stored_at = path
         return out

@@ -38,3 +38,15 @@ def test_tables_are_deleted(spark):
         kept = Tables(spark, "kept").write(spark.range(4))
         1 / 0  # noqa: B018
     assert kept.count() == 4
+
+
+def test_settings_hold_while_a_table_is_written(spark):
+    from acoustics_spark.llm.store import SETTINGS
+
+    at = {k: spark.conf.get(k, None) for k in SETTINGS}
+    sizes = spark.range(5000).coalesce(1).mapInArrow(lambda batches: (b.slice(0, 1) for b in batches), "id long")
+    assert Tables(spark, "sizes").write(sizes).count() == 5
+    assert {k: spark.conf.get(k, None) for k in SETTINGS} == at
+    with pytest.raises(Exception):  # noqa: B017
+        Tables(spark, "bad").write(spark.range(1).select(F.raise_error(F.lit("no"))))
+    assert {k: spark.conf.get(k, None) for k in SETTINGS} == at
