@@ -31,15 +31,16 @@ class Tokens:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special).encode
-        self.special = tuple(special)
+        self.coding, self.special = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special), tuple(special)
         self.run, self.cache = regex.compile(r"[\s\x1c-\x1f\x85]{2}").search, {}
 
     def raw(self, text: str) -> bytes:
-        return np.array(self.encode(text, allowed_special="all"), "<u4").tobytes()
+        return np.array(self.coding.encode_ordinary(text), "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        if self.run(text) or text[-1:].isspace() or any(s in text for s in self.special):
+        if any(s in text for s in self.special):
+            return np.array(self.coding.encode(text, allowed_special="all"), "<u4").tobytes()
+        if self.run(text) or text[-1:].isspace():
             return self.raw(text)
         first, *words = text.split(" ")
         cache, raw, out = self.cache, self.raw, [self.raw(first)]
