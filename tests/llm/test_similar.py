@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -57,6 +58,25 @@ def test_groups_equal_all_pairs(spark):
     assert got == slow_groups(rows) and len(set(got.values())) < len(rows) - 40
 
 
+def test_parities_never_exceed_the_difference(spark):
+    """Neither in full nor folded to fewer places, for sizes up to the bound apart; and they do turn far pairs away."""
+    r, rows = np.random.default_rng(3), []
+    for _ in range(300):
+        n = int(r.integers(1, 900))
+        a = r.integers(0, 2**63, n, dtype=np.uint64)
+        b = np.concatenate([a[: n - int(r.integers(0, n // 9 + 2))], r.integers(0, 2**63, int(r.integers(0, n // 9 + 2)), dtype=np.uint64)])
+        far = np.concatenate([a[n // 2 :], r.integers(0, 2**63, n - n // 2, dtype=np.uint64)])
+        for x in (b, far):
+            same, both = len(np.intersect1d(a, x)), len(np.union1d(a, x))
+            rows.append((len(a), similar.parities(a).tolist(), len(x), similar.parities(x).tolist(), 5 * same >= 4 * both, same < 0.4 * both))
+    df = spark.createDataFrame(rows, "nu int, u_bits array<long>, nv int, v_bits array<long>, similar boolean, far boolean")
+    for at in "uv":
+        df = df.select("*", *[w.alias(f"{at}_w{i}") for i, w in enumerate(similar.few_words(df[f"{at}_bits"]))])
+    got = df.select("similar", "far", similar._near("nu", "u_", "nv", "v_").alias("near")).collect()
+    assert all(x.near for x in got if x.similar) and sum(x.similar for x in got) > 50
+    assert not any(x.near for x in got if x.far) and sum(x.far for x in got) > 250
+
+
 def test_stage_drops_near_copies_beyond_the_fingerprint_radius(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     text = {r.doc_id: r.text for r in docs.collect()}
