@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import decontaminate, html, language, packing, pii, quality, sharding, simhash, substrings, tokens
+from . import decontaminate, html, language, packing, pii, quality, sharding, simhash, spelling, substrings, tokens
 
 QUERIES = {
     "op1_substrings": substrings.op1_substrings,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_pii": pii.op9_pii,
     "op10_sharding": sharding.op10_sharding,
+    "op11_spelling": spelling.op11_spelling,
 }
 ORACLE_SQL = {"op4_decontaminate": decontaminate.OP4_SQL, "op5_quality": quality.oracle_sql()}
