@@ -70,6 +70,46 @@ def sanitize_audio(name: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(safe, F.lit("_")), F.lit("")), F.lit("audio"))
 
 
+def local_path(path: Column) -> Column:
+    """A local path without its scheme; others as they are."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def is_absolute(path: Column) -> Column:
+    return F.rlike(path, F.lit(r"^(/|[A-Za-z][A-Za-z0-9+.-]*://)"))
+
+
+def normal_path(path: Column) -> Column:
+    """A path without empty parts, ``.`` and ``..``; what stands before its first part (``/``, a scheme and host) stays."""
+    head = F.regexp_extract(path, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*/?|/)?", 0)
+    parts = F.split(F.substring(path, F.length(head) + 1, F.length(path)), "/")
+    up = lambda out: F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda out, p: F.when(p.isin("", "."), out).when(p == "..", up(out)).otherwise(F.concat(out, F.array(p))))
+    return F.concat(head, F.array_join(kept, "/"))
+
+
+def path_below(folder: Column, name: Column) -> Column:
+    """folder/name, or name where it is absolute."""
+    return normal_path(F.when(is_absolute(name), name).otherwise(F.concat(folder, F.lit("/"), name)))
+
+
+def path_parts(path: Column) -> Column:
+    """The distinct parts of a path, its file name included."""
+    return F.array_distinct(F.filter(F.split(path, r"[/\\]"), lambda p: ~p.isin("", ".")))
+
+
+def parent(path: Column) -> Column:
+    """What stands before a path's last part; empty if it has one part alone."""
+    return F.regexp_replace(path, r"[/\\]?[^/\\]*$", "")
+
+
+def folder_name(path: Column, root: str) -> Column:
+    """The folder of a file below root; of a file in root itself, and of one outside it, its folder's own name."""
+    top, own = root.rstrip("/") + "/", parent(path)
+    inside = F.startswith(own, F.lit(top))
+    return F.when(inside, F.substring(own, F.lit(len(top) + 1), F.length(own))).otherwise(basename(own))
+
+
 def relative_to(path: Column, root: str) -> Column:
     """The part of a path below root; the base name of a path that isn't below it."""
     top = root.rstrip("/") + "/"

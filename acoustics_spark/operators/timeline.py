@@ -25,12 +25,14 @@ def effective_spacer(override: Column, spacer_duration: Column | None = None, de
 def with_durations(entries: DataFrame, recordings: DataFrame | None = None, overrides: DataFrame | None = None, default: float = DEFAULT_SPACER, spacer_recordings: bool = False) -> DataFrame:
     """entries(metafile, pos, entry_name) with is_audio and duration: a recording's own, else the metafile's spacer.
 
-    recordings(entry_name, duration) and overrides(metafile, spacer) are joined by key; Spark broadcasts what is small.
+    recordings(entry_name, duration), or (path, duration) where entries have their path, and overrides(metafile, spacer) are
+    joined by key; Spark broadcasts what is small.
     With ``spacer_recordings`` a spacer that is a ``.wav`` among the recordings lasts as long as it does.
     """
     out = entries.withColumn("is_audio", is_audio(F.col("entry_name")))
     if recordings is not None:
-        out = out.join(recordings.select("entry_name", F.col("duration").alias("_own")), "entry_name", "left")
+        key = "path" if "path" in entries.columns else "entry_name"
+        out = out.join(recordings.select(key, F.col("duration").alias("_own")), key, "left")
     else:
         out = out.withColumn("_own", F.lit(None).cast("double"))
     if overrides is not None:
@@ -56,17 +58,18 @@ def timeline_summary(segments: DataFrame) -> DataFrame:
     )
 
 
-def map_to_segments(annotations: DataFrame, segments: DataFrame, tolerance: float = TOLERANCE, bucket: float = 64.0) -> DataFrame:
+def map_to_segments(annotations: DataFrame, segments: DataFrame, tolerance: float = TOLERANCE, bucket: float = 64.0, carry: tuple[str, ...] = ()) -> DataFrame:
     """Annotations(metafile, left, right, ..) with the audio segment that each starts in and its times there.
 
     The earliest audio segment with start - tolerance <= left <= end + tolerance takes it; times are clamped to it.
     ``status`` is ``ok``, ``past_end`` (ends beyond the segment) or ``unmatched``; ``reason`` tells where an unmatched
     one starts. Segments are gathered by metafile and time bucket, in each bucket that they touch, and an annotation meets
     the one of its left end: a join that gives every row back once, whatever its other columns, and that spreads a
-    metafile of any length over tasks. An annotation without a metafile or a left end is unmatched.
+    metafile of any length over tasks. An annotation without a metafile or a left end is unmatched. ``carry`` names columns
+    of segments that come along.
     """
     span = F.sequence(F.floor((F.col("start") - tolerance) / bucket), F.floor((F.col("end") + tolerance) / bucket))
-    row = F.struct("pos", "entry_name", "is_audio", "start", "end", "duration")
+    row = F.struct("pos", "entry_name", "is_audio", "start", "end", "duration", *carry)
     held = segments.select(F.col("metafile").alias("_m"), F.explode(span).alias("_bucket"), row.alias("_row"))
     held = held.groupBy("_m", "_bucket").agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
     left = F.col("left")
@@ -79,7 +82,7 @@ def map_to_segments(annotations: DataFrame, segments: DataFrame, tolerance: floa
     status = F.when(~found, "unmatched").when(F.col("right") > F.col("_seg.end") + tolerance, "past_end").otherwise("ok")
     reason = F.when(~found, F.coalesce(F.concat(F.lit("starts in "), F.col("_in")), F.lit("starts outside the timeline")))
     return out.select(
-        *annotations.columns, F.col("_seg.pos").alias("pos"), F.col("_seg.entry_name").alias("entry_name"), rel("left").alias("left_rel"), rel("right").alias("right_rel"), status.alias("status"), reason.alias("reason")
+        *annotations.columns, F.col("_seg.pos").alias("pos"), F.col("_seg.entry_name").alias("entry_name"), *[F.col(f"_seg.{c}").alias(c) for c in carry], rel("left").alias("left_rel"), rel("right").alias("right_rel"), status.alias("status"), reason.alias("reason")
     )
 
 

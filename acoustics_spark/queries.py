@@ -106,10 +106,11 @@ def entry_durations(spark, d) -> DataFrame:
   SELECT a.id, arg_min(struct_pack(pos := pos, s := s, e := e, dur := duration), pos) AS seg FROM annotations a JOIN segments g
   ON a.metafile = g.metafile AND is_audio AND l BETWEEN s - 0.001 AND e + 0.001 GROUP BY a.id)
 SELECT a.id, seg.pos AS pos, CASE WHEN seg IS NOT NULL THEN least(greatest(l - seg.s, 0), seg.dur)::DOUBLE END AS left_rel, CASE WHEN seg IS NOT NULL THEN least(greatest(r - seg.s, 0), seg.dur)::DOUBLE END AS right_rel,
-  CASE WHEN seg IS NULL THEN 'unmatched' WHEN r > seg.e + 0.001 THEN 'past_end' ELSE 'ok' END AS status FROM annotations a LEFT JOIN hits USING (id)""")
+  CASE WHEN seg IS NULL THEN 'unmatched' WHEN r > seg.e + 0.001 THEN 'past_end' ELSE 'ok' END AS status,
+  CASE WHEN seg IS NULL THEN coalesce((SELECT 'starts in ' || arg_min(entry_name, pos) FROM segments g WHERE g.metafile = a.metafile AND l BETWEEN g.s AND g.e), 'starts outside the timeline') END AS reason FROM annotations a LEFT JOIN hits USING (id)""")
 def map_to_segments(spark, d) -> DataFrame:
     segments = timeline.build_timeline(fx.entries(spark, d))
-    return timeline.map_to_segments(fx.annotations(spark, d), segments).select("id", "pos", "left_rel", "right_rel", "status")
+    return timeline.map_to_segments(fx.annotations(spark, d), segments).select("id", "pos", "left_rel", "right_rel", "status", "reason")
 
 
 @query(f"""WITH {fx.ENTRIES}, named AS (SELECT *, CASE WHEN is_audio THEN entry_name ELSE concat(entry_name, CASE WHEN metafile % 2 = 0 THEN '.WAV' ELSE '' END) END AS name FROM entries),
@@ -233,55 +234,83 @@ def allowed_folders(spark, d) -> DataFrame:
     return matching.allowed_folders(part, part.filter("p_size > 49")).select("p_partkey")
 
 
-CATALOG = """catalog AS (SELECT concat('audio/', p_brand, '/', replace(p_name, ' ', '_'), '.wav') AS path FROM part GROUP BY ALL),
-wanted AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN concat('audio/', p_brand) WHEN p_partkey % 3 = 1 THEN concat('old\\', p_brand) ELSE '' END AS hint,
-  concat(replace(p_name, ' ', '_'), CASE WHEN p_partkey % 50 = 0 THEN '.flac' ELSE '.wav' END) AS soundfile FROM part)"""
+CATALOG = r"""catalog AS (
+  SELECT concat('/data/', p_brand, '/', replace(p_type, ' ', '_'), '/', replace(p_name, ' ', '_'), '.wav') AS path FROM part UNION SELECT concat('/data/', p_brand, '/', p_size, '/take.wav') FROM part),
+wanted AS (SELECT *, CASE kind WHEN 2 THEN concat('old/', name) WHEN 3 THEN 'take.wav' WHEN 4 THEN 'take.wav' WHEN 5 THEN concat(p_size, '/take.wav') ELSE name END AS soundfile,
+    CASE kind WHEN 0 THEN concat(brand, '/', type) WHEN 1 THEN brand WHEN 2 THEN brand WHEN 3 THEN CAST(p_size AS VARCHAR) WHEN 4 THEN concat(brand, '/none') ELSE '' END AS folder,
+    CASE kind WHEN 1 THEN concat(type, '/../', type, '/./', name) WHEN 6 THEN concat('/old/', name) WHEN 2 THEN concat(brand, '/gone/', name) WHEN 7 THEN concat('gone/', name) END AS audio_path
+  FROM (SELECT p_partkey AS id, p_partkey % 8 AS kind, p_size, p_brand AS brand, replace(p_type, ' ', '_') AS type,
+        concat(replace(p_name, ' ', '_'), CASE WHEN p_partkey % 25 = 0 THEN '.flac' ELSE '.wav' END) AS name FROM part))"""
 
 
 def _catalog(spark, d) -> DataFrame:
-    part = fx.read(spark, d, "part")
-    return part.select(F.concat(F.lit("audio/"), "p_brand", F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".wav")).alias("path")).distinct()
+    """Files below brands and types, and one name that every brand and size has."""
+    part, spaced = fx.read(spark, d, "part"), lambda c: F.replace(c, F.lit(" "), F.lit("_"))
+    own = part.select(F.concat(F.lit("/data/"), "p_brand", F.lit("/"), spaced("p_type"), F.lit("/"), spaced("p_name"), F.lit(".wav")).alias("path"))
+    return own.union(part.select(F.concat(F.lit("/data/"), "p_brand", F.lit("/"), "p_size", F.lit("/take.wav")))).distinct()
 
 
 def _wanted(spark, d) -> DataFrame:
-    key, end = F.col("p_partkey"), F.when(F.col("p_partkey") % 50 == 0, ".flac").otherwise(".wav")
-    hint = F.when(key % 3 == 0, F.concat(F.lit("audio/"), "p_brand")).when(key % 3 == 1, F.concat(F.lit("old\\"), "p_brand")).otherwise("")
-    return fx.read(spark, d, "part").select(key.alias("id"), hint.alias("hint"), F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), end).alias("soundfile"))
-
-
-@query(rf"""WITH {CATALOG}, exact AS (SELECT id, path FROM wanted JOIN catalog ON path = concat(hint, '/', soundfile)),
-near AS (SELECT id, path, CASE WHEN list_has_all(string_split(path, '/'), list_filter(string_split_regex(hint, '[/\\]'), lambda x: x <> '')) THEN 0 ELSE 2 END AS rank
-  FROM wanted JOIN catalog ON regexp_extract(path, '[^/]*$') = soundfile WHERE id NOT IN (SELECT id FROM exact)),
-best AS (SELECT id, arg_min(path, concat(rank, path)) AS path FROM near GROUP BY id)
-SELECT id, coalesce(e.path, b.path) AS path FROM wanted LEFT JOIN exact e USING (id) LEFT JOIN best b USING (id)""")
+    """Annotations whose recordings are in place, elsewhere below a hinted folder, of a hot name, or nowhere."""
+    spaced, kind = lambda c: F.replace(c, F.lit(" "), F.lit("_")), F.col("p_partkey") % 8
+    brand, kinds, size = F.col("p_brand"), spaced("p_type"), F.col("p_size").cast("string")
+    name = F.concat(spaced("p_name"), F.when(F.col("p_partkey") % 25 == 0, ".flac").otherwise(".wav"))
+    sound = F.when(kind == 2, F.concat(F.lit("old/"), name)).when(kind.isin(3, 4), "take.wav").when(kind == 5, F.concat(size, F.lit("/take.wav"))).otherwise(name)
+    folder = F.when(kind == 0, F.concat_ws("/", brand, kinds)).when(kind.isin(1, 2), brand).when(kind == 3, size).when(kind == 4, F.concat(brand, F.lit("/none"))).otherwise("")
+    audio = F.when(kind == 1, F.concat(kinds, F.lit("/../"), kinds, F.lit("/./"), name)).when(kind == 6, F.concat(F.lit("/old/"), name))
+    audio = audio.when(kind == 2, F.concat(brand, F.lit("/gone/"), name)).when(kind == 7, F.concat(F.lit("gone/"), name))
+    return fx.read(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size", folder.alias("folder"), audio.alias("audio_path"), sound.alias("soundfile"))
+
+
+RESOLVED = rf"""{CATALOG},
+exact AS (SELECT id, path FROM wanted JOIN catalog ON path = CASE kind WHEN 0 THEN concat('/data/', folder, '/', soundfile) WHEN 1 THEN concat('/data/', folder, '/', type, '/', name) ELSE concat('/data/', soundfile) END),
+asked AS (SELECT *, regexp_extract(coalesce(audio_path, soundfile), '[^/]*$') AS base,
+    list_filter(string_split(folder, '/') || CASE WHEN audio_path NOT LIKE '/%' THEN string_split(regexp_replace(audio_path, '/[^/]*$', ''), '/') ELSE [] END, lambda x: x <> '') AS parts FROM wanted WHERE id NOT IN (SELECT id FROM exact)),
+met AS (SELECT id, path, len(parts) > 0 AND list_has_all(string_split(path, '/'), parts) AS hinted, ends_with(path, soundfile) AS fits FROM asked JOIN catalog ON regexp_extract(path, '[^/]*$') = base),
+left_ AS (SELECT * FROM met QUALIFY hinted OR NOT bool_or(hinted) OVER (PARTITION BY id)),
+near AS (SELECT id, CASE WHEN count(*) > 1 AND count(*) FILTER (fits) = 1 THEN min(path) FILTER (fits) ELSE min(path) END AS path, count(*) > 1 AND count(*) FILTER (fits) <> 1 AS ambiguous FROM left_ GROUP BY id)"""
+
+
+@query(f"WITH {RESOLVED} SELECT id, coalesce(e.path, n.path) AS path, CASE WHEN e.path IS NOT NULL THEN false ELSE ambiguous END AS ambiguous FROM wanted LEFT JOIN exact e USING (id) LEFT JOIN near n USING (id)")
 def resolve_audio(spark, d) -> DataFrame:
-    return matching.resolve_audio(_wanted(spark, d), _catalog(spark, d)).select("id", "path")
+    return matching.resolve_audio(_wanted(spark, d), _catalog(spark, d), "/data").select("id", "path", "ambiguous")
 
 
 @query(f"""WITH {CATALOG}, base AS (SELECT regexp_extract(path, '[^/]*$') AS b, count(*) AS n, min(path) AS p FROM catalog GROUP BY b),
-e AS (SELECT id, CASE WHEN hint LIKE 'audio%' THEN concat(hint, '/', soundfile) ELSE soundfile END AS name, soundfile FROM wanted)
-SELECT id AS entry_id, CASE WHEN c.path IS NOT NULL THEN c.path WHEN n = 1 THEN p END AS path,
-  CASE WHEN c.path IS NOT NULL THEN 'exact' WHEN n = 1 THEN 'found' WHEN n > 1 THEN 'ambiguous' ELSE 'missing' END AS status
-FROM e LEFT JOIN catalog c ON c.path = name LEFT JOIN base ON b = soundfile""")
+e AS (SELECT id, kind, concat('/data/', brand, '/', type) AS place, soundfile, name FROM wanted),
+x AS (SELECT id, path FROM e JOIN catalog ON path = concat(place, '/', name) WHERE kind IN (0, 1, 2, 6) UNION SELECT id, path FROM wanted JOIN catalog ON kind = 5 AND path = concat('/data/', brand, '/', soundfile))
+SELECT id AS entry_id, coalesce(x.path, CASE WHEN n = 1 THEN p END) AS path, CASE WHEN x.path IS NOT NULL THEN 'exact' WHEN n = 1 THEN 'found' WHEN n > 1 THEN 'ambiguous' ELSE 'missing' END AS status
+FROM e LEFT JOIN x USING (id) LEFT JOIN base ON b = regexp_extract(CASE WHEN kind IN (3, 4, 5) THEN soundfile ELSE name END, '[^/]*$')""")
 def resolve_entries(spark, d) -> DataFrame:
-    name = F.when(F.startswith("hint", F.lit("audio")), F.concat("hint", F.lit("/"), "soundfile")).otherwise(F.col("soundfile"))
-    rows = _wanted(spark, d).select(F.col("id").alias("entry_id"), name.alias("entry_name"))
-    return matching.resolve_entries(rows, _catalog(spark, d), "elsewhere").select("entry_id", "path", "status")
-
-
-@query(f"""WITH {CATALOG} SELECT id, CASE WHEN hint = '' THEN soundfile ELSE concat(hint, '/', soundfile) END AS expected FROM wanted
-WHERE soundfile NOT IN (SELECT regexp_extract(path, '[^/]*$') FROM catalog)""")
+    """Entries of timelines whose audio folders differ: absolute names, both slashes, parts that go up, names elsewhere."""
+    part, spaced, kind = fx.read(spark, d, "part"), lambda c: F.replace(c, F.lit(" "), F.lit("_")), F.col("id") % 8
+    own = part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("/data/"), "p_brand").alias("brand"), spaced("p_type").alias("type"))
+    rows = _wanted(spark, d).join(own, "id").withColumn("name", names.basename(F.coalesce("audio_path", "soundfile")))
+    place = F.concat_ws("/", "brand", "type")
+    name = F.when(kind == 0, F.col("name")).when(kind == 1, F.concat(F.lit("..\\"), "type", F.lit("\\"), "name")).when(kind == 2, F.concat_ws("/", place, F.lit("x/.."), "name"))
+    name = name.when(kind == 5, F.concat(F.lit("../"), "soundfile")).when(kind == 6, F.concat(F.lit("C:\\old\\"), "name")).when(kind == 7, F.col("name")).otherwise(F.col("soundfile"))
+    rows = rows.select(F.col("id").alias("entry_id"), name.alias("entry_name"), F.when(kind == 7, "/elsewhere").otherwise(place).alias("place"))
+    return matching.resolve_entries(rows, _catalog(spark, d), F.col("place")).select("entry_id", "path", "status")
+
+
+@query(f"WITH {RESOLVED} SELECT id, CASE WHEN folder = '' THEN soundfile ELSE concat(folder, '/', soundfile) END AS expected FROM wanted WHERE id NOT IN (SELECT id FROM exact UNION SELECT id FROM near)")
 def missing_audio_report(spark, d) -> DataFrame:
-    return matching.missing_audio_report(matching.resolve_audio(_wanted(spark, d), _catalog(spark, d))).select("id", "expected")
+    return matching.missing_audio_report(matching.resolve_audio(_wanted(spark, d), _catalog(spark, d), "/data")).select("id", "expected")
 
 
-@query("""WITH m AS (SELECT DISTINCT p_brand AS top, p_type AS folder, p_name AS stem FROM part), k AS (SELECT DISTINCT p_brand AS folder, p_name AS meta FROM part WHERE p_size > 25)
-SELECT concat_ws('|', top, m.folder, stem) AS metafile, k.folder, meta FROM m JOIN k ON k.folder = top AND meta = stem""")
+@query("""WITH p AS (SELECT p_brand AS top, concat(p_name, '-', p_partkey) AS stem, concat(p_name, '-', p_partkey, CASE WHEN p_size % 2 = 0 THEN '.TXT' ELSE '.txt' END) AS name, p_partkey, p_size, p_type FROM part),
+k AS (SELECT top AS folder, unnest(CASE p_partkey % 5 WHEN 0 THEN [stem] WHEN 1 THEN [name] WHEN 2 THEN [concat(stem, '.txt')] WHEN 3 THEN [stem, name] ELSE [] END) AS meta, p_type AS log FROM p)
+SELECT stem AS metafile, k.folder, meta, log FROM p JOIN k ON k.folder = top AND meta IN (stem, name, concat(stem, '.txt'))
+QUALIFY row_number() OVER (PARTITION BY stem ORDER BY CASE WHEN meta = stem THEN 0 WHEN meta = name THEN 1 ELSE 2 END) = 1""")
 def match_signature_key(spark, d) -> DataFrame:
-    part = fx.read(spark, d, "part")
-    rows = part.select(F.col("p_brand").alias("top"), F.col("p_type").alias("folder"), F.col("p_name").alias("stem")).distinct()
-    rows = rows.withColumns({"metafile": F.concat_ws("|", "top", "folder", "stem"), "name": F.concat("stem", F.lit(".txt"))})
-    return matching.match_signature_key(rows, part.filter("p_size > 25").select(F.col("p_brand").alias("folder"), F.col("p_name").alias("meta")))
+    """Metafiles of which signatures know the stem, the whole name, the stem with .txt, two of these, or nothing."""
+    key, stem = F.col("p_partkey"), F.concat_ws("-", "p_name", "p_partkey")
+    rows = fx.read(spark, d, "part").select(
+        F.col("p_brand").alias("top"), stem.alias("stem"), stem.alias("metafile"), F.concat(stem, F.when(F.col("p_size") % 2 == 0, ".TXT").otherwise(".txt")).alias("name"), key.alias("seq"), F.col("p_type").alias("log")
+    )
+    own = F.when(key % 5 == 0, F.array("stem")).when(key % 5 == 1, F.array("name")).when(key % 5 == 2, F.array(F.concat("stem", F.lit(".txt")))).when(key % 5 == 3, F.array("stem", "name"))
+    signatures = rows.withColumn("p_partkey", F.col("seq")).select(F.col("top").alias("folder"), "log", "seq", F.explode(own).alias("meta"))
+    return matching.match_signature_key(rows.select("metafile", "top", "name", "stem"), signatures)
 
 
 @query("""WITH m AS (SELECT DISTINCT p_brand AS folder, p_name AS log_ref FROM part), c AS (SELECT DISTINCT concat(p_brand, '/', p_name, CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '.log' ELSE '.txt' END) AS path FROM part)
@@ -320,12 +349,14 @@ def unused_overrides(spark, d) -> DataFrame:
 
 
 @query(r"""SELECT p_partkey, concat_ws('__', replace(p_brand, '#', '_'), replace(p_name, ' ', '_')) AS output_stem, p_brand AS top_folder,
-  concat(replace(p_name, ' ', '_'), '_ann_', printf('%05d', p_partkey), '__shift2') AS sample, concat(p_name, '.wav') AS base FROM part""")
+  concat(replace(p_name, ' ', '_'), '_ann_', printf('%05d', p_partkey), '__shift2') AS sample, concat(p_name, '.wav') AS base,
+  CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 1 THEN concat(p_brand, '/', p_type) ELSE 'in' END AS folder_name FROM part""")
 def names_and_paths(spark, d) -> DataFrame:
     path = F.concat(F.lit("/data/in/"), "p_brand", F.lit("/"), "p_name", F.lit(".wav"))
     rows = fx.read(spark, d, "part").withColumn("path", path)
     sample = names.sample_name(names.sanitize(names.stem(F.col("path"))), F.col("p_partkey"), F.lit("shift"), F.lit(2))
-    return rows.select("p_partkey", names.output_stem(F.col("path"), "/data/in").alias("output_stem"), names.top_level_folder(F.col("path"), "/data/in").alias("top_folder"), sample.alias("sample"), names.basename(F.col("path")).alias("base"))
+    deep = F.when(F.col("p_partkey") % 3 == 0, F.col("path")).when(F.col("p_partkey") % 3 == 1, F.concat_ws("/", F.lit("/data/in"), "p_brand", "p_type", F.lit("x.wav"))).otherwise("/data/in/x.wav")
+    return rows.select("p_partkey", names.output_stem(F.col("path"), "/data/in").alias("output_stem"), names.top_level_folder(F.col("path"), "/data/in").alias("top_folder"), sample.alias("sample"), names.basename(F.col("path")).alias("base"), names.folder_name(deep, "/data/in/").alias("folder_name"))
 
 
 # Windows and boxes

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions.names import basename
+from ..functions.names import basename, local_path
 from ..functions.signal import extract_slice
 from ..schemas import ANNOTATIONS, DETECTIONS, LOG, REQUIRED_ANNOTATIONS, SIGNATURES, require_columns
 
@@ -19,17 +19,27 @@ HEADER_BYTES = 1 << 16
 AT_ONCE, GAP = 1 << 24, 1 << 16  # bytes read at once, and bytes between windows that are read rather than skipped
 
 
+def list_files(spark: SparkSession, paths, glob: str = "*", recursive: bool = True) -> DataFrame:
+    """(path, length) of files; local paths have no scheme. Only the listing is read."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower())
+    return reader.load(paths).select(local_path(F.col("path")).alias("path"), "length")
+
+
+def read_from() -> F.Column:
+    """The file that a row was read from, as :func:`list_files` has it: Spark's own column percent-encodes it."""
+    return local_path(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
+
+
 def list_recordings(spark: SparkSession, paths, recursive: bool = True, exclude: str | None = None) -> DataFrame:
     """(path, length) of ``*.wav`` files; names that contain ``exclude`` in any case are left out. Only the listing is read."""
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.[wW][aA][vV]").option("recursiveFileLookup", str(recursive).lower())
-    out = reader.load(paths).select("path", "length")
+    out = list_files(spark, paths, "*.[wW][aA][vV]", recursive)
     return out.filter(~F.contains(F.lower(basename(F.col("path"))), F.lit(exclude.lower()))) if exclude else out
 
 
 def read_metafiles(spark: SparkSession, root: str) -> DataFrame:
     """(metafile, text) of all ``*metafile.txt`` below root."""
     reader = spark.read.option("pathGlobFilter", "*metafile.txt").option("recursiveFileLookup", "true")
-    return reader.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("metafile"), F.col("value").alias("text"))
+    return reader.text(root, wholetext=True).select(read_from().alias("metafile"), F.col("value").alias("text"))
 
 
 def parse_metafiles(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -53,37 +63,53 @@ def typed(rows: DataFrame, doubles, ints) -> tuple[DataFrame, DataFrame]:
     return rows.filter(~bad).withColumns(casts), rows.filter(bad)
 
 
-def read_annotation_log(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
-    """Tab-separated logs -> (good, rejects): rows tagged ``an:`` or ``ft:`` with typed channel, times and frequencies."""
-    rows = spark.read.csv(paths, sep="\t", header=True, schema=LOG, mode="PERMISSIVE", enforceSchema=True)
-    rows = rows.withColumn("log_path", F.col("_metadata.file_path")).filter(F.lower(F.trim("tag")).isin("an:", "ft:"))
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """rows that :func:`placed` has read, with each one's number in its file from 1. Rows are numbered within the file's
+    blocks, and blocks by the counts of those before, so no task has a whole file."""
+    counts = rows.groupBy("_file", "_block").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("_file", "_block", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_row"))
+    rows = rows.withColumn("_row", F.monotonically_increasing_id()).join(counts, ["_file", "_block"])
+    return rows.withColumn(name, F.col("_before") + own).drop("_before", "_row", "_file", "_block")
+
+
+def placed(rows: DataFrame, *columns) -> DataFrame:
+    """Columns of rows just read, with the file and block that each is from."""
+    return rows.select(*columns, read_from().alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+
+
+def read_annotation_log(spark: SparkSession, paths, recursive: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Tab-separated logs -> (good, rejects): rows tagged ``an:`` or ``ft:`` with typed channel, times and frequencies, the
+    log's path, and ``line_no``, a row's number in it from 1, others counted. With ``recursive`` every file below paths is
+    taken for a log but recordings and metafiles, which aren't read."""
+    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
+    rows = reader.csv(paths, sep="\t", header=True, schema=LOG, mode="PERMISSIVE", enforceSchema=True)
+    if recursive:
+        path = F.lower("_metadata.file_path")
+        rows = rows.filter(~F.endswith(path, F.lit(".wav")) & ~F.endswith(path, F.lit("metafile.txt")))
+    known = [x.split()[0] for x in LOG.split(", ")]
+    rows = numbered(placed(rows, *known, read_from().alias("log_path")), "line_no").filter(F.lower(F.trim("tag")).isin("an:", "ft:"))
     good, bad = typed(rows, ("left", "right", "top", "bottom"), ("channel",))
     short = F.col("comment").isNull()
     return good.filter(~short), bad.unionByName(good.filter(short).select([F.col(f.name).cast(f.dataType).alias(f.name) for f in bad.schema]))
 
 
 def read_signatures(spark: SparkSession, path: str) -> DataFrame:
-    """(folder, meta, log, name) trimmed, nulls as empty; all four columns are needed."""
+    """(folder, meta, log, name, seq) trimmed, nulls as empty, seq a row's number in its file; all four columns are needed."""
     rows = spark.read.csv(path, header=True)
     require_columns(rows, SIGNATURES)
-    return rows.select(*[F.coalesce(F.trim(c), F.lit("")).alias(n) for c, n in zip(SIGNATURES, ("folder", "meta", "log", "name"))])
+    return numbered(placed(rows, *[F.coalesce(F.trim(c), F.lit("")).alias(n) for c, n in zip(SIGNATURES, ("folder", "meta", "log", "name"))]), "seq")
 
 
 def read_annotations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Processed annotations (13 columns, 8 of them needed) -> (good, rejects), both with ``row_index``, a row's number in
-    its file from 1. Rows are numbered within the file's blocks, and blocks by the counts of those before, so no task has
-    a whole file."""
+    its file from 1."""
     head = spark.read.csv(path, header=True)
     require_columns(head, REQUIRED_ANNOTATIONS)
     known = [x.split()[0] for x in ANNOTATIONS.split(", ")]
-    rows = head.select([F.trim(c).alias(c) if c in head.columns else F.lit(None).cast("string").alias(c) for c in known] + [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")])
-    counts = rows.groupBy("_file", "_block").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select("_file", "_block", F.coalesce(before, F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_row"))
-    rows = rows.withColumn("_row", F.monotonically_increasing_id()).join(counts, ["_file", "_block"])
-    rows = rows.withColumn("row_index", F.col("_before") + own).select(*known, "row_index")
-    return typed(rows, ("lefttimesec", "righttimesec", "topfreqhz", "bottomfreqhz"), ("channel",))
+    rows = placed(head, *[F.trim(c).alias(c) if c in head.columns else F.lit(None).cast("string").alias(c) for c in known])
+    return typed(numbered(rows, "row_index"), ("lefttimesec", "righttimesec", "topfreqhz", "bottomfreqhz"), ("channel",))
 
 
 def read_detections(spark: SparkSession, path: str) -> DataFrame:

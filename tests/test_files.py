@@ -128,7 +128,7 @@ def test_metafiles_logs_and_tables(spark, tmp_path):
     good, bad = files.read_annotation_log(spark, str(tmp_path / "l.log"))
     assert [(r.channel, r.left, r.comment) for r in good.collect()] == [(1, 0.5, "hi")] and bad.count() == 2
     (tmp_path / "s.csv").write_text("FolderName,MetafileName,AnnotationFileName,AnnotationName\n a ,m,,n\n")
-    assert [tuple(r) for r in files.read_signatures(spark, str(tmp_path / "s.csv")).collect()] == [("a", "m", "", "n")]
+    assert [tuple(r) for r in files.read_signatures(spark, str(tmp_path / "s.csv")).collect()] == [("a", "m", "", "n", 1)]
     (tmp_path / "t.csv").write_text("a,b\n1,2\n")
     with pytest.raises(ValueError):
         files.read_signatures(spark, str(tmp_path / "t.csv"))
@@ -189,18 +189,68 @@ def test_dataset_job(spark, sf):
     samples.unpersist()
 
 
-def test_remap_job(spark, tmp_path):
-    (tmp_path / "F").mkdir()
-    (tmp_path / "F" / "m metafile.txt").write_text("annotationfile=l\na.wav\nspacer\nb.wav\n")
-    (path,) = [r.metafile for r in files.read_metafiles(spark, str(tmp_path)).collect()]
-    root = path[: -len("/F/m%20metafile.txt")] if "%20" in path else path[: -len("/F/m metafile.txt")]
-    logs = spark.createDataFrame([(path, i, 0, left, left + 1, 9000.0, 5000.0, c, None) for i, (left, c) in enumerate([(1.0, "red bird"), (16.5, "Blue bird"), (11.0, "red"), (2.0, "nothing")])], "metafile string, line_no long, channel int, left double, right double, top double, bottom double, comment string, notes string")
-    recs = spark.createDataFrame([("a.wav", "/x/a.wav", 10.0), ("b.wav", "/x/b.wav", 10.0)], "entry_name string, path string, duration double")
-    overrides = spark.createDataFrame([("f", 5.0)], "name string, seconds double")
-    rows, rejects = remap.remap(spark, root, logs, recs, overrides=overrides)
-    got = sorted((r.soundfile, r.lefttimesec, r.global_index) for r in rows.collect())
-    assert got == [("a.wav", 1.0, 1), ("a.wav", 2.0, 3), ("b.wav", 1.5, 2)]
-    assert [r.reason for r in rejects.collect()] == ["starts in spacer"]
+@pytest.fixture
+def deployment(tmp_path):
+    """Two metafiles with spaces in their names, and one recording's name in both folders."""
+    for folder, seconds in (("North site/day 1", 10), ("South+50%", 20)):
+        at = tmp_path / folder
+        at.mkdir(parents=True)
+        (at / "a.wav").write_bytes(files.wav_bytes(np.zeros(seconds * 800), 800))
+        (at / "b.wav").write_bytes(files.wav_bytes(np.zeros(10 * 800), 800))
+        (at / "my spacer.wav").write_bytes(files.wav_bytes(np.zeros(3 * 800), 800))
+        (at / "day metafile.txt").write_text("annotationfile=the log\na.wav\nmy spacer.wav\n..\\" + at.name + "\\b.wav\n")
+        rows = [(1.0, "red bird"), (seconds + 6.5, "Blue bird"), (seconds + 1.0, "red"), (2.0, "nothing")]
+        lines = [f"an:\ts\t0\t{left}\t{left + 1}\t9000\t5000\t{c}\t" for left, c in rows]
+        (at / "the log").write_text("tag\ts\tc\tl\tr\tt\tb\tcomment\tnotes\n" + "\n".join([*lines, "an:\ts\t0\tx\t2\t9000\t5000\tbad\t"]) + "\n")
+    (tmp_path / "South+50%" / "lost metafile.txt").write_text("annotationfile=the log\nnowhere.wav\n")
+    (tmp_path / "South+50%" / "unlogged metafile.txt").write_text("annotationfile=none\na.wav\n")
+    return tmp_path
+
+
+def test_remap_from_files(spark, deployment):
+    root = str(deployment)
+    overrides = spark.createDataFrame([("day", 5.0)], "name string, seconds double")
+    rows, rejects = remap.remap(spark, root, overrides=overrides)
+    got = sorted((r.FolderName, r.MetafileName, r.AnnotationFileName, r.AudioPath, r.soundfile, r.lefttimesec, r.global_index, r.AnnotationName) for r in rows.collect())
+    want = []
+    for k, folder in enumerate(("North site/day 1", "South+50%")):
+        for i, (sound, left, comment) in enumerate([("a.wav", 1.0, "red bird"), ("b.wav", 1.5, "Blue bird"), ("a.wav", 2.0, "nothing")]):
+            want.append((folder, "day metafile", "the log", f"{root}/{folder}/{sound}", sound if i != 1 else f"..\\{folder.split('/')[-1]}\\b.wav", left, 3 * k + i + 1, comment))
+    assert got == sorted(want)
+    assert sorted((name(r.metafile), r.reason) for r in rejects.collect()) == sorted(
+        2 * [("day metafile.txt", "starts in my spacer.wav"), ("day metafile.txt", "bad value in row 5")]
+        + [("lost metafile.txt", "bad value in row 5"), ("lost metafile.txt", "recording nowhere.wav: missing"), ("unlogged metafile.txt", "annotation log not found")]
+    )
+    rows, _ = remap.remap(spark, root, spacer_recordings=True)
+    assert [(r.AudioPath[-5:], r.lefttimesec) for r in rows.filter("FolderName = 'South+50%' and comment = 'Blue bird'").collect()] == [("b.wav", 3.5)]
+
+
+def test_remap_by_signatures(spark, deployment):
+    root, columns = str(deployment), "folder string, meta string, log string, name string, seq long"
+    signatures = spark.createDataFrame([("South+50%", "day metafile.txt", "the log", "sig_red", 1), ("South+50%", "day metafile.txt", "the log", "sig-blue_bird", 2), ("Elsewhere", "x", "y", "z", 3)], columns)
+    rows, rejects = remap.remap(spark, root, signatures)
+    got = sorted((r.FolderName, r.comment, r.AnnotationName, r.lefttimesec) for r in rows.collect())
+    assert got == [("South+50%", "red bird", "sig_red", 1.0)]  # of the rest one has no name, the others start in or before the spacer of 55.125 s
+    assert {r.reason for r in rejects.collect()} == {"starts in my spacer.wav", "bad value in row 5"}
+    rows, rejects = remap.remap(spark, root, signatures.withColumn("log", F.lit("gone")))
+    assert rows.count() == 0 and [r.reason for r in rejects.collect()] == ["annotation log not found"]
+    remap.remap_to_csv(spark, root, f"{root}/out.csv", signatures=signatures)
+    good, bad = files.read_annotations(spark, f"{root}/out.csv")
+    assert [(r.FolderName, r.soundfile, r.lefttimesec) for r in good.collect()] == [("South+50%", "a.wav", 1.0)] and bad.count() == 0
+
+
+def test_logs_have_line_numbers_and_signatures_an_order(spark, tmp_path):
+    (tmp_path / "a b.log").write_text("h\t\t\t\t\t\t\t\t\n" + "".join(f"{'an:' if i % 2 else 'zz:'}\ts\t1\t{i}\t{i + 1}\t9\t5\tc\t\n" for i in range(1, 300)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        good, _ = files.read_annotation_log(spark, str(tmp_path))
+        assert {r.line_no: r.left for r in good.collect()} == {i: float(i) for i in range(1, 300, 2)}
+        assert {r.log_path for r in good.collect()} == {f"{tmp_path}/a b.log"}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    (tmp_path / "s.csv").write_text("FolderName,MetafileName,AnnotationFileName,AnnotationName\n" + "".join(f"f,m,l,n{i}\n" for i in range(1, 50)))
+    assert [r.name for r in files.read_signatures(spark, str(tmp_path / "s.csv")).orderBy("seq").collect()] == [f"n{i}" for i in range(1, 50)]
 
 
 STREAM = "audio_path string, start_ts timestamp, duration double, low_freq double, high_freq double, confidence double"
