@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -25,38 +27,44 @@ def band_filter(freqs: Column, power: Column, low: float = signal.BAND[0], high:
     return F.filter(F.arrays_zip(freqs.alias("freq"), power.alias("power")), lambda x: x["freq"].between(low, high))
 
 
-def with_features(slices: DataFrame, samplerate: float, samples: str = "samples", keep_spectrum: bool = False) -> DataFrame:
-    """slices(.., samples) with power_floor, dom_freq, left_freq, right_freq and dom_power (and freqs_band, power_band).
+FEATURES = ("power_floor", "dom_freq", "left_freq", "right_freq", "dom_power")
+
+
+def features(samplerate: float, samples: str = "samples", keep_spectrum: bool = False, drop: tuple[str, ...] = ()) -> tuple[Callable[[Iterator], Iterator], str]:
+    """(a function of Arrow batches, the columns that it adds): the features of each row's samples in place of these.
 
-    Arrow batches of slices become one matrix for each slice length; empty slices have null features. The samples are
-    dropped, so nothing behind this moves them.
+    A batch of slices becomes one matrix for each slice length; empty slices have null features.
     """
-    names = ["power_floor", "dom_freq", "left_freq", "right_freq", "dom_power"]
-    others = [c for c in slices.columns if c != samples]
-    bands = "freqs_band array<double>, power_band array<double>"
 
     def run(batches):
         for b in batches:
-            column = b.column(b.schema.get_field_index(samples))
-            rows = [np.asarray(x, float) if x is not None else np.zeros(0) for x in column.to_pylist()]
+            rows = [np.asarray(x, float) if x is not None else np.zeros(0) for x in b.column(b.schema.get_field_index(samples)).to_pylist()]
             lengths = np.array([len(r) for r in rows], int)
-            out = {n: np.full(len(rows), np.nan) for n in names}
+            out = {n: np.full(len(rows), np.nan) for n in FEATURES}
             freqs, power = [None] * len(rows), [None] * len(rows)
             for n in np.unique(lengths[lengths > 0]):
                 at = np.flatnonzero(lengths == n)
                 f = signal.slice_features(np.stack([rows[i] for i in at]), samplerate)
-                for name in names:
+                for name in FEATURES:
                     out[name][at] = f[name]
                 if keep_spectrum:
                     for k, i in enumerate(at):
                         freqs[i], power[i] = f["freqs"], f["power"][k]
-            cols = [b.column(b.schema.get_field_index(c)) for c in others] + [pa.array(out[n], mask=np.isnan(out[n])) for n in names]
+            others = [c for c in b.schema.names if c != samples and c not in drop]
+            cols = [b.column(b.schema.get_field_index(c)) for c in others] + [pa.array(out[n], mask=np.isnan(out[n])) for n in FEATURES]
             if keep_spectrum:
                 cols += [pa.array(x, pa.list_(pa.float64())) for x in (freqs, power)]
-            yield pa.record_batch(cols, names=others + names + ["freqs_band", "power_band"] * keep_spectrum)
+            yield pa.record_batch(cols, names=[*others, *FEATURES, *["freqs_band", "power_band"] * keep_spectrum])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in slices.select(*others).schema] + [f"{n} double" for n in names] + [bands] * keep_spectrum)
-    return slices.select(*others, samples).mapInArrow(run, schema)
+    return run, ", ".join([f"{n} double" for n in FEATURES] + ["freqs_band array<double>, power_band array<double>"] * keep_spectrum)
+
+
+def with_features(slices: DataFrame, samplerate: float, samples: str = "samples", keep_spectrum: bool = False) -> DataFrame:
+    """slices(.., samples) with power_floor, dom_freq, left_freq, right_freq and dom_power (and freqs_band, power_band); see
+    :func:`features`. The samples are dropped, so nothing behind this moves them."""
+    run, more = features(samplerate, samples, keep_spectrum)
+    others = slices.drop(samples)
+    return slices.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others.schema] + [more]))
 
 
 def label_slices(slices: DataFrame) -> DataFrame:

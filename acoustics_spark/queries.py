@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from . import fixtures as fx
-from .functions import boxes, names
+from .functions import boxes, names, signal
 from .operators import intervals, matching, slices, splits, timeline, variants, windows
 from .schemas import DETECTION_COLUMNS
 from .sources import files, sinks
@@ -528,6 +528,47 @@ def strip_plans(spark, d) -> DataFrame:
     return _rectangles(variants.plan_strips(fx.annotations(spark, d).select("id")))
 
 
+# Filters
+
+
+def _filter_sql(low: float, high: float, samples: int = 64) -> str:
+    """Forward and backward runs of the sections of a filter over embeddings, sample by sample."""
+    sections = signal.butterworth(4, low / (fx.SAMPLERATE / 2), high / (fx.SAMPLERATE / 2)).tolist()
+    edge, n = 3 * (2 * len(sections) + 1), range(1, len(sections) + 1)
+    states, starts, level = [f"s{i}{k}" for i in n for k in (1, 2)], [], 1.0
+    for b0, b1, b2, _, a1, a2 in sections:
+        gain = (b0 + b1 + b2) / (1 + a1 + a2)
+        starts += [f"{level * (gain - b0)!r} * e[1]", f"{level * (b2 - a2 * gain)!r} * e[1]"]
+        level *= gain
+    step = "SELECT * FROM {name} WHERE n < len(e)"
+    for i, (b0, *_) in zip(n, sections):
+        step = f"SELECT *, {b0!r} * {'e[n + 1]' if i == 1 else f't{i - 1}'} + s{i}1 AS t{i} FROM ({step})"
+    moved = []
+    for i, (_, b1, b2, _, a1, a2) in zip(n, sections):
+        x = "e[n + 1]" if i == 1 else f"t{i - 1}"
+        moved += [f"{b1!r} * {x} - {a1!r} * t{i} + s{i}2", f"{b2!r} * {x} - {a2!r} * t{i}"]
+
+    def run(name: str, source: str) -> str:
+        return f"""{name} (vec_id, e, n, y, {', '.join(states)}) AS (
+  SELECT vec_id, e, 0, 0.0::DOUBLE, {', '.join(starts)} FROM {source}
+  UNION ALL SELECT vec_id, e, n + 1, t{n[-1]}, {', '.join(moved)} FROM ({step.format(name=name)})),
+{name}_out AS (SELECT vec_id, list(y ORDER BY n DESC) AS e FROM {name} WHERE n > 0 GROUP BY vec_id)"""
+
+    return f"""WITH RECURSIVE own AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings),
+ext AS (SELECT vec_id, list_transform(range({edge}, 0, -1), lambda i: 2 * x[1] - x[i + 1]) || x || list_transform(range(1, {edge + 1}), lambda i: 2 * x[{samples}] - x[{samples} - i]) AS e FROM own),
+{run('forth', 'ext')},
+{run('back', 'forth_out')}
+SELECT vec_id, unnest(range({samples})) AS i, round(unnest(e[{edge + 1}:{edge + samples}]) * 1e6)::BIGINT AS micro FROM back_out"""
+
+
+@query(_filter_sql(4000.0, 7000.0))
+def bandpassed(spark, d) -> DataFrame:
+    """Clips band-passed without a shift, in millionths."""
+    rows = fx.read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("samples"), F.lit(int(fx.SAMPLERATE)).alias("samplerate"), F.lit(4500.0).alias("low"), F.lit(6500.0).alias("high"))
+    out = sinks.filtered_clips(rows, margin=500.0).select("vec_id", F.posexplode("samples").alias("i", "v"))
+    return out.select("vec_id", F.col("i").cast("long").alias("i"), F.round(F.col("v") * 1e6).cast("long").alias("micro"))
+
+
 # Slices
 
 

@@ -156,9 +156,15 @@ def read_header(f) -> dict:
     raise ValueError("no data chunk")
 
 
+def listed(spark: SparkSession, paths) -> DataFrame:
+    """A listing of recordings as it is, or that of paths."""
+    return paths if isinstance(paths, DataFrame) else list_recordings(spark, paths)
+
+
 def recording_info(spark: SparkSession, paths, opener: Callable = open_file) -> DataFrame:
     """(path, samplerate, channels, frames, duration, error) of recordings, one row a file; unreadable ones have an error
-    and nulls. Spark lists the files; a task opens each with ``opener`` and reads its chunks' heads alone."""
+    and nulls. ``paths`` may be a listing(path). Spark lists the files; a task opens each with ``opener`` and reads its
+    chunks' heads alone."""
 
     def run(batches):
         for b in batches:
@@ -173,7 +179,7 @@ def recording_info(spark: SparkSession, paths, opener: Callable = open_file) ->
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.string())
             yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["path", "samplerate", "channels", "frames", "duration", "error"])
 
-    return list_recordings(spark, paths).select("path").mapInArrow(run, "path string, samplerate int, channels int, frames long, duration double, error string")
+    return listed(spark, paths).select("path").mapInArrow(run, "path string, samplerate int, channels int, frames long, duration double, error string")
 
 
 def decode(raw: bytes, header: dict) -> np.ndarray:
@@ -233,20 +239,22 @@ def _blocks(frames: list[tuple[int, int, int, int]], width: int) -> Iterator[tup
         yield lo, hi, held
 
 
-def load_windows(spark: SparkSession, windows: DataFrame, paths, pad: bool = True, rule: str = "cover", start: str = "window_start", length: str = "window_length", segment: tuple[str, str] | None = None, opener: Callable = open_file) -> DataFrame:
+def load_windows(spark: SparkSession, windows: DataFrame, paths, pad: bool = True, rule: str = "cover", start: str = "window_start", length: str = "window_length", segment: tuple[str, str] | None = None, opener: Callable = open_file, then: tuple[Callable, str] | None = None) -> DataFrame:
     """windows(path, start, length, ..) with samplerate and samples: the mono mean, zeros before and after what there is
     if pad, one zero where the window lies outside. ``segment`` names two columns, times beyond which nothing sounds.
 
     Only windows are shuffled, gathered by recording and stretch of time, so a long recording is several tasks' work. A
     task opens the file with ``opener``, reads the bytes of neighbouring windows at once, AT_ONCE of them at most (or one
     window), and gives their samples before it reads on. Windows of paths that the listing of ``paths`` lacks are dropped.
+    ``then`` is a function of Arrow batches with the schema of what it gives, such as ``slices.features``: it runs on the
+    samples where they were read, so that these never leave the task.
     """
-    known = list_recordings(spark, paths).select(F.col("path").alias("_known"))
+    known = listed(spark, paths).select(F.col("path").alias("_known"))
     others = [c for c in windows.columns if c != "path"]
     asked = windows.join(known, F.col("path") == F.col("_known")).drop("_known")
     asked = asked.withColumn("_part", F.floor(F.col(start) / (512.0 * F.col(length)))).groupBy("path", "_part").agg(F.collect_list(F.struct(*others)).alias("_windows"))
 
-    def run(batches):
+    def read(batches):
         for b in batches:
             for path, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 with opener(path) as f:
@@ -266,7 +274,10 @@ def load_windows(spark: SparkSession, windows: DataFrame, paths, pad: bool = Tru
 
     kept = [windows.schema[c] for c in others]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["path string", "samplerate int", "samples array<float>"])
-    return asked.select("path", "_windows").mapInArrow(run, schema)
+    if then is None:
+        return asked.select("path", "_windows").mapInArrow(read, schema)
+    after, more = then
+    return asked.select("path", "_windows").mapInArrow(lambda batches: after(read(batches)), ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["path string", more]))
 
 
 def _arrow(kind) -> pa.DataType:

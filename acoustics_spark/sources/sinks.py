@@ -65,7 +65,7 @@ def filtered_clips(clips: DataFrame, margin: float = 0.0) -> DataFrame:
         for b in batches:
             at = [b.schema.get_field_index(c) for c in ("samples", "samplerate", "low", "high")]
             rows = zip(*(b.column(i).to_pylist() for i in at))
-            done = [None if x is None else signal.bandpass(np.asarray(x, float), r, lo - margin, hi + margin).astype(np.float32) for x, r, lo, hi in rows]
+            done = [None if x is None else signal.bandpass(np.asarray(x, float), r, lo - margin, hi + margin) for x, r, lo, hi in rows]
             yield b.set_column(at[0], b.schema.field(at[0]), pa.array(done, b.schema.field(at[0]).type))
 
     return clips.mapInArrow(run, out)
