@@ -17,6 +17,7 @@ ROWS = 2  # of the sketch
 BYTES_PER_CELL, LEAST_CELLS, MOST_CELLS = 64, 16, 24  # of text; powers of two of a row's cells
 CHUNK = 1 << 14  # cells of a sketch that travel as one row
 AT_ONCE = 1 << 20  # words that a task holds before it counts them
+HELD = 1 << 19  # phrases that a task adds up before it gives them
 SALTS = 32  # parts that a language's phrases are ranked in first
 STEP = np.uint64(0x9E3779B97F4A7C15)  # odd multipliers of the hashes
 MULTIPLIERS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -147,17 +148,29 @@ def frequent_cells(rows: DataFrame, power: int, least: int) -> list[tuple[int, b
 def exact_counts(rows: DataFrame, bitmap: np.ndarray, power: int) -> DataFrame:
     """(lang, size, phrase, n): exact counts of the phrases whose cells are all set, and of all words as size 0.
 
-    A phrase is kept only where what it begins and ends with is, one word shorter. A task counts AT_ONCE words at a time;
-    phrases are told apart by their words' numbers, not by hashes.
+    A phrase is kept only where what it begins and ends with is, one word shorter. A task counts AT_ONCE words at a time and
+    adds these counts up; phrases are told apart by their words' numbers, not by hashes.
     """
     shared = rows.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
         bits = shared.value
+        held: dict[str, dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
+
+        def given():
+            for lang, found in held.items():
+                names = list(found)
+                for i in range(0, len(names), 1 << 16):
+                    part = names[i : i + (1 << 16)]
+                    sizes = [x.count(b" ") + 1 if x else 0 for x in part]
+                    columns = [pa.array([lang] * len(part), pa.string()), pa.array(sizes, pa.int32()), pa.array(part, pa.binary()), pa.array([found[x] for x in part], pa.int64())]
+                    yield pa.record_batch(columns, names=["lang", "size", "phrase", "n"])
+            held.clear()
+
         for words in _gathered(batches):
             at = words.sequence()
-            names = list(words.number)
-            out: list[tuple[int, bytes, int]] = [(0, b"", int((at > 0).sum()))]
+            names, own = list(words.number), held[words.lang]
+            own[b""] += int((at > 0).sum())
             kept, ids = np.zeros(0, bool), at
             for k, h, ok in grams(words):
                 n = len(h)
@@ -169,16 +182,15 @@ def exact_counts(rows: DataFrame, bitmap: np.ndarray, power: int) -> DataFrame:
                     where = where[(bits[row, c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1]
                 kept = np.zeros(n, bool)
                 kept[where] = True
-                own = ids[where] if k == 1 else ids[where] << 32 | at[where + k - 1]  # both are under 2 ** 31
-                _, first, back, times = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
+                numbers = ids[where] if k == 1 else ids[where] << 32 | at[where + k - 1]  # both are under 2 ** 31
+                _, first, back, times = np.unique(numbers, return_index=True, return_inverse=True, return_counts=True)
                 ids = np.zeros(n, np.int64)
                 ids[where] = back
                 for i, m in zip(where[first].tolist(), times.tolist()):
-                    out.append((k, b" ".join([names[j] for j in at[i : i + k]]), m))
-            for i in range(0, len(out), 1 << 16):
-                part = out[i : i + (1 << 16)]
-                columns = [pa.array([words.lang] * len(part), pa.string()), pa.array([x[0] for x in part], pa.int32()), pa.array([x[1] for x in part], pa.binary()), pa.array([x[2] for x in part], pa.int64())]
-                yield pa.record_batch(columns, names=["lang", "size", "phrase", "n"])
+                    own[b" ".join([names[j] for j in at[i : i + k]])] += m
+            if sum(map(len, held.values())) >= HELD:
+                yield from given()
+        yield from given()
 
     found = rows.mapInArrow(run, "lang string, size int, phrase binary, n long")
     return found.groupBy("lang", "size", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("n").alias("n"))
