@@ -1,4 +1,4 @@
-"""Phrase collocations: merged count-min sketches name what may be frequent, a second pass counts that alone, exactly."""
+"""Phrase collocations: merged count-min sketches name what may be frequent, a last pass counts that alone, exactly."""
 
 from __future__ import annotations
 
@@ -14,7 +14,8 @@ from .store import Tables
 
 LONGEST, LEAST, MOST = 5, 100, 2000  # words of a phrase, its occurrences, phrases of a language
 ROWS = 2  # of the sketch
-BYTES_PER_CELL, LEAST_CELLS, MOST_CELLS = 64, 16, 24  # of text; powers of two of a row's cells
+LEVELS = ((1,), (2,), (3, 4, 5))  # sizes of phrases that one sketch is made of, after those before have said which may be frequent
+BYTES_PER_CELL, LEAST_CELLS, MOST_CELLS = 64, 16, 23  # of text; powers of two of a row's cells
 CHUNK = 1 << 14  # cells of a sketch that travel as one row
 AT_ONCE = 1 << 20  # words that a task holds before it counts them
 HELD = 1 << 19  # phrases that a task adds up before it gives them
@@ -73,6 +74,26 @@ def cells(h: np.ndarray, row: int, power: int) -> np.ndarray:
     return ((h * MULTIPLIERS[row]) >> np.uint64(64 - power)).astype(np.int64)
 
 
+def survivors(words: Words, bitmaps: list[np.ndarray], power: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(k, hashes, places) of the k-word phrases of one piece whose beginning and end, one word shorter, are places of the
+    size before, and whose cells are set in the bitmap of their level if there is one; as far as the next level's sizes."""
+    kept = np.zeros(0, bool)
+    for k, h, ok in grams(words):
+        level = next(i for i, sizes in enumerate(LEVELS) if k in sizes)
+        if level > len(bitmaps):
+            return
+        if k > 1:
+            ok = ok & kept[: len(h)] & kept[1 : len(h) + 1]
+        where = np.flatnonzero(ok)
+        if level < len(bitmaps):
+            for row in range(ROWS):
+                c = cells(h[where], row, power)
+                where = where[(bitmaps[level][row, c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1]
+        kept = np.zeros(len(h), bool)
+        kept[where] = True
+        yield k, h, where
+
+
 def _gathered(batches) -> Iterator[Words]:
     """Texts of batches(lang, text) as words, AT_ONCE of a language at a time (or one text), those of all at the end."""
     held: dict[str, Words] = {}
@@ -104,20 +125,23 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out
 
 
-def frequent_cells(rows: DataFrame, power: int, least: int) -> list[tuple[int, bytes]]:
-    """(chunk, bits): of every chunk of the merged sketch with such a cell, which cells count ``least`` or more.
+def frequent_cells(rows: DataFrame, bitmaps: list[np.ndarray], power: int, least: int) -> np.ndarray:
+    """A bit a cell of the merged sketch of the next level's phrases, set if it counts ``least`` or more.
 
-    A task's sketch holds what it read, each count cut at ``least`` (at most 255), which sums cut there can't tell from
-    the whole; chunks meet by number and are added one after another. What comes to the driver is a bit a cell.
+    Only phrases whose parts may be frequent by the levels before come into a sketch, so it is sparse. A task's sketch holds
+    what it read, each count cut at ``least`` (at most 255), which sums cut there can't tell from the whole; chunks of
+    cells meet by number and are added one after another. What comes to the driver is a bit a cell, 2 MB at most.
     """
+    shared = rows.sparkSession.sparkContext.broadcast(bitmaps)
+    sizes = LEVELS[len(bitmaps)]
 
     def run(batches):
         sketch = np.zeros((ROWS, 1 << power), np.uint32)
         for words in _gathered(batches):
-            for _, h, ok in grams(words):
-                h = h[ok]
-                for row in range(ROWS):
-                    np.add.at(sketch[row], cells(h, row, power), np.uint32(1))
+            for k, h, where in survivors(words, shared.value, power):
+                if k in sizes:
+                    for row in range(ROWS):
+                        np.add.at(sketch[row], cells(h[where], row, power), np.uint32(1))
         chunks = sketch.reshape(-1, CHUNK)
         for i in np.flatnonzero(chunks.any(1)):
             data = _packed(np.minimum(chunks[i], least).astype(np.uint8))
@@ -142,19 +166,18 @@ def frequent_cells(rows: DataFrame, power: int, least: int) -> list[tuple[int, b
 
     partial = rows.mapInArrow(run, "chunk int, counts binary")
     merged = partial.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(merge, "chunk int, bits binary")
-    return [tuple(r) for r in merged.collect()]
+    out = np.zeros(((ROWS << power) // CHUNK, CHUNK // 8), np.uint8)
+    for chunk, bits in merged.collect():
+        out[chunk] = np.frombuffer(bits, np.uint8)
+    return out.reshape(ROWS, -1)
 
 
-def exact_counts(rows: DataFrame, bitmap: np.ndarray, power: int) -> DataFrame:
-    """(lang, size, phrase, n): exact counts of the phrases whose cells are all set, and of all words as size 0.
-
-    A phrase is kept only where what it begins and ends with is, one word shorter. A task counts AT_ONCE words at a time and
-    adds these counts up; phrases are told apart by their words' numbers, not by hashes.
-    """
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+def exact_counts(rows: DataFrame, bitmaps: list[np.ndarray], power: int) -> DataFrame:
+    """(lang, size, phrase, n): exact counts of the phrases whose cells are all set, and of all words as size 0. A task counts
+    AT_ONCE words at a time and adds these counts up; phrases are told apart by their words' numbers, not by hashes."""
+    shared = rows.sparkSession.sparkContext.broadcast(bitmaps)
 
     def run(batches):
-        bits = shared.value
         held: dict[str, dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
 
         def given():
@@ -171,20 +194,11 @@ def exact_counts(rows: DataFrame, bitmap: np.ndarray, power: int) -> DataFrame:
             at = words.sequence()
             names, own = list(words.number), held[words.lang]
             own[b""] += int((at > 0).sum())
-            kept, ids = np.zeros(0, bool), at
-            for k, h, ok in grams(words):
-                n = len(h)
-                if k > 1:
-                    ok &= kept[:n] & kept[1 : n + 1]
-                where = np.flatnonzero(ok)
-                for row in range(ROWS):
-                    c = cells(h[where], row, power)
-                    where = where[(bits[row, c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1]
-                kept = np.zeros(n, bool)
-                kept[where] = True
+            ids = at
+            for k, h, where in survivors(words, shared.value, power):
                 numbers = ids[where] if k == 1 else ids[where] << 32 | at[where + k - 1]  # both are under 2 ** 31
                 _, first, back, times = np.unique(numbers, return_index=True, return_inverse=True, return_counts=True)
-                ids = np.zeros(n, np.int64)
+                ids = np.zeros(len(h), np.int64)
                 ids[where] = back
                 for i, m in zip(where[first].tolist(), times.tolist()):
                     own[b" ".join([names[j] for j in at[i : i + k]])] += m
@@ -238,7 +252,7 @@ def collocations(docs: DataFrame, least: int = LEAST, most: int = MOST, power: i
     """(lang, rank, phrase, a, l, r, n, score) of documents(text, lang): each language's best phrases.
 
     ``least`` is at most 255. A row of the sketch has 2 ** power cells, by default one for BYTES_PER_CELL bytes of text, at
-    most 2 ** MOST_CELLS; a smaller one lets more phrases into the second pass, which drops those below ``least``, and
+    most 2 ** MOST_CELLS; a smaller one lets more phrases into the last pass, which drops those below ``least``, and
     changes no result. A null lang is ``und``, as is one of that name; a null or empty text has no words; repeated rows
     count as often as they occur; a word may be of any length; a table without phrases gives an empty result.
     """
@@ -247,10 +261,10 @@ def collocations(docs: DataFrame, least: int = LEAST, most: int = MOST, power: i
     if power is None:
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         power = min(max((size // BYTES_PER_CELL).bit_length(), LEAST_CELLS), MOST_CELLS)
-    bitmap = np.zeros((ROWS << power) // CHUNK * (CHUNK // 8), np.uint8).reshape(-1, CHUNK // 8)
-    for chunk, bits in frequent_cells(rows, power, least):
-        bitmap[chunk] = np.frombuffer(bits, np.uint8)
-    counts = tables.write(exact_counts(rows, bitmap.reshape(ROWS, -1), power).filter((F.col("size") == 0) | (F.col("n") >= least)))
+    bitmaps: list[np.ndarray] = []
+    for _ in LEVELS:
+        bitmaps.append(frequent_cells(rows, bitmaps, power, least))
+    counts = tables.write(exact_counts(rows, bitmaps, power).filter((F.col("size") == 0) | (F.col("n") >= least)))
     phrases = tables.write(scored(counts, least))
     left = phrases.join(subsumed(phrases), ["lang", "phrase"], "left_anti")
     out = tables.write(first_of_each(left, most).select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))

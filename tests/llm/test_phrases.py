@@ -4,7 +4,6 @@ import random
 from collections import Counter
 
 import duckdb
-import numpy as np
 import pytest
 
 from acoustics_spark.llm import phrases
@@ -43,10 +42,10 @@ def test_collocations_equal_sql(spark, rows, monkeypatch, least, most, power):
 def test_the_sketch_loses_nothing_frequent_and_leaves_out_most(spark, rows):
     docs = frame(spark, rows).selectExpr("coalesce(lang, 'und') AS lang", "cast(text AS binary) AS text")
     power, least = 16, 20
-    bitmap = np.zeros((phrases.ROWS << power) // phrases.CHUNK * (phrases.CHUNK // 8), np.uint8).reshape(-1, phrases.CHUNK // 8)
-    for chunk, bits in phrases.frequent_cells(docs, power, least):
-        bitmap[chunk] = np.frombuffer(bits, np.uint8)
-    found = {(r.lang, r.phrase): r.n for r in phrases.exact_counts(docs, bitmap.reshape(phrases.ROWS, -1), power).collect()}
+    bitmaps = []
+    for _ in phrases.LEVELS:
+        bitmaps.append(phrases.frequent_cells(docs, bitmaps, power, least))
+    found = {(r.lang, r.phrase): r.n for r in phrases.exact_counts(docs, bitmaps, power).collect()}
     every = Counter()
     for _, text, lang in rows:
         for piece in b" ".join(phrases.tokens((text or "").encode())).split(b"."):
