@@ -58,6 +58,46 @@ def test_groups_equal_all_pairs(spark):
     assert got == slow_groups(rows) and len(set(got.values())) < len(rows) - 40
 
 
+def passages(n=70):
+    """Unlike texts that share a passage, some of them with near copies."""
+    r, out = random.Random(9), []
+    passage = [f"p{i}" for i in range(25)]
+    for k in range(n):
+        base = [f"q{r.randrange(9999)}" for _ in range(r.choice([40, 60, 90]))] + passage
+        out.append(list(base))
+        if k % 5 == 0:
+            base[r.randrange(30)] = f"k{k}"
+            out.append(base)
+    return list(enumerate(" ".join(w) for w in out))
+
+
+@pytest.mark.parametrize("block", [2, 8])
+def test_large_buckets_meet_by_parts(spark, monkeypatch, block):
+    monkeypatch.setattr(similar, "BLOCK", block)
+    for rows in (texts(), passages()):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        assert {r.doc_id: r.component_id for r in similar.similar_documents(docs).collect()} == slow_groups(rows)
+
+
+def test_similar_sets_share_a_part_and_unlike_ones_hardly_do():
+    r, met = np.random.default_rng(4), 0
+    for _ in range(3000):
+        n = int(r.integers(1, 400)) if r.random() < 0.7 else int(r.integers(1, 12))
+        a = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+        keep = int(r.integers(int(np.ceil(0.8 * len(a))), len(a) + 1))
+        more = r.integers(0, 2**63, int(r.integers(0, max(len(a) // 4, 1) + 1)), dtype=np.uint64)
+        b = np.unique(np.concatenate([r.choice(a, keep, replace=False), more]))
+        same, both = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+        if 5 * same >= 4 * both:
+            met += 1
+            assert set(similar.part_keys(a).tolist()) & set(similar.part_keys(b).tolist())
+    assert met > 1000
+    shared = r.integers(0, 2**63, 12, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([shared, r.integers(0, 2**63, 108, dtype=np.uint64)])) for _ in range(60)]
+    keys = [set(similar.part_keys(x).tolist()) for x in sets]
+    assert sum(bool(keys[i] & keys[j]) for i in range(60) for j in range(i)) < 0.2 * 60 * 59 / 2
+
+
 def test_parities_never_exceed_the_difference(spark):
     """Neither in full nor folded to fewer places, for sizes up to the bound apart; and they do turn far pairs away."""
     r, rows = np.random.default_rng(3), []
