@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from ..functions.names import sample_name
-from ..operators import splits, variants, windows
+from ..functions.names import sample_name, stem
+from ..operators import detect, splits, variants, windows
+from ..sources import files, sinks
 
 
 @dataclass(frozen=True)
@@ -28,7 +29,7 @@ class Plan:
 
 def build(annotations: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """annotations(id, path, channel, left, right, bottom, top, audio_duration, samplerate) -> one row a sample: sample,
-    split, kind, source, window_start, window and boxes. Only plans move; samples are read by their windows later.
+    split, kind, source, window_start, window, boxes and rectangles. Only plans move; :func:`samples` reads them.
 
     The slice length is one number, collected before the plan of the rest is built.
     """
@@ -42,11 +43,33 @@ def build(annotations: DataFrame, plan: Plan = Plan()) -> DataFrame:
     shifted = variants.shift_plans(base.filter("split = 'train'"), window, plan.step, plan.least_shift, plan.most_shift, plan.shifts, plan.seed)
     rest = base.filter("split <> 'train'").withColumns({"kind": F.lit("base"), "variant": F.lit(None).cast("int")})
     samples = shifted.unionByName(rest.select(shifted.columns))
-    name = sample_name(F.col("path").cast("string"), F.col("id"), F.col("kind"), F.col("variant"))
+    name = sample_name(stem(F.col("path").cast("string")), F.col("id"), F.col("kind"), F.col("variant"))
     samples = samples.withColumns({"sample": name, "freq_max": F.col("samplerate") / 2.0})
     pairs = windows.boxes_in_window(samples, annotations, window, "freq_max")
     boxes = windows.collect_boxes(pairs)
     keep = samples.select("sample", "id", "path", "channel", "split", "kind", "variant", "window_start", F.lit(window).alias("window"))
-    out = variants.variants(windows.drop_empty_samples(keep.join(boxes, "sample")), plan.drops, plan.masks, plan.flip)
+    out = variants.variants(windows.drop_empty_samples(keep.join(boxes, "sample")), plan.drops, plan.masks, plan.flip, plan.seed)
     suffix = F.when(F.col("derived").isNull(), "").otherwise(F.concat(F.lit("__"), "derived", F.coalesce(F.col("derived_variant").cast("string"), F.lit(""))))
     return out.withColumn("sample", F.concat("sample", suffix))
+
+
+def samples(spark: SparkSession, plans: DataFrame, paths) -> DataFrame:
+    """Plans of :func:`build` with ``spectrogram`` (flipped or masked as planned) and ``label``, one row a sample, so that what
+    belongs to one is written by one task or not at all. Samples are read and turned to spectrograms in one pass."""
+    asked = plans.withColumns({"window_length": F.col("window"), "flipped": F.coalesce(F.col("derived") == "flip", F.lit(False)), "label": sinks.label_text(F.col("boxes"))})
+    return files.load_windows(spark, asked, paths, then=spectrogram_rows()).drop("flipped", "window_length")
+
+
+def spectrogram_rows():
+    run, own = detect.spectrograms()
+    return run, f"samplerate int, {own}"
+
+
+def write(spark: SparkSession, plans: DataFrame, paths, out: str) -> dict[str, int]:
+    """Writes :func:`samples` below out, a folder a split, by one job that commits all or nothing; returns how many samples
+    each kind has, counted as they were written."""
+    rows, kinds = samples(spark, plans, paths), ("base", "shift", "shiftneg", "flip", "drop", "mask")
+    written = Observation("samples")
+    rows = rows.observe(written, *[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+    rows.write.mode("overwrite").partitionBy("split").parquet(out)
+    return {k: written.get[k] for k in kinds}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,36 +70,31 @@ def band_energy_detector(low: float = 6000.0, high: float = 8000.0, frame: float
     return make
 
 
-def with_spectrogram(windows: DataFrame, size: int = 1024, overlap: int = 768, samples: str = "samples") -> DataFrame:
-    """windows with ``spectrogram``: struct(freqs, times, db frames), in place of their samples."""
-    others = [c for c in windows.columns if c != samples]
+SPECTROGRAM = "spectrogram struct<freqs:array<double>,times:array<double>,db:array<array<float>>,low_db:double,high_db:double>"
+
+
+def spectrograms(size: int = 1024, overlap: int = 768, samples: str = "samples") -> tuple[Callable[[Iterator], Iterator], str]:
+    """(a function of Arrow batches, the column that it adds): the spectrogram of each row's samples in place of these. Rows
+    with a true ``flipped`` have it mirrored in time, those with ``rectangles`` have these filled with its median."""
+    kind = pa.struct([("freqs", pa.list_(pa.float64())), ("times", pa.list_(pa.float64())), ("db", pa.list_(pa.list_(pa.float32()))), ("low_db", pa.float64()), ("high_db", pa.float64())])
 
     def run(batches):
         for b in batches:
+            column = lambda c: b.column(b.schema.get_field_index(c)).to_pylist() if c in b.schema.names else [None] * len(b)  # noqa: B023, E731
             out = []
-            for x, rate in zip(b.column(b.schema.get_field_index(samples)).to_pylist(), b.column(b.schema.get_field_index("samplerate")).to_pylist()):
+            for x, rate, flipped, rects in zip(column(samples), column("samplerate"), column("flipped"), column("rectangles")):
                 f, t, p = signal.spectrogram(np.asarray(x, float), rate, size, overlap)
                 db = (10 * np.log10(p + 1e-12)).astype(np.float32)
                 low, high = signal.db_clip_range(db)
+                db = signal.mask(db[:, ::-1] if flipped else db, [(q["x"], q["y"], q["width"], q["height"]) for q in rects or []])
                 out.append({"freqs": f.tolist(), "times": t.tolist(), "db": db.tolist(), "low_db": low, "high_db": high})
-            kind = pa.struct([("freqs", pa.list_(pa.float64())), ("times", pa.list_(pa.float64())), ("db", pa.list_(pa.list_(pa.float32()))), ("low_db", pa.float64()), ("high_db", pa.float64())])
+            others = [c for c in b.schema.names if c != samples]
             yield pa.record_batch([b.column(b.schema.get_field_index(c)) for c in others] + [pa.array(out, kind)], names=[*others, "spectrogram"])
 
-    own = "spectrogram struct<freqs:array<double>,times:array<double>,db:array<array<float>>,low_db:double,high_db:double>"
-    return windows.select(*others, samples).mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in windows.select(*others).schema] + [own]))
-
+    return run, SPECTROGRAM
 
-def masked_spectrograms(windows: DataFrame) -> DataFrame:
-    """windows(spectrogram, rectangles, ..) with the rectangles filled with the median of the decibels."""
 
-    def run(batches):
-        for b in batches:
-            at = b.schema.get_field_index("spectrogram")
-            rects = b.column(b.schema.get_field_index("rectangles")).to_pylist()
-            out = []
-            for s, r in zip(b.column(at).to_pylist(), rects):
-                m = signal.mask(np.asarray(s["db"], np.float32), [(q["x"], q["y"], q["width"], q["height"]) for q in r])
-                out.append(s | {"db": m.tolist()})
-            yield b.set_column(at, b.schema.field(at), pa.array(out, b.schema.field(at).type))
-
-    return windows.mapInArrow(run, windows.schema)
+def with_spectrogram(windows: DataFrame, size: int = 1024, overlap: int = 768, samples: str = "samples") -> DataFrame:
+    """windows with ``spectrogram`` in place of their samples, see :func:`spectrograms`."""
+    run, own = spectrograms(size, overlap, samples)
+    return windows.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in windows.drop(samples).schema] + [own]))

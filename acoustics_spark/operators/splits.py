@@ -57,6 +57,26 @@ def assign_splits(df: DataFrame, train: float, val: float, test: float, seed: in
     return out.withColumn("split", split).select(*df.columns, "split")
 
 
+def assign_group_splits(df: DataFrame, train: float, val: float, test: float, group: str, seed: int = 0) -> DataFrame:
+    """df with split, the same for all rows of a group: groups in the order of a keyed hash, each to the split that the rows
+    before it haven't filled, so a split has its share of rows but for one group at most (a null group is one group).
+
+    Groups are counted first and summed by hash prefix (65536 at most); only groups of one prefix are put in order.
+    """
+    require_ratios(train, val, test)
+    sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
+    sizes = sizes.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(group).cast("string"), F.lit(""))))).withColumn("_prefix", F.substring("_h", 1, 4))
+    order = Window.orderBy("_prefix")
+    offsets = sizes.groupBy("_prefix").agg(F.sum("_n").alias("_own"))
+    offsets = offsets.select("_prefix", F.coalesce(F.sum("_own").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_own").over(Window.partitionBy()).alias("_all"))
+    within = Window.partitionBy("_prefix").orderBy("_h", group).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("_before") + F.coalesce(F.sum("_n").over(within), F.lit(0))
+    n_train, n_val = F.bround(F.col("_all") * train), F.bround(F.col("_all") * val)
+    split = F.when(F.col("_start") < n_train, "train").when(F.col("_start") < n_train + n_val, "val").otherwise("test")
+    chosen = sizes.join(F.broadcast(offsets), "_prefix").withColumn("_start", start).select(F.col(group).alias("_group"), split.alias("split"))
+    return df.join(chosen, F.col(group).eqNullSafe(F.col("_group"))).select(*df.columns, "split")
+
+
 def sample_counts(samples: DataFrame) -> DataFrame:
     """Samples by split, by kind and in all, in one pass over grouping sets."""
     level = F.grouping_id("split", "kind")

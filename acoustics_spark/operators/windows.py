@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions.boxes import EPS, to_box, window_start_for, window_starts
 
 
+def kept_and_counted(rows: DataFrame, name: str, **reasons: Column) -> tuple[DataFrame, Observation]:
+    """rows that no reason holds for, and an observation that has, once an action has read them: ``n``, all rows, ``kept``, and
+    by reason those it is the first to hold for. Nothing is read a second time to tell what was left out."""
+    seen, first, taken = Observation(name), {}, F.lit(False)
+    for reason, holds in reasons.items():
+        holds = F.coalesce(holds, F.lit(True))
+        first[reason] = holds & ~taken
+        taken = taken | holds
+    counted = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(~taken).alias("kept"), *[F.count_if(c).alias(r) for r, c in first.items()])
+    return counted.filter(~taken), seen
+
+
 def usable_recordings(recordings: DataFrame, window: float) -> tuple[DataFrame, DataFrame]:
     """(recordings of at least a window, the others)."""
     long = F.col("duration") + EPS >= window
@@ -34,6 +46,12 @@ def usable_anchors(annotations: DataFrame, window: float) -> DataFrame:
     return annotations.filter((F.col("audio_duration") >= window) & (F.col("right") - F.col("left") <= window))
 
 
+def counted_anchors(annotations: DataFrame, window: float) -> tuple[DataFrame, Observation]:
+    """:func:`usable_anchors` of the positive annotations with the counts of what was left out, by reason."""
+    length = F.col("right") - F.col("left")
+    return kept_and_counted(annotations, "anchors", not_positive=~(length > 0), short_recording=~(F.col("audio_duration") >= window), too_long=~(length <= window))
+
+
 def base_windows(annotations: DataFrame, window: float, shift: float = 0.0) -> DataFrame:
     """annotations(left, right, audio_duration, ..) with window_start; rows that no window can hold are dropped."""
     start = window_start_for(F.col("left"), F.col("right"), window, F.col("audio_duration"), F.lit(shift))

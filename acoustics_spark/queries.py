@@ -468,6 +468,15 @@ def assign_splits_by_hash(spark, d) -> DataFrame:
     return splits.assign_splits(fx.annotations(spark, d), 0.7, 0.2, 0.1, seed=7, mode="hash").select("id", "split")
 
 
+@query("""WITH g AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id),
+o AS (SELECT user_id, coalesce(sum(n) OVER (ORDER BY md5(concat('7:', user_id)), user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, sum(n) OVER () AS total FROM g)
+SELECT event_id AS id, CASE WHEN s < round_even(total * 0.7, 0) THEN 'train' WHEN s < round_even(total * 0.7, 0) + round_even(total * 0.2, 0) THEN 'val' ELSE 'test' END AS split FROM events JOIN o USING (user_id)""")
+def assign_group_splits(spark, d) -> DataFrame:
+    """Splits by recording: no recording is in two."""
+    rows = fx.read(spark, d, "events").select(F.col("event_id").alias("id"), "user_id")
+    return splits.assign_group_splits(rows, 0.7, 0.2, 0.1, "user_id", seed=7).select("id", "split")
+
+
 @query("SELECT event_id, row_number() OVER (ORDER BY user_id, event_id) AS global_index FROM events")
 def global_index(spark, d) -> DataFrame:
     return splits.global_index(fx.read(spark, d, "events").select("user_id", "event_id"), "user_id", "event_id").select("event_id", "global_index")

@@ -117,12 +117,13 @@ def read_detections(spark: SparkSession, path: str) -> DataFrame:
 
 
 def open_file(path: str):
-    """A file that Spark has listed, for reading at any place: local ones and those of the object stores that Arrow knows."""
+    """A file that Spark has listed, for reading at any place: local ones and those of the object stores that Arrow knows,
+    under Hadoop's names for them, too."""
     from urllib.parse import quote
 
     from pyarrow import fs
 
-    own = re.sub(r"^file:/+", "/", path)
+    own = re.sub("^s3[an]://", "s3://", re.sub(r"^file:/+", "/", path))
     where, at = fs.FileSystem.from_uri(own if own.startswith("/") else quote(own, safe=":/@"))
     return where.open_input_file(at)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import signal
 from ..functions.names import relative_to, sanitize_audio, stem
@@ -42,10 +42,15 @@ def write_detections_by_recording(rows: DataFrame, path: str, root: str = "") ->
     keyed.write.mode("overwrite").partitionBy("folder", "recording").csv(path, header=True)
 
 
-def label_lines(samples: DataFrame) -> DataFrame:
-    """(split, sample, label): a line ``class x y w h`` a box in the order of boxes; samples without boxes have none."""
+def label_text(boxes: Column) -> Column:
+    """A line ``class x y w h`` a box, in their order."""
     line = lambda b: F.format_string("%d %.6f %.6f %.6f %.6f", b["class_id"], b["x_center"], b["y_center"], b["width"], b["height"])
-    return samples.filter(F.size("boxes") > 0).select("split", "sample", F.array_join(F.transform("boxes", line), "\n").alias("label"))
+    return F.array_join(F.transform(boxes, line), "\n")
+
+
+def label_lines(samples: DataFrame) -> DataFrame:
+    """(split, sample, label) of the samples with boxes."""
+    return samples.filter(F.size("boxes") > 0).select("split", "sample", label_text(F.col("boxes")).alias("label"))
 
 
 def write_labels(samples: DataFrame, path: str) -> None:

@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from acoustics_spark.functions import signal
-from acoustics_spark.jobs import characterise, dataset, remap
-from acoustics_spark.operators import detect, intervals, slices
-from acoustics_spark.sources import files, sinks
+from acoustics_spark.jobs import characterise, clips, dataset, remap
+from acoustics_spark.operators import detect, intervals, slices, windows
+from acoustics_spark.sources import files, recordings, sinks
 from acoustics_spark.streaming import events
 
 RATE = 24000
@@ -175,11 +175,76 @@ def test_detect_merge_and_characterise(spark, wavs):
 
 def test_spectrograms_and_masks(spark):
     x = spark.createDataFrame([(1, RATE, tone(1, [(0, 1)]).tolist())], "id long, samplerate int, samples array<float>")
-    spec = detect.with_spectrogram(x)
-    r = spec.first().spectrogram
+    r = detect.with_spectrogram(x).first().spectrogram
     assert len(r.db) == len(r.freqs) == 513 and abs(r.freqs[int(np.argmax(np.array(r.db)[:, 3]))] - 7000) < 30 and r.low_db < r.high_db
-    masked = detect.masked_spectrograms(spec.withColumn("rectangles", F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("width"), F.lit(1.0).alias("height")))))
-    assert np.ptp(np.array(masked.first().spectrogram.db)) == 0
+    whole = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for v, n in zip((0, 0, 1, 1), ("x", "y", "width", "height"))])])
+    masked = detect.with_spectrogram(x.withColumn("rectangles", whole)).first().spectrogram
+    assert np.ptp(np.array(masked.db)) == 0
+    flipped = detect.with_spectrogram(x.withColumn("flipped", F.lit(True))).first().spectrogram
+    assert np.array_equal(np.array(flipped.db)[:, ::-1], np.array(r.db))
+
+
+def test_dataset_samples_are_written_whole(spark, wavs, tmp_path):
+    path = next(r.path for r in files.list_recordings(spark, str(wavs)).collect() if name(r.path) == "a.wav")
+    rows = [(i, path, 0, 0.5 * i, 0.5 * i + 0.4, 6000.0, 8000.0, 8.0, RATE) for i in range(1, 14)]
+    anchors = spark.createDataFrame(rows, "id long, path string, channel int, left double, right double, bottom double, top double, audio_duration double, samplerate int")
+    plans = dataset.build(anchors, dataset.Plan(flip=True))
+    counts = dataset.write(spark, plans, str(wavs), f"{tmp_path}/out")
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sum(counts.values()) == len(got) == plans.count() and counts["flip"] == counts["drop"] == counts["mask"] > 0
+    by = {r.sample: r for r in got}
+    assert all(r["sample"].startswith("a_ann_000") and len(r.label.split("\n")) == len(r.boxes) > 0 and len(r.spectrogram.db) == 513 for r in got)
+    assert {r.kind: len(r.rectangles) for r in got} == {"base": 0, "shift": 0, "shiftneg": 0, "flip": 0, "drop": 3, "mask": 2} or len({r.kind for r in got}) < 6
+    for r in got:
+        if r.derived:
+            base = np.array(by[r["sample"].rsplit("__", 1)[0]].spectrogram.db, np.float32)
+            own = np.array(r.spectrogram.db, np.float32)
+            assert np.array_equal(own, base[:, ::-1]) if r.kind == "flip" else ((own != base) <= (own == np.median(base))).all() and (own != base).any()
+    plan = dataset.samples(spark, plans, str(wavs))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    (broken / "a.wav").write_bytes(b"RIFFxxxx")
+    moved = plans.withColumn("path", F.when(F.col("id") == 5, f"{broken}/a.wav").otherwise(F.col("path")))
+    with pytest.raises(Exception):
+        dataset.write(spark, moved, [str(wavs), str(broken)], f"{tmp_path}/failed")
+    assert not list((tmp_path / "failed").rglob("part-*.parquet")) or not (tmp_path / "failed" / "_SUCCESS").exists()
+
+
+def test_clips_of_annotations(spark, wavs):
+    path = next(r.path for r in files.list_recordings(spark, str(wavs)).collect() if name(r.path) == "a.wav")
+    columns = "AudioPath string, lefttimesec double, righttimesec double, topfreqhz double, bottomfreqhz double, stem string, global_index long"
+    rows = [(path, 2.0, 3.5, 8000.0, 6000.0, "a", 1), (path, 2.0, 3.5, 3000.0, 1000.0, "a", 2), (path, 7.9, 8.0, 8000.0, 6000.0, "a", 3), (path, 9.0, 9.5, 1.0, 0.0, "a", 4), ("/none.wav", 0.0, 1.0, 1.0, 0.0, "n", 5)]
+    found, rejects = clips.clips(spark, spark.createDataFrame(rows, columns), str(wavs), padding=0.5)
+    got = {r.name: np.array(r.samples) for r in found.collect()}
+    assert set(got) == {"a_ann_00001.wav", "a_ann_00002.wav", "a_ann_00003.wav"} and {r.global_index: r.reason for r in rejects.collect()} == {4: "outside the recording", 5: "no recording"}
+    loud, quiet, last = (got[f"a_ann_0000{i}.wav"] for i in (1, 2, 3))
+    assert len(loud) == 2.5 * RATE and len(last) == pytest.approx(0.6 * RATE, abs=1) and abs(np.abs(loud).max() - 0.5) < 0.05 and np.abs(quiet).max() < 0.05
+
+
+def test_recordings_as_a_data_source(spark, wavs, tmp_path):
+    recordings.register(spark)
+    root = str(wavs)
+    df = spark.read.format("recordings").option("path", f"{root};{tmp_path}/none").option("split", 100_000).load()
+    rows = df.collect()
+    bad = {name(r.path): r.error for r in rows if r.error}
+    assert set(bad) == {"bad.wav", "none"} and "FileNotFoundError" in bad["none"]
+    got = {(r.path, r.window_index): r for r in rows if not r.error}
+    info = files.recording_info(spark, root).filter("error is null")
+    grid = windows.expand_windows(windows.usable_recordings(info, 3.0)[0].select("path", "duration")).drop("duration", "window_end").withColumn("window_length", F.lit(3.0))
+    want = {(r.path, r.window_index): r for r in files.load_windows(spark, grid, root).collect()}
+    assert set(got) == set(want) and all(got[k].samples == want[k].samples and got[k].window_start == want[k].window_start for k in want)
+    assert df.rdd.getNumPartitions() > 5
+    one = next(k[0] for k in want if name(k[0]) == "a.wav")
+    asked = df.filter((F.col("path") == one) & (F.col("window_start") >= 1.0) & (F.col("window_start") < 3.0))
+    assert sorted(r.window_start for r in asked.select("window_start").collect()) == [1.0, 2.0] and asked.rdd.getNumPartitions() < 6
+    assert df.filter("window_start > 4").filter("error is not null").count() == 0
+
+
+def test_what_is_left_out_is_counted_in_the_same_pass(spark):
+    rows = [(1.0, 2.0, 10.0), (2.0, 2.0, 10.0), (0.0, 5.0, 10.0), (1.0, 2.0, 2.0), (None, 1.0, 10.0), (1.0, 1.5, 10.0)]
+    kept, seen = windows.counted_anchors(spark.createDataFrame(rows, "left double, right double, audio_duration double"), 3.0)
+    assert len(kept.collect()) == 2 and seen.get == {"n": 6, "kept": 2, "not_positive": 2, "short_recording": 1, "too_long": 1}
 
 
 def test_dataset_job(spark, sf):
