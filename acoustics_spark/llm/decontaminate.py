@@ -47,12 +47,13 @@ def shingle_hits(docs: DataFrame, shingles: dict[tuple, int], width: int) -> Dat
     return rows.mapInArrow(run, "doc_id long, text_hash long, n_words long, at array<int>, id array<int>")
 
 
-def block_matches(hits: DataFrame, windows: DataFrame) -> DataFrame:
+def block_matches(hits: DataFrame, windows: DataFrame, span: int) -> DataFrame:
     """(text_hash, n_words, start, length, items): where windows(window_id, ids, length, items) occur in hits.
 
-    ``ids`` are a window's shingles in order. Shingles are ranked by how often the documents have them; a window can
+    ``ids`` are a window's shingles in order, ``span`` of them at most. Shingles are ranked by how often the documents have them; a window can
     only occur where its rarest shingle does, the prefix for a containment of all. Candidates are cut by the window's
-    length and the shingle's place in it and then verified: equal shingles at consecutive places are equal words.
+    length and the shingle's place in it and then verified: equal shingles at consecutive places are equal words. A hit
+    takes only those along that a window round it can have, so a text's rows grow with its hits, not with their square.
     """
     found = hits.filter(F.size("id") > 0)
     counts = found.select(F.explode("id").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
@@ -60,7 +61,9 @@ def block_matches(hits: DataFrame, windows: DataFrame) -> DataFrame:
     prefix = tokens.groupBy("window_id").agg(F.min(F.struct("df", "place", "token")).alias("rarest"), F.count("*").alias("known"))
     prefix = prefix.join(windows, "window_id").filter(F.col("known") == F.size("ids"))
     prefix = prefix.select("rarest.token", "rarest.place", "ids", "length", "items")
-    each = found.select("text_hash", "n_words", "at", "id", F.posexplode("id").alias("k", "token"))
+    lo = lambda k: F.greatest(k - span + 1, F.lit(0))
+    near = F.transform("id", lambda t, k: F.struct((k - lo(k)).alias("k"), t.alias("token"), F.slice("at", lo(k) + 1, F.lit(2 * span - 1)).alias("at"), F.slice("id", lo(k) + 1, F.lit(2 * span - 1)).alias("id")))
+    each = found.select("text_hash", "n_words", F.inline(near))
     out = each.join(F.broadcast(prefix), "token")  # at most BLOCK_WINDOWS rows
     first, last = F.col("k") - F.col("place") + 1, F.col("k") - F.col("place") + F.size("ids")
     out = out.filter((first >= 1) & (last <= F.size("id")))
@@ -95,9 +98,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, width:
             ids = [shingles.setdefault(tuple(w[i : i + k]), len(shingles)) for i in range(len(w) - k + 1)]
             windows.append((n, ids, len(words), items))
         hits = tables.write(shingle_hits(docs, shingles, width))
-        rows = rows or hits.select("doc_id", "text_hash", "n_words")
+        rows = rows or hits
         schema = "window_id int, ids array<int>, length int, items array<string>"
-        matches.append(block_matches(hits, spark.createDataFrame(windows, schema)))
+        matches.append(block_matches(hits, spark.createDataFrame(windows, schema), max(size - width + 1, 1)))
     found = matches[0]
     for m in matches[1:]:
         found = found.unionAll(m)
@@ -110,10 +113,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, width:
     hit = spans.groupBy(*by).agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "done"))).cast("long").alias("n_hit"))
     items = found.select(*by, F.explode("items").alias("item")).distinct()
     items = items.groupBy(*by).agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("list"))
-    out = rows.join(tables.write(hit.join(items, by, "left")), by, "left")
+    found = tables.write(hit.join(items, by, "left"))
+    out = rows.select("doc_id", *by).join(found, by, "left")
     out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)), "n_items": F.coalesce("n_items", F.lit(0))})
     out = out.withColumn("items_sha256", F.sha2(F.coalesce("list", F.lit("")), 256))
     dirty = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    tables.keep_only(rows, found)
     return out.select("doc_id", "text_hash", "n_words", "n_hit", "n_items", "items_sha256", dirty.alias("contaminated"))
 
 

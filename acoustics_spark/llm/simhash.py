@@ -92,6 +92,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = nodes.groupBy("root").agg(F.min("least_id").alias("component_id"))
     nodes = tables.write(nodes.join(ids, "root").select("fp", "component_id"))
+    tables.keep_only(rows, nodes)
     out = rows.join(nodes, "fp")
     return out.select("doc_id", "text_hash", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
