@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, functions as F
 
 # Elements of HTML and words that name what is not the article.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style title textarea noscript template svg math iframe object select xmp noembed noframes".split())
+RAW = set("script style title textarea noscript template svg iframe object select xmp noembed noframes".split())  # of these xmp is text
 BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre search section summary table caption tbody td tfoot th thead tr ul head".split()
 )
-DROPPED = set("nav footer aside head menu dialog search button label".split())
+DROPPED = set("nav footer aside head menu dialog search button annotation annotation-xml".split())
+# Blocks in which a label is part of a sentence.
+SENTENCES = set("p li dd td blockquote figcaption h1 h2 h3 h4 h5 h6".split())
 FORMS = set("form fieldset".split())
 ENDS_P = BLOCK - {"html", "head", "body"}
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"})}
@@ -39,6 +41,7 @@ LINKED = 0.7  # the share of link text from which a list beside the main text on
 WORDS = re.compile(r"[a-z]{2,}|[A-Z][a-z]+|[A-Z]{2,}(?![a-z])")
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*?)(>|\Z))", re.S)
 NAMES = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+CLASS = re.compile(r"""(?:^|[\s"'])class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
 
@@ -47,6 +50,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.gone, self.main = ["#root"], [-1], [False], []
+        self.kind = [""]  # of each block its element and class
         self.named: dict[int, bool] = {}  # blocks that name themselves as boilerplate, and whether as readers' comments
         self.text: list[tuple[int, str, bool]] = []  # (block, decoded text or a line break, in a link)
         self.links: list[int] = []
@@ -71,6 +75,8 @@ class Page:
                 continue
             if name in RAW:
                 stop = re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*>", re.I).search(source, at) if not m[3].endswith("/") else None
+                if name == "xmp":
+                    self.text.append((self.block(stack[-1][1], "pre", False), source[at : stop.start() if stop else end], link > 0))
                 at = stop.end() if stop else at if m[3].endswith("/") else end
                 continue
             if name == "br":
@@ -90,7 +96,8 @@ class Page:
                         link = self.close(stack, "a", link)
                     link = 1
                     self.links.append(stack[-1][1])
-                stack.append((name, stack[-1][1] if not self.odd(name, m[3]) else self.block(stack[-1][1], name, True)))
+                alone = name == "label" and not (self.tag[stack[-1][1]] in SENTENCES and all(t not in FORMS for t, _ in stack))
+                stack.append((name, stack[-1][1] if not alone and not self.odd(name, m[3]) else self.block(stack[-1][1], name, True)))
 
     def add(self, block: int, text: str, link: int) -> None:
         self.text.append((block, entities.unescape(text) if "&" in text else text, link > 0))
@@ -102,14 +109,17 @@ class Page:
             return True
         return name != "a" and bool(attributes) and (bool(boilerplate(attributes)) or HIDDEN.search(attributes) is not None)
 
-    def block(self, parent: int, name: str, gone: bool) -> int:
+    def block(self, parent: int, name: str, gone: bool, kind: str = "") -> int:
         self.tag.append(name)
+        self.kind.append(kind)
         self.parent.append(parent)
         self.gone.append(gone)
         return len(self.tag) - 1
 
     def open(self, stack: list, name: str, attributes: str) -> None:
-        own = self.block(stack[-1][1], name, name in DROPPED or bool(attributes) and HIDDEN.search(attributes) is not None)
+        named = CLASS.search(attributes) if attributes else None
+        kind = f"{name}.{' '.join(sorted((named[1] or named[2] or named[3] or '').split()))}" if named else ""
+        own = self.block(stack[-1][1], name, name in DROPPED or bool(attributes) and HIDDEN.search(attributes) is not None, kind)
         inside = any(self.tag[b] in ("article", "main") for _, b in stack)
         if name in FORMS or name == "header" and not inside:
             self.named[own] = False
@@ -239,7 +249,8 @@ def choose(page: Page, gone: list[bool]) -> list[bool]:
     Where marks hold it (article, main), the outermost is taken whole, with sibling articles; lists of links in it, but
     beside the chosen node and its article, go. Where it holds marks with half its text, these are taken. Else it is taken
     itself, and with the least density on its path to the body as threshold the densest subtree of each node beside the
-    path that has it. A first heading beside the path is taken where there is none in what is.
+    path that has it, and what is of one element and class with a node of the path. A first heading beside the path, alone in
+    what holds it, is taken where there is none in what is.
     """
     own, parent, n = Sizes(page, gone), page.parent, len(page.tag)
     keep, dense, sums = [False] * n, own.dense, own.sums
@@ -267,15 +278,20 @@ def choose(page: Page, gone: list[bool]) -> list[bool]:
         for i in range(n - 1, 0, -1):
             if not gone[i] and sums[best[i]] > sums[best[parent[i]]]:
                 best[parent[i]] = best[i]
-        roots = [top, *(best[i] if own.kids[best[i]] else i for i in beside if dense[i] >= least and not own.leads_elsewhere(i))]
+        alike = {page.kind[j] for j in (top, *path) if page.kind[j]}  # sections of one class are of one text
+        whole = [i for i in beside if page.kind[i] in alike and not own.leads_elsewhere(i)]
+        roots = [top, *whole, *(best[i] if own.kids[best[i]] else i for i in beside if i not in whole and dense[i] >= least and not own.leads_elsewhere(i))]
     for i in roots:
         keep[i] = True
     keep = _below(page, keep)
     if not any(keep[i] and page.tag[i] == "h1" and own.chars[i] for i in range(n)):
         around = {j for i in roots for j in _path(i, parent)}
         for i in range(1, n):
-            if page.tag[i] == "h1" and not gone[i] and parent[i] in around:
-                keep[i] = True
+            if page.tag[i] == "h1" and not gone[i]:
+                j = i
+                while parent[j] > 0 and parent[j] not in around and own.chars[parent[j]] == own.chars[i]:
+                    j = parent[j]  # what holds the heading alone
+                keep[i] = keep[i] or parent[j] in around
         keep = _below(page, keep)
     dropped = [False] * n
     for i in drop:

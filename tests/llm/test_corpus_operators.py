@@ -302,6 +302,19 @@ def test_a_long_page():
     assert html.extract(source) == "\n".join(paragraphs)
 
 
+def test_formulas_and_controls_in_sentences_stay():
+    text = "A sentence of the main text that is long enough to matter here, with words."
+    page = f"<body><form><label>Name</label><button>Go</button></form><article><p>{text} <math><mi>x</mi><mo>=</mo><annotation>tex</annotation></math></p><xmp>a <b> &amp;</xmp><p>Tick <label>yes</label>.</p><div><label>Buy</label></div></article></body>"
+    assert html.extract(page) == f"{text} x=\na <b> &amp;\nTick yes."
+
+
+def test_sections_of_one_class_and_a_heading_of_its_own_block_stay():
+    text = "A sentence of the main text that is long enough to matter here, with words."
+    page = f"<body><div><h1>T</h1></div><div class=sec><p>{text}</p><p>{text}</p></div><div class=sec><p>{text}</p><p>{text}</p><p>{text}</p></div><div class='sec'><p>Short end.</p></div><div class=footer>foot</div></body>"
+    assert html.extract(page) == "\n".join(["T", *[text] * 5, "Short end."])
+
+
+
 def slow_text(tree):
     """The text that composite text density chooses of a tree of (tag, children), a child being a tree or a string; ``a``
     is the only inline element."""
