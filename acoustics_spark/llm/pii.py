@@ -76,10 +76,10 @@ SPELLED = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 
-# Ends of domains that are said with a spoken dot; those that are common words (it, is, me, us) are left out.
+# Ends of domains that are said with a spoken dot; those that are common words count where a sentence or its part ends.
 TOP_LEVEL = (
     "com org net edu gov mil int info biz name dev app ai io co uk de fr es pt nl eu ch jp cn ru br ca au nz se dk fi pl cz ie kr mx ar cl ro gr hu tr za il tv cc xyz online site shop tech cloud"
-).replace(" ", "|")
+).replace(" ", "|") + r"|(?:it|is|me|us)(?=\s*(?:[.,;:!?)\]\n]|\Z))"
 # Words before "at" in ordinary prose, which are nobody's mailbox.
 NO_MAILBOX = set(
     "look looked looking looks met meet meets meeting arrive arrived arrives stay stayed staying live lives lived living work works worked working be is was are were been being am not good bad best better "
@@ -107,7 +107,7 @@ _PART = rf"(?:{_WORD}|[0-9]{{1,3}})(?:[\s-]{{1,2}}(?:{_WORD})){{0,2}}"
 SPOKEN_IP = re.compile(rf"(?<![\w.]){_PART}(?:\s+(?:{_DOT})\s+{_PART}){{3}}(?!\w)", re.I)
 BRACKETED = re.compile(rf"\s*[\[({{<]\s*(?:({_AT}|@)|({_DOT}|\.))\s*[\])}}>]\s*", re.I)
 ENTITY = re.compile(r"&(?:#0*64|#x0*40|commat);|(&(?:#0*46|#x0*2e|period);)", re.I)
-WORDED = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]+\s+(?:{_DOT})\s+){{0,3}}[A-Za-z0-9._%+-]+(?:\s+(?:{_AT})\s+|\s*@\s*)[A-Za-z0-9-]+(?:(?:\s+(?:{_DOT})\s+|\s*\.\s*)[A-Za-z0-9-]+)*(?:\s+(?:{_DOT})\s+)(?:{TOP_LEVEL})(?!\w)", re.I)
+WORDED = re.compile(rf"(?<![A-Za-z0-9._%+-])(?<!dot\s)(?<!punkt\s)(?<!point\s)(?<!punto\s)(?:[A-Za-z0-9_%+-]+\s+(?:{_DOT})\s+)*+[A-Za-z0-9._%+-]+(?:\s+(?:{_AT})\s+|\s*@\s*)[A-Za-z0-9-]+(?:(?:\s+(?:{_DOT})\s+|\s*\.\s*)[A-Za-z0-9-]+)*(?:\s+(?:{_DOT})\s+)(?:{TOP_LEVEL})(?!\w)", re.I)
 SAID_AT = re.compile(rf"\s+(?:{_AT})\s+", re.I)
 SPACED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?: @ ?| ?@ )[A-Za-z0-9-]+(?: ?\. ?[A-Za-z0-9-]+)*?\.[A-Za-z]{2,}(?!\w)")
 HINT = re.compile(rf"[_-]dot[_-]|[\[({{<]\s*(?:{_AT}|{_DOT}|[@.])\s*[\])}}>]|&(?:#|commat|period)|\s(?:{_DOT})\s|\s@|@\s")  # of lower-cased text

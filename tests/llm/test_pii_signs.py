@@ -23,6 +23,14 @@ def test_disguises_that_had_no_sign(text, kinds):
     assert [k for k, _, _ in pii.find(text)[1]] == kinds
 
 
+@pytest.mark.parametrize(("text", "spans"), [
+    ("write to bob dot smith at example dot me", [(9, 40)]), ("mail sales at acme dot it, please", [(5, 25)]), ("see a dot b dot c dot d dot e dot f at x dot com", [(4, 48)]),
+    ("look at this dot it is red", []), ("sales at acme dot it is", []), ("we met at noon dot it was", []), ("a dot " * 30_000 + "b", []),
+])
+def test_spoken_addresses_of_any_length_and_ends_that_are_words(text, spans):
+    assert [(a, b) for _, a, b in pii.find(text)[1]] == spans
+
+
 def test_signs_are_wider_than_rewritings(sf):
     r = random.Random(3)
     texts = [t or "" for t in pq.read_table(f"{sf}/documents.parquet").column("text").to_pylist()]
