@@ -10,35 +10,35 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .sharding import _at_or_under
 from .store import Tables
 
-TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-DIGITS, PLACE_BITS = 15, 24  # hex digits of a term; terms are told apart by the last 24 bits where documents are counted: the lexicon is 2 MB, whatever the corpus
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # terms, which are what lies between
+PLACE_BITS = 24  # terms are told apart by as many bits where documents are counted: the lexicon is 2 MB, whatever the corpus
 LEAST_DOCS, MOST_SHARE = 2, 50  # the band: terms of LEAST_DOCS documents or more, and of at most one in MOST_SHARE
-SCALES, CLASSES = 6, "0123456789abcdef"  # 16 lexicons a scale, each of 1/16 of the terms, 1/64 .. 1/16384: long and short texts have some of few terms
-BETWEEN = rf",(?<=([0-9a-f])[0-9a-f]{{{DIGITS - 1}}},)(?!\1)"  # between sorted terms of different first digits
+SCALES, CLASS_BITS = 6, 4  # 16 lexicons a scale, each of 1/16 of the terms, 1/64 .. 1/16384: long and short texts have some of few terms
+CLASSES = 1 << CLASS_BITS
 WHOLE, PART, NONE = 16, 4, "----"  # hex digits of the band's hash and of a lexicon's; a lexicon without a term of the text
 DOCS_PER_RANGE, MOST_RANGES = 2000, 1 << 14
 
 
-def term_hashes(text: Column) -> Column:
-    """The distinct lower-cased terms of a text, each as the DIGITS that its MD5 begins with, sorted. The first digit names the
-    lexicon of a scale, the next ones the scales, the last six the place."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
-    return F.array_sort(F.transform(words, lambda w: F.substring(F.md5(w), 1, DIGITS)))
+def term_numbers(text: Column) -> Column:
+    """The distinct lower-cased terms of a text, sorted, each as the 60-bit number that its MD5 begins with."""
+    number = lambda w: F.conv(F.substring(F.md5(w), 1, 15), 16, 10).cast("long")
+    words = F.array_remove(F.array_distinct(F.split(F.lower(text), BETWEEN)), "")
+    return F.sort_array(F.transform(words, number))
 
 
-def _place(term: Column) -> Column:
-    return F.conv(F.substring(term, DIGITS - 5, 6), 16, 10).cast("int")
+def _bits(number: Column, first: int, n: int) -> Column:
+    return F.shiftright(number, first).bitwiseAND((1 << n) - 1)
 
 
 def lexicon(docs: DataFrame) -> DataFrame:
     """One row with ``lexicon``: a bit for each place of terms, set if the documents with a term there are in the band. The
     counts are combined before the shuffle; the array has 2 ** (PLACE_BITS - 6) longs."""
-    places = F.array_distinct(F.transform(term_hashes(F.coalesce("text", F.lit(""))), _place))
+    places = F.array_distinct(F.transform(term_numbers(F.coalesce("text", F.lit(""))), lambda t: _bits(t, 0, PLACE_BITS)))
     total = docs.count()
     found = docs.select(F.explode(places).alias("place")).groupBy("place").agg(F.count("*").alias("n"))
     found = found.filter((F.col("n") >= LEAST_DOCS) & (F.col("n") * MOST_SHARE <= total))
-    bit = F.expr("shiftleft(1L, place & 63)")
-    longs = found.select(F.shiftright("place", 6).cast("long").alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    bit = F.expr("shiftleft(1L, cast(place & 63 AS INT))")
+    longs = found.select(F.shiftright("place", 6).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
     every = docs.sparkSession.range(1 << (PLACE_BITS - 6)).withColumnRenamed("id", "at").join(longs, "at", "left")
     sorted_ = F.array_sort(F.collect_list(F.struct("at", F.coalesce("bits", F.lit(0)).alias("bits"))))
     return every.agg(F.transform(sorted_, lambda x: x["bits"]).alias("lexicon"))
@@ -47,20 +47,19 @@ def lexicon(docs: DataFrame) -> DataFrame:
 def with_fingerprint(rows: DataFrame, words: DataFrame, text: str, name: str) -> DataFrame:
     """rows with the fingerprint of a text column: WHOLE digits for all its terms in the band, then PART digits for the terms
     in each randomised lexicon. A text without a term in the band has all its terms hashed, one without terms itself."""
-    bit = lambda p: F.getbit(F.get("_lexicon", F.shiftright(p, 6)), p.bitwiseAND(63))
-    digest = lambda terms, n: F.left(F.md5(terms), F.lit(n))
-    rows = rows.withColumn("_all", term_hashes(F.col(text))).withColumn("_lexicon", words.scalar())
-    rows = rows.withColumn("_0", F.filter("_all", lambda t: bit(_place(t)) == 1)).drop("_lexicon")
+    at = lambda t: F.get(F.col("_lexicon"), _bits(t, 6, PLACE_BITS - 6).cast("int"))
+    rows = rows.withColumn("_all", term_numbers(F.col(text))).withColumn("_lexicon", words.scalar())
+    rows = rows.withColumn("_0", F.filter("_all", lambda t: F.getbit(at(t), _bits(t, 0, 6).cast("int")) == 1)).drop("_lexicon")
     rows = rows.withColumn("_0", F.when(F.size("_0") > 0, F.col("_0")).otherwise(F.col("_all")))
     for s in range(1, SCALES):
-        rows = rows.withColumn(f"_{s}", F.filter(f"_{s - 1}", lambda t: F.substring(t, s + 1, 1) < "4"))  # noqa: B023
-    joined = [F.array_join(f"_{s}", ",") for s in range(SCALES)]
-    whole = F.when(F.size("_all") > 0, digest(joined[0], WHOLE)).otherwise(digest(F.col(text), WHOLE))
-    rows = rows.withColumns({"_whole": whole} | {f"_g{s}": F.split(j, BETWEEN) for s, j in enumerate(joined)})
-    by_class = {f"_m{s}": F.map_from_arrays(F.transform(f"_g{s}", lambda g: F.left(g, F.lit(1))), F.transform(f"_g{s}", lambda g: digest(g, PART))) for s in range(SCALES)}
-    parts = [F.coalesce(F.try_element_at(F.col(f"_m{s}"), F.lit(c)), F.lit(NONE)) for s in range(SCALES) for c in CLASSES]
-    out = rows.withColumns(by_class).withColumn(name, F.concat("_whole", *parts))
-    return out.drop("_all", "_whole", *[f"_{k}{s}" for k in ("", "g", "m") for s in range(SCALES)])
+        rows = rows.withColumn(f"_{s}", F.filter(f"_{s - 1}", lambda t: _bits(t, PLACE_BITS + 2 * s - 2, 2) == 0))  # noqa: B023
+    field = PLACE_BITS + 2 * (SCALES - 1)
+    digest = lambda terms, n: F.left(F.md5(F.array_join(terms.cast("array<string>"), ",")), F.lit(n))
+    parts = [F.filter(f"_{s}", lambda t: _bits(t, field + CLASS_BITS * s, CLASS_BITS) == c) for s in range(SCALES) for c in range(CLASSES)]  # noqa: B023
+    rows = rows.withColumn("_parts", F.array(*parts))
+    whole = F.when(F.size("_all") > 0, digest(F.col("_0"), WHOLE)).otherwise(F.left(F.md5(text), F.lit(WHOLE)))
+    lexicons = F.transform("_parts", lambda p: F.when(F.size(p) > 0, digest(p, PART)).otherwise(NONE))
+    return rows.withColumn(name, F.concat(whole, F.array_join(lexicons, ""))).drop("_all", "_parts", *[f"_{s}" for s in range(SCALES)])
 
 
 def likeness(a: str, b: str) -> Column:
@@ -69,7 +68,7 @@ def likeness(a: str, b: str) -> Column:
         return F.substring(c, WHOLE + PART * k + 1, PART)
 
     whole = (F.left(a, F.lit(WHOLE)) == F.left(b, F.lit(WHOLE))).cast("int")
-    pairs = [(part(a, k), part(b, k)) for k in range(SCALES * len(CLASSES))]
+    pairs = [(part(a, k), part(b, k)) for k in range(SCALES * CLASSES)]
     same = reduce(add, [((x == y) & (x != NONE)).cast("int") for x, y in pairs], whole)
     return same / reduce(add, [((x != NONE) | (y != NONE)).cast("int") for x, y in pairs], F.lit(1))
 
@@ -121,30 +120,31 @@ def op12_imatch(spark, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> str:
-    def hashes(text: str) -> str:
-        return rf"list_sort(list_transform(list_distinct(regexp_extract_all(lower({text}), '{TERM}')), lambda w: md5(w)[1:{DIGITS}]))"
+    def numbers(text: str) -> str:
+        return rf"list_sort(list_transform(list_distinct(regexp_extract_all(lower({text}), '{BETWEEN.replace('[', '[^')}')), lambda w: ('0x' || md5(w)[1:15])::BIGINT))"
 
-    band = f"(SELECT coalesce(list(place), []) FROM (SELECT place, count(*) AS n FROM (SELECT unnest(list_distinct(list_transform(t, lambda x: x[{DIGITS - 5}:]))) AS place FROM terms) GROUP BY place) WHERE n >= {LEAST_DOCS} AND n * {MOST_SHARE} <= (SELECT count(*) FROM documents))"
+    band = f"(SELECT coalesce(list(place), []) FROM (SELECT place, count(*) AS n FROM (SELECT unnest(list_distinct(list_transform(t, lambda x: x & {(1 << PLACE_BITS) - 1}))) AS place FROM terms) GROUP BY place) WHERE n >= {LEAST_DOCS} AND n * {MOST_SHARE} <= (SELECT count(*) FROM documents))"
+    field = PLACE_BITS + 2 * (SCALES - 1)
     parts = []
     for s in range(SCALES):
-        for c in CLASSES:
-            own = f"list_filter(b, lambda x: x[1] = '{c}'" + "".join(f" AND x[{i + 2}] < '4'" for i in range(s)) + ")"
+        for c in range(CLASSES):
+            own = f"list_filter(b, lambda x: (x >> {PLACE_BITS}) & {(1 << 2 * s) - 1} = 0 AND (x >> {field + CLASS_BITS * s}) & {CLASSES - 1} = {c})"
             parts.append(f"CASE WHEN len({own}) > 0 THEN md5(array_to_string({own}, ','))[1:{PART}] ELSE '{NONE}' END")
     digest = f"CASE WHEN len(b) > 0 THEN md5(array_to_string(b, ','))[1:{WHOLE}] ELSE md5(text)[1:{WHOLE}] END || " + " || ".join(parts)
 
     def near(x: str, y: str) -> str:
-        pair = [(f"{x}[{WHOLE + PART * k + 1}:{WHOLE + PART * (k + 1)}]", f"{y}[{WHOLE + PART * k + 1}:{WHOLE + PART * (k + 1)}]") for k in range(SCALES * len(CLASSES))]
+        pair = [(f"{x}[{WHOLE + PART * k + 1}:{WHOLE + PART * (k + 1)}]", f"{y}[{WHOLE + PART * k + 1}:{WHOLE + PART * (k + 1)}]") for k in range(SCALES * CLASSES)]
         same = " + ".join([f"({x}[1:{WHOLE}] = {y}[1:{WHOLE}])::INT"] + [f"({a} = {b} AND {a} <> '{NONE}')::INT" for a, b in pair])
         return f"({same})::DOUBLE / (1 + " + " + ".join(f"({a} <> '{NONE}' OR {b} <> '{NONE}')::INT" for a, b in pair) + ")"
 
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
 pairs AS (SELECT *, coalesce(lead(text) OVER o, first(text) OVER (ORDER BY doc_id)) AS after, coalesce(lead(doc_id) OVER o, first(doc_id) OVER (ORDER BY doc_id)) AS next_id FROM d WINDOW o AS (ORDER BY doc_id)),
-terms AS (SELECT {hashes('text')} AS t FROM d),
+terms AS (SELECT {numbers('text')} AS t FROM d),
 band AS (SELECT DISTINCT unnest({band}) AS place),
 texts AS (SELECT doc_id, 0 AS edited, text FROM d UNION ALL SELECT doc_id, 1, text[1:n - n // 2] || after[1:n // 2] FROM pairs),
-own AS (SELECT doc_id, edited, text, {hashes('text')} AS t FROM texts),
-held AS (SELECT doc_id, edited, list_sort(list(x)) AS b FROM (SELECT doc_id, edited, unnest(t) AS x FROM own) JOIN band ON x[{DIGITS - 5}:] = place GROUP BY ALL),
+own AS (SELECT doc_id, edited, text, {numbers('text')} AS t FROM texts),
+held AS (SELECT doc_id, edited, list_sort(list(x)) AS b FROM (SELECT doc_id, edited, unnest(t) AS x FROM own) JOIN band ON x & {(1 << PLACE_BITS) - 1} = place GROUP BY ALL),
 hashed AS (SELECT own.doc_id, own.edited, text, coalesce(b, t) AS b FROM own LEFT JOIN held ON own.doc_id = held.doc_id AND own.edited = held.edited),
 f AS (SELECT doc_id, edited, sha256(text) AS sha, {digest} AS fp FROM hashed)
 SELECT p.doc_id, n::BIGINT AS n_chars, e.sha AS edited_sha256, a.fp AS fingerprint, e.fp AS edited_fingerprint, {near('a.fp', 'e.fp')} AS near_edited, {near('a.fp', 'x.fp')} AS near_next
