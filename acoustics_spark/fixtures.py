@@ -3,8 +3,13 @@ expressions as SQL. Times are multiples of 1/8 or 1/64 where sums are taken, so
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .sources import sinks
+from .store import shared_folder
+
 SAMPLERATE = 24000.0
 
 
@@ -152,3 +157,22 @@ def recordings(spark, sf_dir) -> DataFrame:
 
 
 RECORDINGS = "recordings AS (SELECT concat('rec_', o_orderkey) AS path, floor(o_totalprice / 1000) / 8.0::DOUBLE AS duration FROM orders)"
+
+
+def deployment(spark, sf_dir, rate: int = 64) -> str:
+    """The conversations' timelines as files in the shared folder, and its path: a folder each with recordings, whose names all
+    folders have, the metafile, and the log of its annotations. A recording has a sample a letter of its text."""
+    root = f"{shared_folder(spark)}/deployment-{uuid.uuid4().hex}"
+    folder = lambda key: F.concat(F.lit("conv "), F.col(key), F.lit("/"))
+    text = read(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    wave = F.transform(F.sequence(F.lit(0), F.length("text") - 1), lambda i: ((i * 7 + F.col("turn")) % 101 - 50) * 100 / 32767.0)
+    clips = text.select(F.concat(folder("conv_id"), F.lit("rec_"), "turn", F.lit(".wav")).alias("name"), wave.alias("samples"), F.lit(rate).alias("samplerate"))
+    sinks.write_files(sinks.clip_files(clips), root)
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "entry_name"))), lambda x: x["entry_name"]), "\n")
+    metas = entries(spark, sf_dir).groupBy("metafile").agg(F.concat(F.lit("annotationfile=the log\n"), names).alias("content"))
+    sinks.write_files(metas.select(F.concat(folder("metafile"), F.lit("conv metafile.txt")).alias("path"), "content"), root)
+    line = F.concat_ws("\t", F.lit("an:"), F.lit("s"), "channel", "left", "right", "top", "bottom", F.concat(F.lit("c"), F.col("id")), F.lit(""))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", line.alias("line")))), lambda x: x["line"]), "\n")
+    logs = annotations(spark, sf_dir).groupBy("metafile").agg(F.concat(F.lit("tag\tsource\tchannel\tleft\tright\ttop\tbottom\tcomment\tnotes\n"), lines).alias("content"))
+    sinks.write_files(logs.select(F.concat(folder("metafile"), F.lit("the log")).alias("path"), "content"), root)
+    return root

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from . import fixtures as fx
 from .functions import boxes, names, signal
-from .operators import intervals, matching, slices, splits, timeline, variants, windows
+from .jobs import remap
+from .operators import detect, intervals, matching, slices, splits, timeline, variants, windows
 from .schemas import DETECTION_COLUMNS
-from .sources import files, sinks
+from .sources import files, recordings, sinks
+from .store import shared_folder
 from .streaming import events as streams
 
 QUERIES: dict = {}
@@ -359,6 +364,123 @@ def names_and_paths(spark, d) -> DataFrame:
     return rows.select("p_partkey", names.output_stem(F.col("path"), "/data/in").alias("output_stem"), names.top_level_folder(F.col("path"), "/data/in").alias("top_folder"), sample.alias("sample"), names.basename(F.col("path")).alias("base"), names.folder_name(deep, "/data/in/").alias("folder_name"))
 
 
+# From files
+
+
+@query(f"""WITH {fx.SEGMENTS}, {fx.ANNOTATIONS}, hits AS (
+  SELECT a.id, arg_min(struct_pack(entry_name := entry_name, s := s, e := e, dur := duration), pos) AS seg FROM annotations a JOIN segments g
+  ON a.metafile = g.metafile AND is_audio AND l BETWEEN s - 0.001 AND e + 0.001 GROUP BY a.id),
+good AS (SELECT a.*, seg FROM annotations a JOIN hits USING (id) WHERE r <= seg.e + 0.001 AND metafile IN (SELECT metafile FROM entries))
+SELECT concat('conv ', metafile) AS folder, 'conv metafile' AS metafile, 'the log' AS log, concat('conv ', metafile, '/', seg.entry_name) AS audio, seg.entry_name AS soundfile, channel::INTEGER AS channel,
+  least(greatest(l - seg.s, 0), seg.dur)::DOUBLE AS lefttimesec, least(greatest(r - seg.s, 0), seg.dur)::DOUBLE AS righttimesec, top::DOUBLE AS topfreqhz, bottom::DOUBLE AS bottomfreqhz, concat('c', id) AS comment,
+  row_number() OVER (ORDER BY concat('conv ', metafile, '/'), id) AS global_index FROM good""")
+def remap_from_files(spark, d) -> DataFrame:
+    """Annotations remapped from metafiles, logs and recordings in files, which all have the same names in each folder."""
+    rows, _ = remap.remap(spark, fx.deployment(spark, d), default_spacer=5.125)
+    return rows.select(
+        F.col("FolderName").alias("folder"), F.col("MetafileName").alias("metafile"), F.col("AnnotationFileName").alias("log"), F.regexp_extract("AudioPath", "[^/]+/[^/]+$", 0).alias("audio"), "soundfile", "channel",
+        "lefttimesec", "righttimesec", "topfreqhz", "bottomfreqhz", "comment", F.col("global_index").cast("long"),
+    )
+
+
+@query("""WITH r AS (SELECT conv_id, turn, length(text) AS n FROM conversations WHERE role = 'assistant' AND length(text) >= 192),
+s AS (SELECT *, unnest(list_distinct(list_append(list_transform(range((n - 192) // 64 + 1), lambda i: i * 64), n - 192))) AS first FROM r)
+SELECT concat('conv ', conv_id, '/rec_', turn, '.wav') AS recording, first / 64.0::DOUBLE AS window_start, 64 AS samplerate,
+  list_sum(list_transform(range(first, first + 192), lambda i: ((i * 7 + turn) % 101 - 50) * 100))::BIGINT AS total FROM s""")
+def recording_windows(spark, d) -> DataFrame:
+    """Windows of recordings in files, read by the data source."""
+    recordings.register(spark)
+    rows = spark.read.format("recordings").option("path", fx.deployment(spark, d)).load().filter("error is null")
+    total = F.aggregate("samples", F.lit(0).cast("long"), lambda a, x: a + F.round(x.cast("double") * 32768).cast("long"))
+    return rows.select(F.regexp_extract("path", "[^/]+/[^/]+$", 0).alias("recording"), "window_start", "samplerate", total.alias("total"))
+
+
+@query("""SELECT concat('conv ', conv_id, '/rec_', turn, '.wav') AS recording, 64 AS samplerate, 1 AS channels, length(text)::BIGINT AS frames, length(text) / 64.0::DOUBLE AS duration FROM conversations WHERE role = 'assistant'""")
+def recording_info(spark, d) -> DataFrame:
+    """Headers of the recordings in files."""
+    rows = files.recording_info(spark, fx.deployment(spark, d))
+    return rows.select(F.regexp_extract("path", "[^/]+/[^/]+$", 0).alias("recording"), "samplerate", "channels", "frames", "duration")
+
+
+@query(f"""WITH {fx.DETECTIONS} SELECT audio_path, window_index, window_start, window_end, detection_index, start_time, end_time, duration, low_freq, high_freq, confidence FROM detections""")
+def detections_in_files(spark, d) -> DataFrame:
+    """Detections written and read again."""
+    path = f"{shared_folder(spark)}/detections-{uuid.uuid4().hex}"
+    sinks.write_detections(fx.detections(spark, d), path)
+    return files.read_detections(spark, path)
+
+
+@query(f"""WITH {fx.DETECTIONS}, r AS (SELECT audio_path, count(*) AS n, max(confidence) AS confidence FROM detections GROUP BY ALL) SELECT * FROM r""")
+def dataset_stats(spark, d) -> DataFrame:
+    """Statistics written as JSON and read again."""
+    path = f"{shared_folder(spark)}/stats-{uuid.uuid4().hex}"
+    sinks.write_dataset_stats(fx.detections(spark, d).groupBy("audio_path").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence")), path)
+    return spark.read.schema("audio_path string, n long, confidence double").json(path)
+
+
+@query("""WITH p AS (SELECT p_partkey, p_brand, p_name, p_partkey % 3 AS ch, p_size FROM part)
+SELECT concat('b', p_size, '.log') AS log, count(*) AS n, sum(p_partkey)::BIGINT AS keys, max(line) AS last FROM (SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS line FROM p) WHERE ch < 2 GROUP BY p_size""")
+def logs_in_files(spark, d) -> DataFrame:
+    """Logs, one for each size, written and read again: of three rows two are tagged as annotations, and all have a number."""
+    path, key = f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}", F.col("p_partkey")
+    tag = F.when(key % 3 == 0, " AN: ").when(key % 3 == 1, "ft:").otherwise("zz:")
+    line = F.concat_ws("\t", tag, F.lit("s"), F.lit("1"), key, key + 1, F.lit("9.5"), F.lit("5"), F.concat(F.lit("c"), key), F.lit(""))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, line.alias("line")))), lambda x: x["line"]), "\n")
+    logs = fx.read(spark, d, "part").groupBy("p_size").agg(F.concat(F.lit("tag\n"), text).alias("content"))
+    sinks.write_files(logs.select(F.concat(F.lit("b"), "p_size", F.lit(".log")).alias("path"), "content"), path)
+    rows = files.read_annotation_log(spark, path)[0].groupBy(names.basename(F.col("log_path")).alias("log"))
+    return rows.agg(F.count("*").alias("n"), F.sum("left").cast("long").alias("keys"), F.max("line_no").alias("last"))
+
+
+@query("SELECT p_brand AS folder, p_type AS meta, min(p_name) AS first, count(*) AS n FROM part GROUP BY ALL")
+def signatures_in_files(spark, d) -> DataFrame:
+    """Signatures written and read again, in their order."""
+    path = f"{shared_folder(spark)}/signatures-{uuid.uuid4().hex}"
+    part = fx.read(spark, d, "part").select(F.col("p_brand").alias("FolderName"), F.concat(F.lit(" "), "p_type", F.lit(" ")).alias("MetafileName"), F.lit("l").alias("AnnotationFileName"), F.col("p_name").alias("AnnotationName"))
+    part.repartitionByRange("FolderName", "MetafileName").sortWithinPartitions("FolderName", "MetafileName", "AnnotationName").write.option("header", True).csv(path)
+    return files.read_signatures(spark, path).groupBy("folder", "meta").agg(F.min_by("name", "seq").alias("first"), F.count("*").alias("n"))
+
+
+@query(f"""WITH {fx.ANNOTATIONS} SELECT concat(id, '.wav') AS soundfile, channel::INTEGER AS channel, l::DOUBLE AS lefttimesec, r::DOUBLE AS righttimesec, top AS topfreqhz, bottom AS bottomfreqhz, concat('c, "', id, '"') AS comment FROM annotations""")
+def annotations_in_files(spark, d) -> DataFrame:
+    """Annotations written and read again, with typed numbers."""
+    path, text = f"{shared_folder(spark)}/annotations-{uuid.uuid4().hex}", lambda c, tail: F.concat(F.col(c).cast("string"), F.lit(tail))
+    rows = fx.annotations(spark, d).select(
+        *[F.lit("x").alias(c) for c in ("FolderName", "MetafileName", "AnnotationFileName", "AnnotationName", "AudioPath", "notes")], text("id", ".wav").alias("soundfile"), "channel",
+        F.col("left").alias("lefttimesec"), F.col("right").alias("righttimesec"), F.col("top").alias("topfreqhz"), F.col("bottom").alias("bottomfreqhz"), F.concat(F.lit('c, "'), "id", F.lit('"')).alias("comment"),
+    )
+    sinks.write_annotations(rows, path)
+    return files.read_annotations(spark, path)[0].select("soundfile", "channel", "lefttimesec", "righttimesec", "topfreqhz", "bottomfreqhz", "comment")
+
+
+@query(r"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings), m AS (SELECT vec_id, avg(v) AS mean FROM (SELECT vec_id, unnest(x) AS v FROM e) GROUP BY vec_id),
+w AS (SELECT vec_id, n, v - mean AS v FROM (SELECT vec_id, unnest(range(64)) AS n, unnest(x) AS v FROM e) JOIN m USING (vec_id)),
+t AS (SELECT vec_id, n, v * CASE WHEN least(n, 64 - n) < 8 THEN 0.5 * (1 - cos(pi() * least(n, 64 - n) / 8)) ELSE 1 END AS v FROM w),
+p AS (SELECT vec_id, k, (pow(sum(v * cos(2 * pi() * k * n / 64)), 2) + pow(sum(v * sin(2 * pi() * k * n / 64)), 2)) * CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END AS power FROM t, (SELECT unnest(range(33)) AS k) GROUP BY vec_id, k)
+SELECT vec_id, count(*) AS n_bins, arg_max(k * 375.0::DOUBLE, power) AS loudest FROM p GROUP BY vec_id""")
+def spectrograms(spark, d) -> DataFrame:
+    """The loudest bin of each clip's one frame."""
+    rows = fx.read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("samples"), F.lit(int(fx.SAMPLERATE)).alias("samplerate"))
+    db = F.transform("spectrogram.db", lambda row: row[0])
+    out = detect.with_spectrogram(rows).withColumn("db", db)
+    return out.select("vec_id", F.size("db").cast("long").alias("n_bins"), F.get("spectrogram.freqs", (F.array_position("db", F.array_max("db")) - 1).cast("int")).alias("loudest"))
+
+
+@query("""WITH b AS (SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS top, list_max(embedding) > 0.3 AS loud FROM embeddings)
+SELECT concat('v', vec_id) AS audio_path, 0::BIGINT AS window_index, greatest(0, (top + 0.5) / 64 * 3 - 0.375)::DOUBLE AS start_time, least(3, (top + 0.5) / 64 * 3 + 0.375)::DOUBLE AS end_time, 3000.0::DOUBLE AS low_freq, 9000.0::DOUBLE AS high_freq, 0.5::DOUBLE AS confidence FROM b WHERE loud""")
+def detected(spark, d) -> DataFrame:
+    """Windows scored by a detector that marks their highest sample."""
+
+    def make():
+        def score(samples, rates):
+            return [np.array([[(x.argmax() + 0.5) / len(x), 0.5, 0.25, 0.5, 0.5]]) if x.max() > np.float32(0.3) else np.zeros((0, 5)) for x in samples]
+
+        return score
+
+    rows = fx.read(spark, d, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("path"), F.lit(0).alias("window_index"), F.lit(0.0).alias("window_start"), F.lit(int(fx.SAMPLERATE)).alias("samplerate"), F.col("embedding").alias("samples"))
+    return detect.physical_detections(detect.detect(rows, make), 3.0).select("audio_path", "window_index", "start_time", "end_time", "low_freq", "high_freq", "confidence")
+
+
 # Windows and boxes
 
 
@@ -672,9 +794,9 @@ def usable_anchors(spark, d) -> DataFrame:
     return windows.usable_anchors(windows.with_recordings(rows, lengths), 3.0).select("id", "audio_duration", F.col("length").alias("duration"))
 
 
-@query("SELECT user_id AS metafile, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS sequence_index FROM events WHERE event_type = 'click'")
+@query("SELECT user_id AS metafile, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS sequence_index FROM events")
 def sequence_index(spark, d) -> DataFrame:
-    rows = fx.read(spark, d, "events").filter("event_type = 'click'").select(F.col("user_id").alias("metafile"), "event_id")
+    rows = fx.read(spark, d, "events").select(F.col("user_id").alias("metafile"), "event_id")
     return matching.sequence_index(rows, order="event_id").select("metafile", "event_id", F.col("sequence_index").cast("long"))
 
 

@@ -297,5 +297,5 @@ def wav_bytes(samples: np.ndarray, samplerate: int) -> bytes:
             w.setnchannels(x.shape[1])
             w.setsampwidth(2)
             w.setframerate(samplerate)
-            w.writeframes((np.clip(x, -1, 1) * 32767).astype("<i2").tobytes())
+            w.writeframes(np.rint(np.clip(x, -1, 1) * 32767).astype("<i2").tobytes())
         return f.getvalue()

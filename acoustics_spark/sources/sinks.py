@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import signal
 from ..functions.names import relative_to, sanitize_audio, stem
 from ..schemas import ANNOTATIONS, DETECTION_COLUMNS
+from .files import wav_bytes
 
 ANNOTATION_COLUMNS = tuple(x.split()[0] for x in ANNOTATIONS.split(", "))
 
@@ -76,5 +79,42 @@ def filtered_clips(clips: DataFrame, margin: float = 0.0) -> DataFrame:
     return clips.mapInArrow(run, out)
 
 
+def write_files(files: DataFrame, out: str) -> int:
+    """Writes files(path, content) below out, one a row, from the tasks; returns how many. A file has another name until it is
+    whole, so a task that fails or runs twice leaves no half one. For the file systems that Arrow knows."""
+
+    def run(batches):
+        import uuid
+
+        from pyarrow import fs
+
+        where, top = fs.FileSystem.from_uri(re.sub("^file:/+", "/", out))
+        made = set()
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                at = f"{top}/{path}"
+                if (folder := at.rpartition("/")[0]) not in made:
+                    where.create_dir(folder, recursive=True)
+                    made.add(folder)
+                part = f"{at}.{uuid.uuid4().hex}.part"
+                with where.open_output_stream(part) as f:
+                    f.write(content)
+                where.move(part, at)
+            yield pa.record_batch([pa.array([len(b)], pa.int64())], names=["n"])
+
+    return files.select(F.col("path").cast("string"), F.col("content").cast("binary")).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def clip_files(clips: DataFrame) -> DataFrame:
+    """clips(name, samples, samplerate) -> files(path, content): 16-bit recordings."""
+
+    def run(batches):
+        for b in batches:
+            rows = zip(b.column(1).to_pylist(), b.column(2).to_pylist())
+            yield pa.record_batch([b.column(0), pa.array([wav_bytes(np.asarray(x, float), r) for x, r in rows], pa.binary())], names=["path", "content"])
+
+    return clips.select(F.col("name").cast("string"), "samples", F.col("samplerate").cast("int")).mapInArrow(run, "path string, content binary")
+
+
 def write_clips(clips: DataFrame, path: str) -> None:
     clips.write.mode("overwrite").parquet(path)
