@@ -99,7 +99,18 @@ def op10_sharding(spark, sf_dir: str) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Writes documents(doc_id, ...) as one folder a shard, rows in slot order within each file. doc_ids must be unique."""
-    places = shard(docs, shards).select(F.col("doc_id").alias("_doc_id"), "shard", "slot")
-    out = docs.join(places, docs["doc_id"].eqNullSafe(places["_doc_id"])).drop("_doc_id")
+    """Writes documents(doc_id, text, ...) as one folder a shard, rows in slot order within each file. Rows that share an id
+    and a text are paired with their places one by one, so every row is written once."""
+    same = ["doc_id", "size", "text_crc32"]
+    nth = F.row_number().over(Window.partitionBy(*[F.col(f"_{c}") for c in same]).orderBy("_row"))
+    names = [F.col(c).alias(f"_{c}") for c in same]
+    places = shard(docs, shards).select(*names, F.col("row_id").alias("_row"), "shard", "slot").withColumn("_nth", nth).drop("_row")
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    own = docs.select("*", F.col("doc_id").cast("long").alias("_doc_id"), (F.octet_length(text) + 1).cast("long").alias("_size"), F.crc32(text).alias("_text_crc32"), F.monotonically_increasing_id().alias("_row"))
+    own, keys = own.withColumn("_nth", nth), [f"_{c}" for c in same] + ["_nth"]
+    places = places.withColumnsRenamed({k: f"{k}_" for k in keys})
+    met = F.lit(True)
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    out = own.join(places, met).drop(*keys, *[f"{k}_" for k in keys], "_row")
     out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -457,3 +457,8 @@ def test_written_shards(spark, tmp_path):
     sharding.write_shards(docs, f"{tmp_path}/s", 4)
     back = spark.read.parquet(f"{tmp_path}/s")
     assert back.count() == 40 and back.select("shard").distinct().count() == 4
+    texts = [*(f"text {i}" for i in range(20)), *["same"] * 6, None, None, "", "a", "b"]
+    ids = [*range(20), 7, 7, 7, None, None, 7, 8, 8, 8, 30, 30]
+    sharding.write_shards(table(spark, texts, ids), f"{tmp_path}/t", 4)
+    back = [(r.doc_id, r.text) for r in spark.read.parquet(f"{tmp_path}/t").collect()]
+    assert Counter(back) == Counter(zip(ids, texts))
