@@ -13,17 +13,18 @@ from .store import Tables
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # terms, which are what lies between
 PLACE_BITS = 24  # terms are told apart by as many bits where documents are counted: the lexicon is 2 MB, whatever the corpus
 LEAST_DOCS, MOST_SHARE = 2, 50  # the band: terms of LEAST_DOCS documents or more, and of at most one in MOST_SHARE
-SCALES, CLASS_BITS = 6, 4  # 16 lexicons a scale, each of 1/16 of the terms, 1/64 .. 1/16384: long and short texts have some of few terms
+SCALES, CLASS_BITS = 10, 3  # 8 lexicons a scale, each of 1/8 of the terms, 1/16 .. 1/4096: long and short texts have some of few terms
 CLASSES = 1 << CLASS_BITS
+FIELD, FIELDS = 3, 8  # the bits of a number that name its lexicon at a scale: the next three for each, from the ninth on again
 WHOLE, PART, NONE = 16, 4, "----"  # hex digits of the band's hash and of a lexicon's; a lexicon without a term of the text
 DOCS_PER_RANGE, MOST_RANGES = 2000, 1 << 14
 
 
 def term_numbers(text: Column) -> Column:
-    """The distinct lower-cased terms of a text, sorted, each as the 60-bit number that its MD5 begins with."""
+    """The distinct terms of a text, as they are written, each as the 60-bit number that its MD5 begins with."""
     number = lambda w: F.conv(F.substring(F.md5(w), 1, 15), 16, 10).cast("long")
-    words = F.array_remove(F.array_distinct(F.split(F.lower(text), BETWEEN)), "")
-    return F.sort_array(F.transform(words, number))
+    words = F.array_remove(F.array_distinct(F.split(text, BETWEEN)), "")
+    return F.transform(words, number)
 
 
 def _bits(number: Column, first: int, n: int) -> Column:
@@ -50,12 +51,12 @@ def with_fingerprint(rows: DataFrame, words: DataFrame, text: str, name: str) ->
     at = lambda t: F.get(F.col("_lexicon"), _bits(t, 6, PLACE_BITS - 6).cast("int"))
     rows = rows.withColumn("_all", term_numbers(F.col(text))).withColumn("_lexicon", words.scalar())
     rows = rows.withColumn("_0", F.filter("_all", lambda t: F.getbit(at(t), _bits(t, 0, 6).cast("int")) == 1)).drop("_lexicon")
-    rows = rows.withColumn("_0", F.when(F.size("_0") > 0, F.col("_0")).otherwise(F.col("_all")))
+    rows = rows.withColumn("_0", F.sort_array(F.when(F.size("_0") > 0, F.col("_0")).otherwise(F.col("_all"))))
     for s in range(1, SCALES):
-        rows = rows.withColumn(f"_{s}", F.filter(f"_{s - 1}", lambda t: _bits(t, PLACE_BITS + 2 * s - 2, 2) == 0))  # noqa: B023
-    field = PLACE_BITS + 2 * (SCALES - 1)
+        rows = rows.withColumn(f"_{s}", F.filter(f"_{s - 1}", lambda t: _bits(t, PLACE_BITS + s - 1, 1) == 0))  # noqa: B023
+    field = PLACE_BITS + SCALES - 1
     digest = lambda terms, n: F.left(F.md5(F.array_join(terms.cast("array<string>"), ",")), F.lit(n))
-    parts = [F.filter(f"_{s}", lambda t: _bits(t, field + CLASS_BITS * s, CLASS_BITS) == c) for s in range(SCALES) for c in range(CLASSES)]  # noqa: B023
+    parts = [F.filter(f"_{s}", lambda t: _bits(t, field + FIELD * (s % FIELDS), CLASS_BITS) == c) for s in range(SCALES) for c in range(CLASSES)]  # noqa: B023
     rows = rows.withColumn("_parts", F.array(*parts))
     whole = F.when(F.size("_all") > 0, digest(F.col("_0"), WHOLE)).otherwise(F.left(F.md5(text), F.lit(WHOLE)))
     lexicons = F.transform("_parts", lambda p: F.when(F.size(p) > 0, digest(p, PART)).otherwise(NONE))
@@ -121,14 +122,14 @@ def op12_imatch(spark, sf_dir: str) -> DataFrame:
 
 def oracle_sql() -> str:
     def numbers(text: str) -> str:
-        return rf"list_sort(list_transform(list_distinct(regexp_extract_all(lower({text}), '{BETWEEN.replace('[', '[^')}')), lambda w: ('0x' || md5(w)[1:15])::BIGINT))"
+        return rf"list_sort(list_transform(list_distinct(regexp_extract_all({text}, '{BETWEEN.replace('[', '[^')}')), lambda w: ('0x' || md5(w)[1:15])::BIGINT))"
 
     band = f"(SELECT coalesce(list(place), []) FROM (SELECT place, count(*) AS n FROM (SELECT unnest(list_distinct(list_transform(t, lambda x: x & {(1 << PLACE_BITS) - 1}))) AS place FROM terms) GROUP BY place) WHERE n >= {LEAST_DOCS} AND n * {MOST_SHARE} <= (SELECT count(*) FROM documents))"
-    field = PLACE_BITS + 2 * (SCALES - 1)
+    field = PLACE_BITS + SCALES - 1
     parts = []
     for s in range(SCALES):
         for c in range(CLASSES):
-            own = f"list_filter(b, lambda x: (x >> {PLACE_BITS}) & {(1 << 2 * s) - 1} = 0 AND (x >> {field + CLASS_BITS * s}) & {CLASSES - 1} = {c})"
+            own = f"list_filter(b, lambda x: (x >> {PLACE_BITS}) & {(1 << s) - 1} = 0 AND (x >> {field + FIELD * (s % FIELDS)}) & {CLASSES - 1} = {c})"
             parts.append(f"CASE WHEN len({own}) > 0 THEN md5(array_to_string({own}, ','))[1:{PART}] ELSE '{NONE}' END")
     digest = f"CASE WHEN len(b) > 0 THEN md5(array_to_string(b, ','))[1:{WHOLE}] ELSE md5(text)[1:{WHOLE}] END || " + " || ".join(parts)
 
