@@ -153,10 +153,13 @@ def resolve_log(metafiles: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def match_overrides(metafiles: DataFrame, overrides: DataFrame) -> DataFrame:
-    """metafiles(metafile, file, folder) -> (metafile, name, seconds) of the first candidate that overrides(name, seconds) have."""
+    """metafiles(metafile, file, folder) -> (metafile, name, seconds) of the first candidate that overrides(name, seconds) have.
+
+    The candidates, a dozen a metafile, look small by the bytes of the file that metafiles are read from; in joins to the
+    left they are never what is broadcast."""
     tries = metafiles.select("metafile", F.posexplode(metafile_candidates(F.col("file"), F.col("folder"))).alias("rank", "name"))
-    hits = tries.join(overrides, "name").groupBy("metafile").agg(F.min(F.struct("rank", "name", "seconds")).alias("o"))
-    return hits.select("metafile", "o.name", "o.seconds")
+    hits = tries.join(overrides.select("name"), "name", "left_semi").join(overrides, "name", "left")
+    return hits.groupBy("metafile").agg(F.min(F.struct("rank", "name", "seconds")).alias("o")).select("metafile", "o.name", "o.seconds")
 
 
 def unused_overrides(overrides: DataFrame, matched: DataFrame) -> DataFrame:

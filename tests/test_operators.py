@@ -310,3 +310,14 @@ def test_signal_helpers():
     for k in (1, 2, 3, 4, 5):
         a = np.random.default_rng(k).random((3, 9))
         assert np.allclose(signal.smoothed(a, k), [np.convolve(r, np.ones(k) / k, mode="same") for r in a])
+
+
+def test_overrides_alone_are_broadcast(spark, tmp_path):
+    """Metafiles of a file of a few bytes, whose candidates are far more rows than that looks like."""
+    spark.range(2000).selectExpr("id as metafile", "concat('day ', id % 7, ' metafile.txt') as file", "'trip_metafile' as folder").write.parquet(str(tmp_path / "m"))
+    metafiles = spark.read.parquet(str(tmp_path / "m"))
+    overrides = spark.createDataFrame([("day 3", 2.5), ("trip", 4.0), ("never", 1.0)], "name string, seconds double").repartition(2)
+    matched = matching.match_overrides(metafiles, overrides)
+    plan = matched._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and "Inner" not in plan
+    assert {tuple(r) for r in matched.groupBy("name", "seconds").count().collect()} == {("day 3", 2.5, 286), ("trip", 4.0, 1714)}
