@@ -163,7 +163,8 @@ def match_overrides(metafiles: DataFrame, overrides: DataFrame) -> DataFrame:
 
 
 def unused_overrides(overrides: DataFrame, matched: DataFrame) -> DataFrame:
-    return overrides.join(matched.select("name"), "name", "left_anti").orderBy("name")
+    """The overrides that none of matched(name) has, by name; their distinct names are joined, not a row a metafile."""
+    return overrides.join(matched.select("name").distinct(), "name", "left_anti").orderBy("name")
 
 
 def sequence_index(rows: DataFrame, key: str = "metafile", order: str = "line_no") -> DataFrame:

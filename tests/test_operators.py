@@ -321,3 +321,10 @@ def test_overrides_alone_are_broadcast(spark, tmp_path):
     plan = matched._jdf.queryExecution().executedPlan().toString()
     assert "BuildLeft" not in plan and "Inner" not in plan
     assert {tuple(r) for r in matched.groupBy("name", "seconds").count().collect()} == {("day 3", 2.5, 286), ("trip", 4.0, 1714)}
+
+
+def test_names_of_matched_overrides_are_joined_once(spark):
+    overrides = spark.createDataFrame([("day", 2.5), ("never", 1.0)], "name string, seconds double")
+    unused = matching.unused_overrides(overrides, spark.range(5000).selectExpr("id as metafile", "if(id % 2 = 0, 'day', 'night') as name"))
+    assert "Aggregate [name" in unused._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in unused.collect()] == [("never", 1.0)]
