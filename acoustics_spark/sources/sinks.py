@@ -13,6 +13,7 @@ from ..functions.names import relative_to, sanitize_audio, stem
 from ..schemas import ANNOTATIONS, DETECTION_COLUMNS
 from .files import wav_bytes
 
+AT_ONCE = 1 << 23  # bytes of recordings that a task gathers before it gives them
 ANNOTATION_COLUMNS = tuple(x.split()[0] for x in ANNOTATIONS.split(", "))
 
 
@@ -91,14 +92,14 @@ def write_files(files: DataFrame, out: str) -> int:
         where, top = fs.FileSystem.from_uri(re.sub("^file:/+", "/", out))
         made = set()
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                at = f"{top}/{path}"
+            for path, content in zip(b.column(0), b.column(1)):
+                at = f"{top}/{path.as_py()}"
                 if (folder := at.rpartition("/")[0]) not in made:
                     where.create_dir(folder, recursive=True)
                     made.add(folder)
                 part = f"{at}.{uuid.uuid4().hex}.part"
                 with where.open_output_stream(part) as f:
-                    f.write(content)
+                    f.write(content.as_buffer())
                 where.move(part, at)
             yield pa.record_batch([pa.array([len(b)], pa.int64())], names=["n"])
 
@@ -106,12 +107,18 @@ def write_files(files: DataFrame, out: str) -> int:
 
 
 def clip_files(clips: DataFrame) -> DataFrame:
-    """clips(name, samples, samplerate) -> files(path, content): 16-bit recordings."""
+    """clips(name, samples, samplerate) -> files(path, content): 16-bit recordings. A task turns one clip at a time and gives
+    AT_ONCE bytes of them (or one), so what it holds hangs neither on the batches nor on the number of clips."""
 
     def run(batches):
         for b in batches:
-            rows = zip(b.column(1).to_pylist(), b.column(2).to_pylist())
-            yield pa.record_batch([b.column(0), pa.array([wav_bytes(np.asarray(x, float), r) for x, r in rows], pa.binary())], names=["path", "content"])
+            first, out, held = 0, [], 0
+            for i, (x, rate) in enumerate(zip(b.column(1), b.column(2)), 1):
+                out.append(wav_bytes(np.asarray(x.values, float), rate.as_py()))
+                held += len(out[-1])
+                if held >= AT_ONCE or i == len(b):
+                    yield pa.record_batch([b.column(0).slice(first, i - first), pa.array(out, pa.binary())], names=["path", "content"])
+                    first, out, held = i, [], 0
 
     return clips.select(F.col("name").cast("string"), "samples", F.col("samplerate").cast("int")).mapInArrow(run, "path string, content binary")
 

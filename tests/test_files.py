@@ -1,6 +1,7 @@
 """Readers and writers on small files, the jobs end to end, and streams against batch."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -447,3 +448,23 @@ def test_zero_phase_filter(spark):
             out = out[::-1]
         want.append(out[edge:-edge])
     assert np.allclose(y, want, atol=1e-12) and np.array_equal(signal.bandpass(x, RATE, 0, 12000), x)
+
+
+def test_files_of_a_deployment_are_opened_once(spark, deployment):
+    """Readers' results are held, as several joins ask for them; plans behind them don't go back to the files."""
+    root = str(deployment)
+    rows, rejects = remap.remap(spark, root)
+    for df in (rows, rejects):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Relation" not in plan and "MapInArrow" not in plan
+
+
+def test_clips_are_turned_one_at_a_time(spark, monkeypatch):
+    """However many there are in a batch, a task holds AT_ONCE bytes of recordings."""
+    monkeypatch.setattr(sinks, "AT_ONCE", 1000)
+    clips = spark.range(9, numPartitions=1).selectExpr("concat('c', id) as name", "transform(sequence(1, 200 + id), i -> i / 1000D) as samples", "8000 as samplerate")
+    got = sinks.clip_files(clips)
+    sizes = got.mapInArrow(lambda batches: (pa.record_batch([pa.array([len(b)])], names=["n"]) for b in batches), "n long")
+    assert sizes.agg({"n": "sum"}).first()[0] == 9
+    want = {f"c{i}": files.wav_bytes(np.arange(1, 201 + i) / 1000, 8000) for i in range(9)}
+    assert {r.path: bytes(r.content) for r in got.collect()} == want
