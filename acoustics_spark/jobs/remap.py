@@ -7,6 +7,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.names import basename, folder_name, output_stem, parent, path_below, stem, top_level_folder
 from ..operators import matching, splits, timeline
 from ..sources import files, sinks
+from ..store import cut
+
+
+TASKS_PER_CORE = 4  # that read files; small ones are opened many in a task
+
+
+def wavs_of(listing: DataFrame) -> DataFrame:
+    """The recordings of a listing(path)."""
+    return listing.filter(F.endswith(F.lower("path"), F.lit(".wav")))
 
 
 def placed_metafiles(metafiles: DataFrame, root: str) -> DataFrame:
@@ -57,18 +66,21 @@ def remap(
 
     recordings(path, duration) is the catalogue, by default the headers of what lies below root; signatures(folder, meta,
     log, name, seq) choose metafiles, logs and names, overrides(name, seconds) spacers. With ``spacer_recordings`` a spacer
-    that is a recording lasts as long as it does. Two listings of root and one pass over its logs; all joins are by key.
+    that is a recording lasts as long as it does. What is listed and read is checkpointed, as several joins ask for it: every
+    metafile, header and log is opened once. All joins are by key.
     """
     root = root.rstrip("/")
-    listing = files.list_files(spark, root).select("path")
-    entries, rejects = files.parse_metafiles(files.read_metafiles(spark, root))
+    tasks = spark.sparkContext.defaultParallelism * TASKS_PER_CORE
+    held = lambda df: cut(df.coalesce(tasks))
+    listing = held(files.list_files(spark, root).select("path"))
+    entries, rejects = files.parse_metafiles(held(files.read_metafiles(spark, root)))
     place = placed_metafiles(entries.select("metafile", "log_ref").distinct(), root)
     if recordings is None:
-        recordings = files.recording_info(spark, root).filter("error is null").select("path", "duration")
+        recordings = held(files.recording_info(spark, wavs_of(listing)).filter("error is null").select("path", "duration"))
     logs, unknown = chosen_logs(place, listing, signatures)
     place = place.join(logs.select("metafile"), "metafile", "left_semi")
     segments, lost = timelines(entries, place, recordings, overrides, audio_dir, default_spacer, spacer_recordings)
-    good, bad = files.read_annotation_log(spark, root, recursive=True)
+    good, bad = files.read_annotation_log(spark, root, recursive=True, held=held)
     rows = good.join(logs, "log_path")
     bad = bad.join(logs, "log_path").select("metafile", F.concat(F.lit("bad value in row "), "line_no").alias("reason"))
     if signatures is not None:

@@ -64,13 +64,13 @@ def typed(rows: DataFrame, doubles, ints) -> tuple[DataFrame, DataFrame]:
 
 
 def numbered(rows: DataFrame, name: str) -> DataFrame:
-    """rows that :func:`placed` has read, with each one's number in its file from 1. Rows are numbered within the file's
+    """rows that :func:`placed` has read, with each one's number in its file from 1, in the order of ``_row`` if they have it. Rows are numbered within the file's
     blocks, and blocks by the counts of those before, so no task has a whole file."""
     counts = rows.groupBy("_file", "_block").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select("_file", "_block", F.coalesce(before, F.lit(0)).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_row"))
-    rows = rows.withColumn("_row", F.monotonically_increasing_id()).join(counts, ["_file", "_block"])
+    rows = (rows if "_row" in rows.columns else rows.withColumn("_row", F.monotonically_increasing_id())).join(counts, ["_file", "_block"])
     return rows.withColumn(name, F.col("_before") + own).drop("_before", "_row", "_file", "_block")
 
 
@@ -79,17 +79,18 @@ def placed(rows: DataFrame, *columns) -> DataFrame:
     return rows.select(*columns, read_from().alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
 
 
-def read_annotation_log(spark: SparkSession, paths, recursive: bool = False) -> tuple[DataFrame, DataFrame]:
+def read_annotation_log(spark: SparkSession, paths, recursive: bool = False, held: Callable = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """Tab-separated logs -> (good, rejects): rows tagged ``an:`` or ``ft:`` with typed channel, times and frequencies, the
     log's path, and ``line_no``, a row's number in it from 1, others counted. With ``recursive`` every file below paths is
-    taken for a log but recordings and metafiles, which aren't read."""
+    taken for a log but recordings and metafiles, which aren't read. ``held`` is given the rows as read and may store them."""
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     rows = reader.csv(paths, sep="\t", header=True, schema=LOG, mode="PERMISSIVE", enforceSchema=True)
     if recursive:
         path = F.lower("_metadata.file_path")
         rows = rows.filter(~F.endswith(path, F.lit(".wav")) & ~F.endswith(path, F.lit("metafile.txt")))
     known = [x.split()[0] for x in LOG.split(", ")]
-    rows = numbered(placed(rows, *known, read_from().alias("log_path")), "line_no").filter(F.lower(F.trim("tag")).isin("an:", "ft:"))
+    rows = held(placed(rows, *known, read_from().alias("log_path")).withColumn("_row", F.monotonically_increasing_id()))
+    rows = numbered(rows, "line_no").filter(F.lower(F.trim("tag")).isin("an:", "ft:"))
     good, bad = typed(rows, ("left", "right", "top", "bottom"), ("channel",))
     short = F.col("comment").isNull()
     return good.filter(~short), bad.unionByName(good.filter(short).select([F.col(f.name).cast(f.dataType).alias(f.name) for f in bad.schema]))
