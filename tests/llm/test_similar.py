@@ -79,6 +79,29 @@ def test_large_buckets_meet_by_parts(spark, monkeypatch, block):
         assert {r.doc_id: r.component_id for r in similar.similar_documents(docs).collect()} == slow_groups(rows)
 
 
+def test_pairs_that_share_many_parts_are_made_once(spark, tmp_path):
+    """Near copies that are all components of their own, each in 40 buckets with all others."""
+    tables = similar.Tables(spark, "test")
+    left = tables.write(spark.range(30).selectExpr("id as node", "100 as n", "0 as at", "id as root").crossJoin(spark.range(40).selectExpr("id * 7 - 100 as token")))
+    near = tables.write(spark.range(30).selectExpr("id as node", *[f"0L as w{i}" for i in range(similar.WORDS)]))
+    pairs = similar._across(left, tables.write(similar._mixed(left)), near, tables, similar.FIRST).collect()
+    assert len(pairs) == 30 * 29 // 2 == len({tuple(p) for p in pairs})
+
+
+@pytest.mark.parametrize("order", ["none", "backwards"])
+def test_counts_of_shingles_change_no_group(spark, monkeypatch, order):
+    """They order shingles alone: the groups are the same without any, and with the frequent ones held for the rarest."""
+    rows, real = texts(), similar.common_shingles
+
+    def common(docs, tables, width):
+        h, n = real(docs, tables, width)
+        return (h[:0], n[:0]) if order == "none" else (h, n.max() + 1 - n)
+
+    monkeypatch.setattr(similar, "common_shingles", common)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in similar.similar_documents(docs).collect()} == slow_groups(rows)
+
+
 def test_similar_sets_share_a_part_and_unlike_ones_hardly_do():
     r, met = np.random.default_rng(4), 0
     for _ in range(3000):
