@@ -1,4 +1,4 @@
-"""Phrase collocations: merged count-min sketches name what may be frequent, a last pass counts that alone, exactly."""
+"""Phrase collocations: merged count-min sketches say what may be frequent, two last passes count that alone and name it."""
 
 from __future__ import annotations
 
@@ -19,6 +19,7 @@ BYTES_PER_CELL, LEAST_CELLS, MOST_CELLS = 64, 16, 23  # of text; powers of two o
 CHUNK = 1 << 14  # cells of a sketch that travel as one row
 AT_ONCE = 1 << 20  # words that a task holds before it counts them
 HELD = 1 << 19  # phrases that a task adds up before it gives them
+PART = 1 << 12  # cells whose counts travel as one row
 SALTS = 32  # parts that a language's phrases are ranked in first
 STEP = np.uint64(0x9E3779B97F4A7C15)  # odd multipliers of the hashes
 MULTIPLIERS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -36,7 +37,7 @@ class Words:
     def __init__(self, lang: str):
         self.number: dict[bytes, int] = defaultdict()
         self.number.default_factory = self.number.__len__
-        self.lang, self.seen = lang, []
+        self.lang, self.seen, self.hashed = lang, [], []
         self.number[b"."], self.n = 0, 0
 
     def add(self, text: bytes | None) -> None:
@@ -45,6 +46,12 @@ class Words:
             self.seen.append(np.fromiter((number[x] for x in words), np.int64, len(words)))
             self.seen.append(np.zeros(1, np.int64))
             self.n += len(words)
+            self.hashed.append((len(words) + 1, max(xxhash.xxh32_intdigest(text), 1)))
+
+    def texts(self) -> np.ndarray:
+        """By place, a hash of its text that is not 0."""
+        many, hashes = zip(*self.hashed) if self.hashed else ((), ())
+        return np.repeat(np.array(hashes, np.uint32), many)
 
     def sequence(self) -> np.ndarray:
         return np.concatenate(self.seen) if self.seen else np.zeros(0, np.int64)
@@ -172,42 +179,139 @@ def frequent_cells(rows: DataFrame, bitmaps: list[np.ndarray], power: int, least
     return out.reshape(ROWS, -1)
 
 
-def exact_counts(rows: DataFrame, bitmaps: list[np.ndarray], power: int) -> DataFrame:
-    """(lang, size, phrase, n): exact counts of the phrases whose cells are all set, and of all words as size 0. A task counts
-    AT_ONCE words at a time and adds these counts up; phrases are told apart by their words' numbers, not by hashes."""
+class Survivors:
+    """Numbers of the cells that are set in the first row of the bitmaps, those of all levels in one sequence."""
+
+    def __init__(self, bitmaps: list[np.ndarray], power: int):
+        self.set, self.power = [np.flatnonzero(np.unpackbits(b[0])) for b in bitmaps], power
+        self.start = np.cumsum([0, *map(len, self.set)])
+        self.level = {k: i for i, sizes in enumerate(LEVELS) for k in sizes}
+
+    def __len__(self) -> int:
+        return int(self.start[-1])
+
+    def of(self, k: int, h: np.ndarray) -> np.ndarray:
+        i = self.level[k]
+        return self.start[i] + np.searchsorted(self.set[i], cells(h, 0, self.power))
+
+
+def cell_totals(rows: DataFrame, bitmaps: list[np.ndarray], power: int) -> DataFrame:
+    """(part, totals, chosen): by PART cells of Survivors how often their phrases occur (int64), and the least hash of a text
+    that has one (uint32), or 0 where phrases of several 64-bit hashes share the cell, in one task or between tasks."""
     shared = rows.sparkSession.sparkContext.broadcast(bitmaps)
+    kind = np.dtype([("at", "<u2"), ("hash", "<u8"), ("n", "<i8"), ("text", "<u4")])
+
+    def add(into, at, h, n, text):
+        """Texts of 0 stand for several phrases; places may repeat, those with unlike hashes do as well."""
+        old = into["n"][at] > 0
+        several = at[(text == 0) | old & (into["hash"][at] != h)]
+        into["text"][at[~old]] = np.iinfo(np.uint32).max
+        into["hash"][at] = h
+        several = np.append(several, at[into["hash"][at] != h])
+        np.add.at(into["n"], at, n)
+        np.minimum.at(into["text"], at, text)
+        into["text"][several] = 0
+
+    def run(batches):
+        numbers = Survivors(shared.value, power)
+        found = {x: np.zeros(len(numbers), kind[x]) for x in ("hash", "n", "text")}
+        for words in _gathered(batches):
+            texts = words.texts()
+            for k, h, where in survivors(words, shared.value, power):
+                one, first, times = np.unique(h[where], return_index=True, return_counts=True)
+                add(found, numbers.of(k, one), one, times, texts[where[first]])
+        for part in range(-(-len(numbers) // PART)):
+            own = {x: v[part * PART : (part + 1) * PART] for x, v in found.items()}
+            if len(at := np.flatnonzero(own["n"])):
+                out = np.zeros(len(at), kind)
+                out["at"] = at
+                for x, v in own.items():
+                    out[x] = v[at]
+                yield pa.record_batch([pa.array([part], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["part", "cells"])
+
+    def merge(batches):
+        last, total = None, {}
+
+        def given():
+            data = [pa.array([total[x].tobytes()], pa.binary()) for x in ("n", "text")]
+            return pa.record_batch([pa.array([last], pa.int32()), *data], names=["part", "totals", "chosen"])
+
+        for b in batches:
+            for part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if part != last:
+                    if last is not None:
+                        yield given()
+                    last, total = part, {x: np.zeros(PART, kind[x]) for x in ("hash", "n", "text")}
+                new = np.frombuffer(data, kind)
+                add(total, new["at"].astype(np.int64), *(new[x] for x in ("hash", "n", "text")))
+        if last is not None:
+            yield given()
+
+    partial = rows.mapInArrow(run, "part int, cells binary")
+    return partial.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "part int, totals binary, chosen binary")
+
+
+def exact_counts(rows: DataFrame, bitmaps: list[np.ndarray], power: int, tables: Tables | None = None) -> DataFrame:
+    """(lang, size, phrase, n): exact counts of the phrases whose cells are all set, and of all words as size 0.
+
+    Cells are counted first, in arrays that tasks add up whatever the number of their phrases. A cell of one phrase then has its
+    count, and only the text chosen for it (or its copies) names the phrase, so names are not given once a task. Where
+    phrases share a cell, every task gives its counts of them. To the driver come four bytes a set cell.
+    """
+    tables = tables or Tables(rows.sparkSession, "phrases")
+    totals = tables.write(cell_totals(rows, bitmaps, power))
+    chosen = np.zeros((-(-len(Survivors(bitmaps, power)) // PART), PART), np.uint32)
+    for part, data in totals.select("part", "chosen").collect():
+        chosen[part] = np.frombuffer(data, np.uint32)
+    shared = rows.sparkSession.sparkContext.broadcast((bitmaps, chosen.ravel()))
 
     def run(batches):
+        bitmaps, chosen = shared.value
+        numbers = Survivors(bitmaps, power)
+        named: dict[tuple[str, bytes], int] = {}
         held: dict[str, dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
 
         def given():
-            for lang, found in held.items():
-                names = list(found)
-                for i in range(0, len(names), 1 << 16):
-                    part = names[i : i + (1 << 16)]
-                    sizes = [x.count(b" ") + 1 if x else 0 for x in part]
-                    columns = [pa.array([lang] * len(part), pa.string()), pa.array(sizes, pa.int32()), pa.array(part, pa.binary()), pa.array([found[x] for x in part], pa.int64())]
-                    yield pa.record_batch(columns, names=["lang", "size", "phrase", "n"])
+            rows = [(lang, x, n, None) for lang, found in held.items() for x, n in found.items()]
+            rows += [(lang, x, None, cell) for (lang, x), cell in named.items()]
+            for i in range(0, len(rows), 1 << 16):
+                langs, part, n, cell = zip(*rows[i : i + (1 << 16)])
+                sizes = [x.count(b" ") + 1 if x else 0 for x in part]
+                columns = [pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(part, pa.binary()), pa.array(n, pa.int64()), pa.array(cell, pa.int64())]
+                yield pa.record_batch(columns, names=["lang", "size", "phrase", "n", "cell"])
             held.clear()
+            named.clear()
 
         for words in _gathered(batches):
-            at = words.sequence()
-            names, own = list(words.number), held[words.lang]
+            at, texts, lang = words.sequence(), words.texts(), words.lang
+            names, own = list(words.number), held[lang]
             own[b""] += int((at > 0).sum())
-            ids = at
-            for k, h, where in survivors(words, shared.value, power):
-                numbers = ids[where] if k == 1 else ids[where] << 32 | at[where + k - 1]  # both are under 2 ** 31
-                _, first, back, times = np.unique(numbers, return_index=True, return_inverse=True, return_counts=True)
-                ids = np.zeros(len(h), np.int64)
-                ids[where] = back
-                for i, m in zip(where[first].tolist(), times.tolist()):
-                    own[b" ".join([names[j] for j in at[i : i + k]])] += m
-            if sum(map(len, held.values())) >= HELD:
+            for k, h, where in survivors(words, bitmaps, power):
+                cell = numbers.of(k, h[where])
+                phrase = lambda i: b" ".join([names[j] for j in at[i : i + k]])  # noqa: B023, E731
+                here = np.flatnonzero(chosen[cell] == texts[where])
+                _, first = np.unique(cell[here], return_index=True)
+                for j in here[first].tolist():
+                    named[lang, phrase(where[j])] = int(cell[j])
+                several = where[chosen[cell] == 0]
+                _, first, times = np.unique(at[several[:, None] + np.arange(k)], axis=0, return_index=True, return_counts=True)
+                for i, m in zip(several[first].tolist(), times.tolist()):
+                    own[phrase(i)] += m
+            if len(named) + sum(map(len, held.values())) >= HELD:
                 yield from given()
         yield from given()
 
-    found = rows.mapInArrow(run, "lang string, size int, phrase binary, n long")
-    return found.groupBy("lang", "size", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("n").alias("n"))
+    def spread(batches):
+        for b in batches:
+            for part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                n = np.frombuffer(data, np.int64)
+                at = np.flatnonzero(n)
+                yield pa.record_batch([pa.array(part * PART + at, pa.int64()), pa.array(n[at])], names=["cell", "total"])
+
+    found = rows.mapInArrow(run, "lang string, size int, phrase binary, n long, cell long")
+    found = tables.write(found.groupBy("lang", "size", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("n").alias("n"), F.max("cell").alias("cell")))
+    whole = found.filter("cell is not null").join(totals.select("part", "totals").mapInArrow(spread, "cell long, total long"), "cell")
+    return found.filter("cell is null").select("lang", "size", "phrase", "n").unionAll(whole.select("lang", "size", "phrase", F.col("total").alias("n")))
 
 
 def exact_score(a: Column, n: Column, left: Column, right: Column) -> Column:
@@ -264,7 +368,7 @@ def collocations(docs: DataFrame, least: int = LEAST, most: int = MOST, power: i
     bitmaps: list[np.ndarray] = []
     for _ in LEVELS:
         bitmaps.append(frequent_cells(rows, bitmaps, power, least))
-    counts = tables.write(exact_counts(rows, bitmaps, power).filter((F.col("size") == 0) | (F.col("n") >= least)))
+    counts = tables.write(exact_counts(rows, bitmaps, power, tables).filter((F.col("size") == 0) | (F.col("n") >= least)))
     phrases = tables.write(scored(counts, least))
     left = phrases.join(subsumed(phrases), ["lang", "phrase"], "left_anti")
     out = tables.write(first_of_each(left, most).select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))

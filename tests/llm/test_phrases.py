@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from acoustics_spark.llm import phrases
@@ -56,6 +57,39 @@ def test_the_sketch_loses_nothing_frequent_and_leaves_out_most(spark, rows):
     assert len(found) < len(every) / 4
 
 
+def partial_rows(spark, docs, bitmaps, power, monkeypatch):
+    """Rows that the tasks of the last pass give, and exact_counts by language and phrase."""
+    given, plain = [], type(docs).groupBy
+    monkeypatch.setattr(type(docs), "groupBy", lambda df, *by: given.append(df.count()) or plain(df, *by))
+    counts = {(r.lang, r.phrase): r.n for r in phrases.exact_counts(docs, bitmaps, power).collect()}
+    monkeypatch.setattr(type(docs), "groupBy", plain)
+    return given[0], counts
+
+
+def test_names_are_given_once_however_many_tasks(spark, rows, monkeypatch):
+    power = 20
+    docs = frame(spark, [(i, f"{t} n{j}", g) for j, (i, t, g) in enumerate(rows * 3)]).selectExpr("coalesce(lang, 'und') AS lang", "cast(text AS binary) AS text")
+    bitmaps = []
+    for _ in phrases.LEVELS:
+        bitmaps.append(phrases.frequent_cells(docs, bitmaps, power, 20))
+    few, counts = partial_rows(spark, docs.repartition(2), bitmaps, power, monkeypatch)
+    many, again = partial_rows(spark, docs.repartition(16), bitmaps, power, monkeypatch)
+    assert counts == again and len(counts) > 300
+    assert many < 2 * len(counts)  # before, up to 16 times as many: a row a phrase and task
+
+
+def test_phrases_that_share_a_cell_are_told_apart(spark, rows):
+    docs = frame(spark, rows).selectExpr("coalesce(lang, 'und') AS lang", "cast(text AS binary) AS text").repartition(5)
+    every = np.zeros((phrases.ROWS, 1 << 11), np.uint8)
+    every[:, ::512] = 255  # all cells of 32 groups of eight are set, so that each holds several words
+    bitmaps = [every, every, every]
+    kept = {(r.lang, r.phrase): r.n for r in phrases.exact_counts(docs, bitmaps, 14).collect()}
+    words = Counter((lang or "und", w.decode()) for _, t, lang in rows for w in phrases.tokens((t or "").encode()) if w not in (b"", b"."))
+    full = [np.full((phrases.ROWS, 1 << 11), 255, np.uint8)] * 3
+    found = {(r.lang, r.phrase): r.n for r in phrases.exact_counts(docs, full, 3 + 11).collect()}
+    assert all(found[w] == n for w, n in words.items()) and all(found[p] == n for p, n in kept.items())
+
+
 def test_products_past_64_bits(spark):
     counts = [("en", 0, "", 9 * 10**14), ("en", 1, "a", 7 * 10**13), ("en", 1, "b", 3 * 10**13 + 1), ("en", 2, "a b", 10**13 + 3)]
     row = phrases.scored(spark.createDataFrame(counts, "lang string, size int, phrase string, n long")).first()
