@@ -20,6 +20,7 @@ CHUNK = 1 << 14  # cells of a sketch that travel as one row
 AT_ONCE = 1 << 20  # words that a task holds before it counts them
 HELD = 1 << 19  # phrases that a task adds up before it gives them
 PART = 1 << 12  # cells whose counts travel as one row
+MOST_COUNTED = 1 << 22  # set cells that are counted as such; a task holds 20 bytes each
 SALTS = 32  # parts that a language's phrases are ranked in first
 STEP = np.uint64(0x9E3779B97F4A7C15)  # odd multipliers of the hashes
 MULTIPLIERS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -256,14 +257,17 @@ def exact_counts(rows: DataFrame, bitmaps: list[np.ndarray], power: int, tables:
 
     Cells are counted first, in arrays that tasks add up whatever the number of their phrases. A cell of one phrase then has its
     count, and only the text chosen for it (or its copies) names the phrase, so names are not given once a task. Where
-    phrases share a cell, every task gives its counts of them. To the driver come four bytes a set cell.
+    phrases share a cell, or beyond MOST_COUNTED cells, every task gives its counts of them. To the driver come four bytes a
+    set cell, 16 MB at most.
     """
-    tables = tables or Tables(rows.sparkSession, "phrases")
-    totals = tables.write(cell_totals(rows, bitmaps, power))
-    chosen = np.zeros((-(-len(Survivors(bitmaps, power)) // PART), PART), np.uint32)
-    for part, data in totals.select("part", "chosen").collect():
-        chosen[part] = np.frombuffer(data, np.uint32)
-    shared = rows.sparkSession.sparkContext.broadcast((bitmaps, chosen.ravel()))
+    tables, chosen = tables or Tables(rows.sparkSession, "phrases"), None
+    if (many := len(Survivors(bitmaps, power))) <= MOST_COUNTED:
+        totals = tables.write(cell_totals(rows, bitmaps, power))
+        chosen = np.zeros((-(-many // PART), PART), np.uint32)
+        for part, data in totals.select("part", "chosen").collect():
+            chosen[part] = np.frombuffer(data, np.uint32)
+        chosen = chosen.ravel()
+    shared = rows.sparkSession.sparkContext.broadcast((bitmaps, chosen))
 
     def run(batches):
         bitmaps, chosen = shared.value
@@ -287,13 +291,15 @@ def exact_counts(rows: DataFrame, bitmaps: list[np.ndarray], power: int, tables:
             names, own = list(words.number), held[lang]
             own[b""] += int((at > 0).sum())
             for k, h, where in survivors(words, bitmaps, power):
-                cell = numbers.of(k, h[where])
                 phrase = lambda i: b" ".join([names[j] for j in at[i : i + k]])  # noqa: B023, E731
-                here = np.flatnonzero(chosen[cell] == texts[where])
-                _, first = np.unique(cell[here], return_index=True)
-                for j in here[first].tolist():
-                    named[lang, phrase(where[j])] = int(cell[j])
-                several = where[chosen[cell] == 0]
+                several = where
+                if chosen is not None:
+                    cell = numbers.of(k, h[where])
+                    here = np.flatnonzero(chosen[cell] == texts[where])
+                    _, first = np.unique(cell[here], return_index=True)
+                    for j in here[first].tolist():
+                        named[lang, phrase(where[j])] = int(cell[j])
+                    several = where[chosen[cell] == 0]
                 _, first, times = np.unique(at[several[:, None] + np.arange(k)], axis=0, return_index=True, return_counts=True)
                 for i, m in zip(several[first].tolist(), times.tolist()):
                     own[phrase(i)] += m
@@ -310,8 +316,11 @@ def exact_counts(rows: DataFrame, bitmaps: list[np.ndarray], power: int, tables:
 
     found = rows.mapInArrow(run, "lang string, size int, phrase binary, n long, cell long")
     found = tables.write(found.groupBy("lang", "size", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("n").alias("n"), F.max("cell").alias("cell")))
+    several = found.filter("cell is null").select("lang", "size", "phrase", "n")
+    if chosen is None:
+        return several
     whole = found.filter("cell is not null").join(totals.select("part", "totals").mapInArrow(spread, "cell long, total long"), "cell")
-    return found.filter("cell is null").select("lang", "size", "phrase", "n").unionAll(whole.select("lang", "size", "phrase", F.col("total").alias("n")))
+    return several.unionAll(whole.select("lang", "size", "phrase", F.col("total").alias("n")))
 
 
 def exact_score(a: Column, n: Column, left: Column, right: Column) -> Column:

@@ -75,6 +75,8 @@ def test_names_are_given_once_however_many_tasks(spark, rows, monkeypatch):
     few, counts = partial_rows(spark, docs.repartition(2), bitmaps, power, monkeypatch)
     many, again = partial_rows(spark, docs.repartition(16), bitmaps, power, monkeypatch)
     assert counts == again and len(counts) > 300
+    monkeypatch.setattr(phrases, "MOST_COUNTED", 300)
+    assert partial_rows(spark, docs.repartition(4), bitmaps, power, monkeypatch)[1] == counts
     assert many < 2 * len(counts)  # before, up to 16 times as many: a row a phrase and task
 
 
