@@ -78,6 +78,19 @@ def test_repeats_of_400_bytes_in_given_documents(spark, sf):
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_kept_text_without_repeated_passages_of_400_bytes(spark, tmp_path):
+    words = lambda a, n: " ".join(f"w{i}" for i in range(a, a + n))
+    under, over, tail = words(1000, 60), words(2000, 80), "".join(f"{i:03d}" for i in range(133))
+    assert len(under) < 400 < len(over) and len(tail) == 399
+    texts = ["Aé " + under + " B", "C " + under + " D", "Eñ" + over + "F", "G" + over + "ü", "é" + tail, "\u0129" + tail, None, "K", "L" * 500]
+    table(spark, texts).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted(substrings.op1_substrings(spark, str(tmp_path)).collect(), key=lambda r: r.doc_id)
+    assert [r.text for r in rows] == [*texts[:2], "EñF", "Gü", "\ufffd", "\ufffd", "", "K", ""]
+    assert [r.n_removed for r in rows] == [0, 0, len(over), len(over), 400, 400, 0, 0, 500]
+    assert all(hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 for r in rows if "\ufffd" not in r.text)
+    assert rows[4].kept_sha256 == hashlib.sha256(b"\xc3").hexdigest() and rows[5].kept_sha256 == hashlib.sha256(b"\xc4").hexdigest()
+
+
 def test_sampled_places_are_a_matter_of_content():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 5, 500).astype(np.uint64) << np.uint64(40)
