@@ -10,14 +10,17 @@ from ..sources import files, sinks
 from ..store import cut
 
 
-TASKS_PER_CORE = 4  # that read files; small ones are opened many in a task
-
-
 def wavs_of(listing: DataFrame) -> DataFrame:
     """The recordings of a listing(path)."""
     return listing.filter(F.endswith(F.lower("path"), F.lit(".wav")))
 
 
+def logs_of(listing: DataFrame, logs: DataFrame) -> DataFrame:
+    """What of a listing(path, ..) logs(log_path, ..) name and can be a log: no recording and no metafile."""
+    low = F.lower("path")
+    return listing.filter(~F.endswith(low, F.lit(".wav")) & ~F.endswith(low, F.lit("metafile.txt"))).join(logs.select(F.col("log_path").alias("path")).distinct(), "path")
+
+
 def placed_metafiles(metafiles: DataFrame, root: str) -> DataFrame:
     """metafiles(metafile, ..) with the names that others are found by: folder_path, top, name and stem."""
     path = F.col("metafile")
@@ -66,21 +69,23 @@ def remap(
 
     recordings(path, duration) is the catalogue, by default the headers of what lies below root; signatures(folder, meta,
     log, name, seq) choose metafiles, logs and names, overrides(name, seconds) spacers. With ``spacer_recordings`` a spacer
-    that is a recording lasts as long as it does. What is listed and read is checkpointed, as several joins ask for it: every
-    metafile, header and log is opened once. All joins are by key.
+    that is a recording lasts as long as it does. Tasks list and open the files, so the driver holds none of their names
+    (where they can't, see :func:`files.reached`, Spark's readers do). What is listed and read is checkpointed, as several joins
+    ask for it: every metafile, header and log is opened once. All joins are by key, and by merging sorted rows: by the few
+    bytes of a listing or of short files, what they unfold to would be held for small and broadcast.
     """
     root = root.rstrip("/")
-    tasks = spark.sparkContext.defaultParallelism * TASKS_PER_CORE
-    held = lambda df: cut(df.coalesce(tasks))
-    listing = held(files.list_files(spark, root).select("path"))
-    entries, rejects = files.parse_metafiles(held(files.read_metafiles(spark, root)))
+    held = lambda df: cut(df).hint("merge")
+    listing = held(files.list_files(spark, root))
+    known = files.reached(root)
+    entries, rejects = files.parse_metafiles(held(files.read_metafiles(spark, files.dealt(listing, "path") if known else root)))
     place = placed_metafiles(entries.select("metafile", "log_ref").distinct(), root)
     if recordings is None:
-        recordings = held(files.recording_info(spark, wavs_of(listing)).filter("error is null").select("path", "duration"))
+        recordings = held(files.recording_info(spark, files.dealt(wavs_of(listing), "path")).filter("error is null").select("path", "duration"))
     logs, unknown = chosen_logs(place, listing, signatures)
     place = place.join(logs.select("metafile"), "metafile", "left_semi")
     segments, lost = timelines(entries, place, recordings, overrides, audio_dir, default_spacer, spacer_recordings)
-    good, bad = files.read_annotation_log(spark, root, recursive=True, held=held)
+    good, bad = files.read_annotation_log(spark, logs_of(listing, logs) if known else root, recursive=True, held=held)
     rows = good.join(logs, "log_path")
     bad = bad.join(logs, "log_path").select("metafile", F.concat(F.lit("bad value in row "), "line_no").alias("reason"))
     if signatures is not None:

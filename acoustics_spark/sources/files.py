@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import fnmatch
 import io
+import os
+import posixpath
 import re
 import struct
 from collections.abc import Callable, Iterator
@@ -14,15 +17,131 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions.names import basename, local_path
 from ..functions.signal import extract_slice
 from ..schemas import ANNOTATIONS, DETECTIONS, LOG, REQUIRED_ANNOTATIONS, SIGNATURES, require_columns
+from ..store import kept
 
 HEADER_BYTES = 1 << 16
 AT_ONCE, GAP = 1 << 24, 1 << 16  # bytes read at once, and bytes between windows that are read rather than skipped
+TASKS_PER_CORE = 4  # that list folders and open files; small ones are opened many in a task
+LISTED, LINES = 10_000, 5_000  # files, and lines of logs, that a task gives at once
+BLOCK, CHUNK = 1 << 25, 1 << 20  # bytes of a log that are one task's, and of these at once
+PACKED, UNREAD = {"gz": "gzip", "bz2": "bz2", "zst": "zstd"}, ("deflate", "lz4", "snappy")  # ends of names of compressed logs
+SPACE = bytes(range(33))
 
 
-def list_files(spark: SparkSession, paths, glob: str = "*", recursive: bool = True) -> DataFrame:
-    """(path, length) of files; local paths have no scheme. Only the listing is read."""
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower())
-    return reader.load(paths).select(local_path(F.col("path")).alias("path"), "length")
+def store_of(path: str):
+    """(file system, place there) of a path: local ones and those of the object stores that Arrow knows, under Hadoop's names
+    for them, too."""
+    from urllib.parse import quote
+
+    from pyarrow import fs
+
+    own = re.sub("^s3[an]://", "s3://", re.sub(r"^file:/+", "/", path))
+    return fs.FileSystem.from_uri(own if own.startswith("/") else quote(own, safe=":/@"))
+
+
+def open_file(path: str):
+    """A file that was listed, for reading at any place; of the stores that :func:`store_of` knows."""
+    where, at = store_of(path)
+    return where.open_input_file(at)
+
+
+def reached(path: str) -> bool:
+    """Whether tasks can list and open what lies at a path: it isn't relative, has no wildcards and is in a store that
+    :func:`store_of` knows."""
+    try:
+        store_of(path)
+    except (ValueError, OSError, ImportError, NotImplementedError):
+        return False
+    return not set("*?[]{}\\") & set(path)
+
+
+def _passed(name: str, length: int | None) -> bool:
+    """Whether Spark's readers pass over a file, or a folder (without a length), of this name."""
+    inner = length is None and name.startswith(("_metadata", "_common_metadata"))
+    return length == 0 or name.startswith(".") or name.endswith("._COPYING_") or name.startswith("_") and "=" not in name and not inner
+
+
+def list_folder(path: str, top: bool = False) -> Iterator[tuple[str, int | None]]:
+    """(path, bytes) of what lies in a folder, bytes None for a folder. What Spark's readers pass over is left out, empty files,
+    too, as is what vanishes meanwhile. A ``top`` that is a file stands for itself, and one that isn't there is an error."""
+    from pyarrow import fs
+
+    where, at = store_of(path)
+    if top:
+        found = where.get_file_info(at)
+        if found.type == fs.FileType.NotFound:
+            raise FileNotFoundError(path)
+        if found.type == fs.FileType.File:
+            yield path, found.size
+            return
+    if isinstance(where, fs.LocalFileSystem):
+        below = _scanned(at, top)
+    else:
+        found = where.get_file_info(fs.FileSelector(at, allow_not_found=not top))
+        below = ((x.base_name, x.size if x.type == fs.FileType.File else None) for x in found)
+    for name, length in below:
+        if not _passed(name, length):
+            yield f"{path.rstrip('/')}/{name}", length
+
+
+def _scanned(folder: str, top: bool) -> Iterator[tuple[str, int | None]]:
+    """(name, bytes) of what a local folder holds, which is never in memory as a whole."""
+    try:
+        with os.scandir(folder) as found:
+            for x in found:
+                try:
+                    length = None if x.is_dir() else x.stat().st_size
+                except FileNotFoundError:
+                    continue
+                yield x.name, length
+    except FileNotFoundError:
+        if top:
+            raise
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys over the tasks that list or open files."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * TASKS_PER_CORE, *keys)
+
+
+def list_files(spark: SparkSession, paths, glob: str = "*", recursive: bool = True, lister: Callable = list_folder) -> DataFrame:
+    """(path, length) of files; local paths have no scheme. Only the listing is read.
+
+    Tasks list folders with ``lister``, those of one depth at a time, so the driver never holds the files. Where tasks can't
+    (see :func:`reached`; globs beyond ``*``, ``?`` and ``[..]``) Spark's reader lists, which takes all of them through the driver.
+    """
+    roots = [paths] if isinstance(paths, str) else list(paths)
+    if set("{}\\^!") & set(glob) or not all(map(reached, roots)):
+        reader = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower())
+        return reader.load(paths).select(local_path(F.col("path")).alias("path"), "length")
+
+    def run(top):
+        def below(batches):
+            rows = []
+            for b in batches:
+                for folder in b.column(0).to_pylist():
+                    for path, length in lister(folder, top):
+                        if length is None or fnmatch.fnmatchcase(path.rpartition("/")[2], glob):
+                            rows.append((path, length))
+                        if len(rows) == LISTED:
+                            yield batch(rows)
+                            rows = []
+            yield batch(rows)
+
+        return below
+
+    def batch(rows):
+        return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int64()))], names=["path", "length"])
+
+    roots = [re.sub("^file:/+", "/", x) for x in roots]
+    roots = [re.sub("^/+", "/", posixpath.normpath(x)) if x.startswith("/") else x for x in roots]
+    level = kept(spark.createDataFrame([(x,) for x in roots], "path string").mapInArrow(run(True), "path string, length long"))
+    out = level
+    while recursive and not (folders := level.filter("length is null")).isEmpty():
+        level = kept(dealt(folders.select("path"), "path").mapInArrow(run(False), "path string, length long"))
+        out = out.unionAll(level)
+    out = out.filter("length is not null")
+    return dealt(out.distinct() if len(roots) > 1 else out, "path")
 
 
 def read_from() -> F.Column:
@@ -36,8 +155,29 @@ def list_recordings(spark: SparkSession, paths, recursive: bool = True, exclude:
     return out.filter(~F.contains(F.lower(basename(F.col("path"))), F.lit(exclude.lower()))) if exclude else out
 
 
-def read_metafiles(spark: SparkSession, root: str) -> DataFrame:
-    """(metafile, text) of all ``*metafile.txt`` below root."""
+def read_metafiles(spark: SparkSession, root, opener: Callable = open_file) -> DataFrame:
+    """(metafile, text) of all ``*metafile.txt`` below root. ``root`` may be a listing(path): tasks open its metafiles with
+    ``opener`` then, and the driver holds none of their names."""
+    if isinstance(root, DataFrame):
+
+        def run(batches):
+            for b in batches:
+                paths, texts, held = [], [], 0
+                for path in b.column(0).to_pylist():
+                    with opener(path) as f:
+                        paths.append(path)
+                        texts.append(f.read())
+                    held += len(texts[-1])
+                    if held >= AT_ONCE:
+                        yield batch(paths, texts)
+                        paths, texts, held = [], [], 0
+                yield batch(paths, texts)
+
+        def batch(paths, texts):
+            return pa.record_batch([pa.array(paths, pa.string()), pa.array(texts, pa.binary())], names=["metafile", "text"])
+
+        asked = root.filter(F.endswith("path", F.lit("metafile.txt"))).select("path")
+        return asked.mapInArrow(run, "metafile string, text binary").withColumn("text", F.col("text").cast("string"))
     reader = spark.read.option("pathGlobFilter", "*metafile.txt").option("recursiveFileLookup", "true")
     return reader.text(root, wholetext=True).select(read_from().alias("metafile"), F.col("value").alias("text"))
 
@@ -79,17 +219,87 @@ def placed(rows: DataFrame, *columns) -> DataFrame:
     return rows.select(*columns, read_from().alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
 
 
-def read_annotation_log(spark: SparkSession, paths, recursive: bool = False, held: Callable = lambda df: df) -> tuple[DataFrame, DataFrame]:
+def _lines(f, start: int, end: int) -> Iterator[bytes]:
+    """The lines whose first byte is in start..end, without their ends (any of Spark's three)."""
+    place, rest, skip = max(start - 1, 0), b"", start > 0  # what begins before start is the range's before
+    if skip:
+        f.seek(place)
+    while skip or place < end:
+        more = f.read(max(CHUNK, len(rest)))
+        pieces = (rest + more).splitlines(keepends=True)
+        rest = pieces.pop() if more else b""  # the last may go on
+        for line in pieces:
+            if not skip and place < end:
+                yield line.rstrip(b"\r\n")
+            place, skip = place + len(line), False
+        if not more:
+            return
+
+
+def log_lines(listing: DataFrame, opener: Callable = open_file) -> DataFrame:
+    """(log_path, _file, _block, _row, line) of the logs of a listing(path, length): their lines but blank ones and the
+    first other, which is the header, as Spark's reader takes them. A task opens a log with ``opener`` and reads BLOCK bytes of
+    it; a compressed log is one task's."""
+    packed = F.substring_index("path", ".", -1).isin(*PACKED, *UNREAD)
+    size = F.when(packed, 0).otherwise(F.greatest(F.col("length") - 1, F.lit(0))).cast("long")
+    block = F.explode(F.sequence(F.lit(0).cast("long"), size, F.lit(BLOCK).cast("long")))
+    parts = dealt(listing.select("path", block.alias("block")), "path", "block")
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for path, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                n, head = 0, block == 0
+                for i, line in enumerate(lines(path, block)):
+                    if i == 0 and block == 0:
+                        line = line.removeprefix(b"\xef\xbb\xbf")
+                    if not line.strip(SPACE):
+                        continue
+                    if head:
+                        head = False
+                        continue
+                    rows.append((path, block, n, line))
+                    n += 1
+                    if len(rows) == LINES:
+                        yield batch(rows)
+                        rows = []
+            yield batch(rows)
+
+    def lines(path, block):
+        kind = path.rpartition(".")[2]
+        if kind in UNREAD:
+            raise ValueError(f"{path}: logs of this compression aren't read")
+        with opener(path) as f:
+            if kind in PACKED:
+                with pa.CompressedInputStream(f, PACKED[kind]) as unpacked:
+                    yield from _lines(unpacked, 0, 1 << 62)
+            else:
+                yield from _lines(f, block, block + BLOCK)
+
+    def batch(rows):
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary())
+        return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["log_path", "_block", "_row", "line"])
+
+    found = parts.mapInArrow(run, "log_path string, _block long, _row long, line binary")
+    return found.select("log_path", F.col("log_path").alias("_file"), "_block", "_row", F.col("line").cast("string").alias("line"))
+
+
+def read_annotation_log(spark: SparkSession, paths, recursive: bool = False, held: Callable = lambda df: df, opener: Callable = open_file) -> tuple[DataFrame, DataFrame]:
     """Tab-separated logs -> (good, rejects): rows tagged ``an:`` or ``ft:`` with typed channel, times and frequencies, the
     log's path, and ``line_no``, a row's number in it from 1, others counted. With ``recursive`` every file below paths is
-    taken for a log but recordings and metafiles, which aren't read. ``held`` is given the rows as read and may store them."""
-    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
-    rows = reader.csv(paths, sep="\t", header=True, schema=LOG, mode="PERMISSIVE", enforceSchema=True)
-    if recursive:
-        path = F.lower("_metadata.file_path")
-        rows = rows.filter(~F.endswith(path, F.lit(".wav")) & ~F.endswith(path, F.lit("metafile.txt")))
+    taken for a log but recordings and metafiles, which aren't read. ``paths`` may be a listing(path, length) of logs: tasks
+    open them with ``opener`` then (see :func:`log_lines`). ``held`` is given the rows as read and may store them."""
     known = [x.split()[0] for x in LOG.split(", ")]
-    rows = held(placed(rows, *known, read_from().alias("log_path")).withColumn("_row", F.monotonically_increasing_id()))
+    if isinstance(paths, DataFrame):
+        rows = log_lines(paths, opener).withColumn("_of", F.from_csv("line", LOG, {"sep": "\t", "mode": "PERMISSIVE"}))
+        rows = held(rows.select(*[F.col(f"_of.{c}").alias(c) for c in known], "log_path", "_file", "_block", "_row"))
+    else:
+        reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
+        rows = reader.csv(paths, sep="\t", header=True, schema=LOG, mode="PERMISSIVE", enforceSchema=True)
+        if recursive:
+            path = F.lower("_metadata.file_path")
+            rows = rows.filter(~F.endswith(path, F.lit(".wav")) & ~F.endswith(path, F.lit("metafile.txt")))
+        rows = held(placed(rows, *known, read_from().alias("log_path")).withColumn("_row", F.monotonically_increasing_id()))
     rows = numbered(rows, "line_no").filter(F.lower(F.trim("tag")).isin("an:", "ft:"))
     good, bad = typed(rows, ("left", "right", "top", "bottom"), ("channel",))
     short = F.col("comment").isNull()
@@ -117,18 +327,6 @@ def read_detections(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.csv(path, header=True, schema=DETECTIONS)
 
 
-def open_file(path: str):
-    """A file that Spark has listed, for reading at any place: local ones and those of the object stores that Arrow knows,
-    under Hadoop's names for them, too."""
-    from urllib.parse import quote
-
-    from pyarrow import fs
-
-    own = re.sub("^s3[an]://", "s3://", re.sub(r"^file:/+", "/", path))
-    where, at = fs.FileSystem.from_uri(own if own.startswith("/") else quote(own, safe=":/@"))
-    return where.open_input_file(at)
-
-
 def read_header(f) -> dict:
     """samplerate, channels, sample bytes, frames and the data's offset of a RIFF file open for reading at any place. The
     chunks' names and sizes are read, wherever they lie, but not the chunks."""

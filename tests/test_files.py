@@ -1,5 +1,7 @@
 """Readers and writers on small files, the jobs end to end, and streams against batch."""
 
+import gzip
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -468,3 +470,39 @@ def test_clips_are_turned_one_at_a_time(spark, monkeypatch):
     assert sizes.agg({"n": "sum"}).first()[0] == 9
     want = {f"c{i}": files.wav_bytes(np.arange(1, 201 + i) / 1000, 8000) for i in range(9)}
     assert {r.path: bytes(r.content) for r in got.collect()} == want
+
+
+def test_the_driver_holds_no_listing_of_a_deployment(spark, deployment):
+    """Tasks list folders, and open metafiles and logs by the listing; the results are those of Spark's readers."""
+    root = str(deployment)
+    for i in range(40):
+        at = deployment / f"more {i % 5}" / "deep"
+        at.mkdir(parents=True, exist_ok=True)
+        (at / f"{i}.wav").write_bytes(b"x")
+    for skipped in (".hidden", "_temporary", "empty.wav"):
+        (deployment / "more 1" / skipped).write_bytes(b"x" if skipped != "empty.wav" else b"")
+    by_spark = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    listing = files.list_files(spark, root)
+    assert sorted(map(tuple, listing.collect())) == sorted((r.path.removeprefix("file:"), r.length) for r in by_spark.select("path", "length").collect())
+    assert listing.count() == 52 and not any(root in path for path in listing.inputFiles())
+    assert files.list_files(spark, [f"{root}/more 1", f"{root}/more 1/deep"], "*[13].wav").count() == 4
+    assert files.list_files(spark, f"{root}/more 1", recursive=False).count() == 0
+    metafiles = files.read_metafiles(spark, listing)
+    assert not any(root in path for path in metafiles.inputFiles())
+    assert sorted(map(tuple, metafiles.collect())) == sorted(map(tuple, files.read_metafiles(spark, root).collect()))
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        files.list_files(spark, f"{root}/nowhere")
+
+
+@pytest.mark.parametrize("block", [1 << 25, 61])
+def test_logs_of_a_listing_are_read_as_by_sparks_reader(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(files, "BLOCK", block)
+    monkeypatch.setattr(files, "CHUNK", 7 if block == 61 else files.CHUNK)
+    head, rows = b"tag\ts\tc\tl\tr\tt\tb\tcomment\tnotes", [b"%s\ts\t1\t%d\t9\t9\t5\tc\t" % (b"an:" if i % 3 else b"zz:", i) for i in range(60)]
+    rows[4:11] = [b"", b" \t ", b"an:\ts", b'an:\ts\t1\t1\t2\t3\t4\t"a\tb ""c"\tn\tmore', "ft:\ts\t1\t1\t2\t3\t4\té \x85\x0cü\t".encode(), b"an:\ts\t1\t1\t2\t3\t4\t\xff\tn", b'"open\t1']
+    for i, end in enumerate((b"\n", b"\r\n", b"\r", b"\n\r\n")):
+        (tmp_path / f"log {i}+%").write_bytes(end + end.join([head, *rows]))
+    (tmp_path / "log.gz").write_bytes(gzip.compress(b"\xef\xbb\xbf" + b"\n".join([head, *rows]) + b"\n"))
+    found = [files.read_annotation_log(spark, x, recursive=True) for x in (files.list_files(spark, str(tmp_path)), str(tmp_path))]
+    for got, want in zip(*found):
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and got.count() >= 5
